@@ -1,25 +1,13 @@
-"""What the operators of this subpackage share: tables, checkpoints."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.plans.components import durable
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+__all__ = ["durable", "table"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows are written to the shared folder in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a folder of this machine is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints"))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
