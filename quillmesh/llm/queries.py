@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, packing, sharding
+from . import bpe, chat, dedup, packing, sharding, syncmers
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return done.select(
@@ -75,6 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
     "op7_byte_shards": op7_byte_shards,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_chat_format": op10_chat_format,
