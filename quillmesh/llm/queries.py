@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, packing, sharding, syncmers
-from .common import table
+from . import bpe, chat, dedup, packing, secrets, sharding, syncmers
+from .common import durable, table
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,26 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = durable(secrets.found_spans(table(spark, sf_dir, "documents")))
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return secrets.scan_secrets(found).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return done.select(
@@ -80,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
+    "op6_secret_scan": op6_secret_scan,
     "op7_byte_shards": op7_byte_shards,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_chat_format": op10_chat_format,
