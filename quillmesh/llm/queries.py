@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, packing, secrets, sharding, syncmers
+from . import bpe, chat, dedup, packing, quality, secrets, sharding, syncmers
 from .common import durable, table
 
 
@@ -62,6 +62,17 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, field).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = packing.pack_documents(table(spark, sf_dir, "documents"))
     return done.select(
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_shards": op7_byte_shards,
+    "op8_line_quality": op8_line_quality,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_chat_format": op10_chat_format,
 }
