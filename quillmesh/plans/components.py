@@ -5,20 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows are written to the shared folder in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) a folder of this machine is set.
+    Only where the session names none (tests, a laptop) it is one of this machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints")).rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage: rows are written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
