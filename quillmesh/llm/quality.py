@@ -212,7 +212,7 @@ def fit(runs: list[tuple[int, float, np.ndarray, np.ndarray]], rounds: int = 200
 
     most = counts[0]
     held = np.arange(most)[None, :] < counts[:, None]
-    grid = np.zeros((len(runs), most, x.shape[1]))
+    grid = np.zeros((len(runs), most, x.shape[1]), "f4")
     grid[held] = x
     truth = np.zeros((len(runs), most))
     truth[held] = y

@@ -95,10 +95,6 @@ def _spans(gaps: str, matches: str) -> Column:
     )
 
 
-def _ordinal(sign: Column, alphabet: Column) -> Column:
-    return F.instr(alphabet, sign) - 1
-
-
 def _encoding(run: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern, _ in reversed(ENCODINGS):
@@ -114,48 +110,98 @@ def _of(encoding: Column, values: dict, kind: str) -> Column:
     return out
 
 
-def _score(run: Column, encoding: Column) -> Column:
-    """``x`` (small for random strings) and ``z`` (its place among ordinary strings) of a run."""
-    alphabets = {name: letters for name, _, letters in ENCODINGS}
+def scored(runs: Column) -> Column:
+    """``x`` (small for random strings) and ``z`` (its place among ordinary strings) of each run.
+
+    Null for runs without an encoding.  Each step is a list of its own, so that what a later
+    step uses often is a field and not a copy of the expression.
+    """
     share = {
         name: [sum(o * BINS // len(a) == b for o in range(len(a))) / len(a) for b in range(BINS)]
-        for name, a in alphabets.items()
+        for name, _, a in ENCODINGS
     }
-    body = F.regexp_replace(F.when(encoding == "hex", F.lower(run)).otherwise(run), "=+$", "")
-    letters = _of(encoding, alphabets, "string")
-    size = F.length(letters)
-
-    def statistics(seq: Column) -> Column:
-        n = F.size(seq).cast("double")
-        expected = _of(encoding, share, "array<double>")
-        counts = F.transform(
-            F.sequence(F.lit(0), F.lit(BINS - 1)),
-            lambda b: F.size(F.filter(seq, lambda o: F.floor(o * BINS / size) == b)).cast("double"),
-        )
-        chi = F.aggregate(
-            F.zip_with(counts, expected, lambda c, e: (c - n * e) * (c - n * e) / (n * e)), F.lit(0.0), lambda acc, x: acc + x
-        )
-        above = F.transform(seq, lambda o: o * 2 >= size)
-        n1 = F.size(F.filter(above, lambda x: x)).cast("double")
-        n0 = n - n1
-        pairs = lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        runs = F.size(F.filter(pairs(above), lambda p: p["x"] != p["y"])) + 1
-        mean_runs = 1 + 2 * n1 * n0 / n
-        var_runs = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
-        z_runs = F.when(var_runs > 0, (runs - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
-        mean = F.aggregate(seq, F.lit(0.0), lambda acc, o: acc + o) / n
-        spread = F.aggregate(seq, F.lit(0.0), lambda acc, o: acc + (o - mean) * (o - mean))
-        along = F.aggregate(pairs(seq), F.lit(0.0), lambda acc, p: acc + (p["x"] - mean) * (p["y"] - mean))
-        z_serial = F.when(spread > 0, along / spread * F.sqrt(n)).otherwise(F.sqrt(n))
-        x = chi + z_runs * z_runs + z_serial * z_serial
-        far = n * _of(encoding, ORDINARY, "double")
-        z = (x - (FREEDOM + far)) / F.sqrt(2 * (FREEDOM + 2 * far))
-        return F.struct(x.alias("x"), F.least(F.lit(HIGH), F.greatest(F.lit(LOW), z)).alias("z"))
-
-    signs = F.filter(F.split(body, ""), lambda c: c != "")
-    ordinals = F.transform(signs, lambda c: _ordinal(c, letters).cast("double"))
-    # a list of one, so that the ordinals are computed once
-    return F.element_at(F.transform(F.array(ordinals), statistics), 1)
+    named = F.transform(runs, lambda r: F.struct(r.alias("run"), _encoding(r).alias("encoding")))
+    known = F.transform(
+        named,
+        lambda r: F.struct(
+            F.regexp_replace(F.when(r["encoding"] == "hex", F.lower(r["run"])).otherwise(r["run"]), "=+$", "").alias("body"),
+            _of(r["encoding"], {name: a for name, _, a in ENCODINGS}, "string").alias("letters"),
+            _of(r["encoding"], share, "array<double>").alias("share"),
+            _of(r["encoding"], ORDINARY, "double").alias("ordinary"),
+        ),
+    )
+    placed = F.transform(
+        known,
+        lambda r: F.struct(
+            F.transform(F.filter(F.split(r["body"], ""), lambda c: c != ""), lambda c: (F.instr(r["letters"], c) - 1).cast("double")).alias("seq"),
+            F.length(r["letters"]).alias("size"),
+            F.length(r["body"]).cast("double").alias("n"),
+            r["share"].alias("share"),
+            r["ordinary"].alias("ordinary"),
+        ),
+    )
+    counted = F.transform(
+        placed,
+        lambda r: F.struct(
+            r["seq"].alias("seq"),
+            r["n"].alias("n"),
+            r["ordinary"].alias("ordinary"),
+            F.transform(r["seq"], lambda o: o * 2 >= r["size"]).alias("above"),
+            F.size(F.filter(r["seq"], lambda o: o * 2 >= r["size"])).cast("double").alias("n1"),
+            (F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + o) / r["n"]).alias("mean"),
+            F.aggregate(
+                F.zip_with(
+                    F.transform(
+                        F.sequence(F.lit(0), F.lit(BINS - 1)),
+                        lambda b: F.size(F.filter(r["seq"], lambda o: F.floor(o * BINS / r["size"]) == b)).cast("double"),
+                    ),
+                    r["share"],
+                    lambda c, e: (c - r["n"] * e) * (c - r["n"] * e) / (r["n"] * e),
+                ),
+                F.lit(0.0),
+                lambda acc, x: acc + x,
+            ).alias("chi"),
+        ),
+    )
+
+    def next_to(a: Column) -> Column:
+        rest = F.size(a) - 1
+        return F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(2), rest), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    tested = F.transform(
+        counted,
+        lambda r: F.struct(
+            r["n"].alias("n"),
+            r["ordinary"].alias("ordinary"),
+            r["chi"].alias("chi"),
+            (2 * r["n1"] * (r["n"] - r["n1"])).alias("mixed"),
+            (F.size(F.filter(next_to(r["above"]), lambda p: p["x"] != p["y"])) + 1).alias("runs"),
+            F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + (o - r["mean"]) * (o - r["mean"])).alias("spread"),
+            F.aggregate(next_to(r["seq"]), F.lit(0.0), lambda acc, p: acc + (p["x"] - r["mean"]) * (p["y"] - r["mean"])).alias("along"),
+        ),
+    )
+    summed = F.transform(
+        tested,
+        lambda r: F.struct(
+            (r["n"] * r["ordinary"]).alias("far"),
+            (
+                r["chi"]
+                + F.when(
+                    r["mixed"] > r["n"],
+                    (r["runs"] - 1 - r["mixed"] / r["n"]) * (r["runs"] - 1 - r["mixed"] / r["n"])
+                    / (r["mixed"] * (r["mixed"] - r["n"]) / (r["n"] * r["n"] * (r["n"] - 1))),
+                ).otherwise(r["n"])
+                + F.when(r["spread"] > 0, r["along"] * r["along"] / (r["spread"] * r["spread"]) * r["n"]).otherwise(r["n"])
+            ).alias("x"),
+        ),
+    )
+    return F.transform(
+        summed,
+        lambda r: F.struct(
+            r["x"].alias("x"),
+            F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (r["x"] - (FREEDOM + r["far"])) / F.sqrt(2 * (FREEDOM + 2 * r["far"])))).alias("z"),
+        ),
+    )
 
 
 def with_parts(docs: DataFrame) -> DataFrame:
@@ -169,11 +215,6 @@ def with_parts(docs: DataFrame) -> DataFrame:
     return out
 
 
-def scored(matches: Column) -> Column:
-    """``x, z`` for each run, null for runs that aren't candidates."""
-    return F.transform(matches, lambda r: F.when(_encoding(r).isNotNull(), _score(r, _encoding(r))))
-
-
 def found_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, base array<start, rank, end>, candidates array<start, end, x, z>`` without the texts."""
     parts = with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -182,6 +223,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
         *[F.struct(_spans(f"parts_{k}.gaps", f"parts_{k}.matches").alias("spans"), F.col(f"parts_{k}.matches").alias("matches")).alias(k) for k in KINDS],
     )
 
+    held = held.withColumn("random", F.struct("random.spans", scored(F.col("random.matches")).alias("scores")))
+
     def base(kind: str, rank: int) -> Column:
         spans = F.zip_with(f"{kind}.spans", f"{kind}.matches", lambda s, m: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), m.alias("match")))
         if kind == "assign":
@@ -189,7 +232,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"]))
 
     candidates = F.zip_with(
-        "random.spans", scored(F.col("random.matches")), lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v["x"].alias("x"), v["z"].alias("z"))
+        "random.spans", "random.scores", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v["x"].alias("x"), v["z"].alias("z"))
     )
     return held.select(
         "doc_id",
@@ -236,25 +279,30 @@ def redact_secrets(docs: DataFrame, rate: float = 0.05, mark: str = MARK) -> Dat
     Two passes over the texts: the first yields the threshold, a single number.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    _, runs = _parts(text, RANDOM)
-    z = docs.select(F.explode(scored(runs)).alias("c")).filter(F.col("c.z").isNotNull()).select("c.z")
+    parts = docs.select(_parts(text, RANDOM)[1].alias("runs"))
+    z = parts.select(F.explode(scored(F.col("runs"))).alias("c")).filter(F.col("c.z").isNotNull()).select("c.z")
     threshold = discovery_threshold(z, rate)
 
-    def random(m: Column) -> Column:
-        score = _score(m, _encoding(m))
-        return _encoding(m).isNotNull() & is_secret(score["x"], score["z"], threshold)
+    def long_enough(matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST)
+
+    def all_of_them(matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.lit(True))
+
+    def random(matches: Column) -> Column:
+        return F.transform(scored(matches), lambda c: is_secret(c["x"], c["z"], threshold))
 
-    assigned = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
-    always = lambda m: F.lit(True)
     out = docs
-    for pattern, rule in ((ASSIGN, assigned), (ACCESS, always), (HEX, always), (RANDOM, random)):
-        out = out.withColumn("text", _replaced(F.col("text"), pattern, rule, mark))
+    for pattern, rule in ((ASSIGN, long_enough), (ACCESS, all_of_them), (HEX, all_of_them), (RANDOM, random)):
+        out = _replaced(out, pattern, rule, mark)
     return out
 
 
-def _replaced(text: Column, pattern: str, rule: Callable[[Column], Column], mark: str) -> Column:
-    """A text with ``mark`` in the place of each match that the rule holds for."""
-    gaps, matches = _parts(text, pattern)
-    shown = F.transform(matches, lambda m: F.when(rule(m), F.lit(mark)).otherwise(m))
-    before = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), shown, lambda g, m: F.concat(g, m))
-    return F.when(text.rlike(pattern), F.concat(F.array_join(before, ""), F.element_at(gaps, -1))).otherwise(text)
+def _replaced(docs: DataFrame, pattern: str, rule: Callable[[Column], Column], mark: str) -> DataFrame:
+    """Texts with ``mark`` in the place of each match that the rule holds for."""
+    gaps, matches = _parts(F.col("text"), pattern)
+    parted = docs.withColumn("_parts", F.struct(gaps.alias("gaps"), matches.alias("matches")))
+    shown = F.zip_with("_parts.matches", rule(F.col("_parts.matches")), lambda m, hit: F.when(hit, F.lit(mark)).otherwise(m))
+    before = F.zip_with(F.slice("_parts.gaps", F.lit(1), F.size("_parts.matches")), shown, lambda g, m: F.concat(g, m))
+    kept = F.concat(F.array_join(before, ""), F.element_at("_parts.gaps", -1))
+    return parted.withColumn("text", F.when(F.size("_parts.matches") > 0, kept).otherwise(F.col("text"))).drop("_parts")
