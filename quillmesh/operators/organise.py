@@ -85,7 +85,7 @@ def keep_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def redirects(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node_id, keep_id`` of all nodes that merge pairs (a, b) join, chains resolved."""
-    groups = connected_components(pairs).withColumnRenamed("component", "group_id")
+    groups = connected_components(pairs).select(F.col("node").alias("node_id"), F.col("component").alias("group_id"))
     return keep_nodes(groups, nodes)
 
 
