@@ -79,12 +79,6 @@ class TwoGenerations:
             self.old, self.young = self.young, {}
         self.young[key] = ids
 
-    def get(self, key: str) -> bytes | None:
-        ids = self.young.get(key)
-        if ids is None and (ids := self.old.get(key)) is not None:
-            self.put(key, ids)
-        return ids
-
 
 def raw(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -119,26 +113,40 @@ class ChunkEncoder:
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(map(self._bytes.__getitem__, x)).decode() for x, _ in found]
 
+    def _word(self, piece: str) -> bytes:
+        words = self._words
+        ids = words.young.get(piece)
+        if ids is None:
+            if (ids := words.old.get(piece)) is None:
+                ids = self.piece_ids(piece)
+            words.put(piece, ids)
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        words, out = self._words, []
-        for piece in self.pieces(chunk):
-            if (ids := words.get(piece)) is None:
-                words.put(piece, ids := self.piece_ids(piece))
-            out.append(ids)
-        return b"".join(out)
+        """A chunk of letters, with a mark behind them or not, needs no splitting by expression."""
+        if chunk.isascii() or self._latin.fullmatch(chunk):
+            low = unicodedata.normalize("NFC", chunk).lower()
+            if low.isalpha():
+                return self._word(low)
+            if low and low[:-1].isalpha() and low[-1] in ",.;:!?":
+                return self._word(low[:-1]) + self._word(low[-1])
+        return b"".join(map(self._word, self.pieces(chunk)))
 
     def _plain(self, text: str) -> bytes:
         """No piece spans a blank, so the text is encoded blank by blank."""
         cache = self._chunks
         chunks = text.replace("\n", " ").split(" ")
         out = list(map(cache.young.get, chunks))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    chunk = chunks[i]
-                    if (ids := cache.get(chunk)) is None:
-                        cache.put(chunk, ids := self._chunk(chunk))
-                    out[i] = ids
+        i = -1
+        for _ in range(out.count(None)):
+            i = out.index(None, i + 1)
+            chunk = chunks[i]
+            ids = cache.young.get(chunk)
+            if ids is None:
+                if (ids := cache.old.get(chunk)) is None:
+                    ids = self._chunk(chunk)
+                cache.put(chunk, ids)
+            out[i] = ids
         return b"".join(out)
 
     def encode_bytes(self, text: str | None) -> bytes:

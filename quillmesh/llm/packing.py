@@ -45,7 +45,7 @@ class LibraryEncoder(ChunkEncoder):
     """Ids by the model of the tokenizers library, asked once for each piece while it is cached."""
 
     def piece_ids(self, piece: str) -> bytes:
-        shown = "".join([self.symbols[b] for b in piece.encode()])
+        shown = piece if piece.isascii() and piece.isalnum() else "".join([self.symbols[b] for b in piece.encode()])
         return raw([x.id for x in self.library.model.tokenize(shown)])
 
 
