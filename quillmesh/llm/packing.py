@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, raw, slices, vocabulary_path
+from .bpe import ChunkEncoder, raw, slices, vocabulary_path, without_cycle_search
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -201,8 +201,9 @@ def pack_documents(
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, buffer_tokens)
         for batch in batches:
             for part in slices(batch):
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    packer.add(doc_id, encoder.encode_bytes(text) + end)
+                with without_cycle_search():
+                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        packer.add(doc_id, encoder.encode_bytes(text) + end)
                 if packer.windows:
                     yield from rows(packer.drain())
         packer.finish()
