@@ -18,25 +18,30 @@ EXACT, ALIAS, CONTAINED = 1.0, 0.9, 0.85
 DIRECTIONS = ("forward", "backward", "both")
 
 
-def _match_rows(entities: DataFrame, nodes: DataFrame, key) -> DataFrame:
+def _match_rows(entities: DataFrame, nodes: DataFrame, key, keys) -> DataFrame:
     """Entities beside nodes, with keys; entities of a query are few and broadcast."""
     e = entities.select(
         "entity_idx",
         "confidence",
         key(F.col("normalized")).alias("primary"),
-        F.transform(F.concat(F.array("text"), F.col("aliases")), key).alias("alternates"),
+        keys(F.concat(F.array("text"), F.col("aliases"))).alias("alternates"),
     ).withColumn("alternates", F.filter("alternates", lambda t: t != ""))
-    n = nodes.select("node_id", "keyword", key(F.col("keyword")).alias("name"), F.transform("aliases", key).alias("others"))
+    n = nodes.select("node_id", "keyword", key(F.col("keyword")).alias("name"), keys(F.col("aliases")).alias("others"))
     return n.crossJoin(F.broadcast(e))
 
 
-def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy: bool = True, key=norm_key) -> DataFrame:
+def _norm_keys(texts: Column) -> Column:
+    return F.transform(texts, norm_key)
+
+
+def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy: bool = True, key=norm_key, keys=_norm_keys) -> DataFrame:
     """``node_id, keyword, score``: best of each node over all entities, score times confidence.
 
-    ``entities(entity_idx, text, normalized, aliases, confidence)`` belong to one query.  The
+    ``entities(entity_idx, text, normalized, aliases, confidence)`` belong to one query; ``key``
+    and ``keys`` give the comparison key of a text and of a list of texts.  The
     similarity of spellings runs in Python on pairs only that could still reach the threshold.
     """
-    rows = _match_rows(entities, nodes, key)
+    rows = _match_rows(entities, nodes, key, keys)
     asked = F.array_union(F.array("primary"), F.col("alternates"))
     held = F.array_union(F.array("name"), F.col("others"))
     contained = F.exists(
