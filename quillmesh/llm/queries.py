@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, neighbours, packing, quality, secrets, sharding, syncmers
+from . import bpe, chat, dedup, neighbours, packing, quality, rendering, secrets, sharding, syncmers
 from .common import durable, table
 
 
@@ -29,6 +29,11 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = rendering.render_pages(table(spark, sf_dir, "pages"))
+    return done.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
+    "op4_html_rendering": op4_html_rendering,
     "op5_nearest_vectors": op5_nearest_vectors,
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_shards": op7_byte_shards,
