@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of the caches of chunks and of words, per Python worker.
-CACHE_CHUNKS, CACHE_WORDS = 250_000, 100_000
+CACHE_CHUNKS, CACHE_WORDS = 200_000, 80_000
 #: Longer chunks are encoded each time they occur.
 CACHE_CHARS = 40
 #: Rows taken out of an Arrow batch at once.
@@ -224,10 +224,19 @@ class BpeCodec(ChunkEncoder):
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def encoder(kind: type[ChunkEncoder], path: str) -> ChunkEncoder:
+    """The encoder that a Python process holds, with its caches."""
+    return kind(path)
+
+
 def codec(path: str) -> BpeCodec:
-    """One codec per Python process and file."""
-    return BpeCodec(path)
+    return encoder(BpeCodec, path)
+
+
+def release() -> None:
+    """Give back what an encoder holds; Spark goes on with the process for other operators."""
+    encoder.cache_clear()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.plans.components import connected_components
 
-from .bpe import slices
+from .bpe import release, slices
 from .common import durable
 from .sketches import band_hashes, bands_for, estimated_jaccard, shingle_set, signature, sketch
 
@@ -46,7 +46,7 @@ SLACK = 5.0
 #: Buckets of more members are compared in blocks.
 SMALL_BUCKET = 24
 #: Members, and bytes of sets, in a block.
-BLOCK_MEMBERS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 4 << 20
 #: Bits of the filter that finds the texts to read again; fixed, so its broadcast is 2 MB at any size.
 FILTER_BITS = 1 << 24
 
@@ -60,6 +60,7 @@ def sketch_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows, bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch):
                 n, sig, kept, keys = [], [], [], []
@@ -152,7 +153,7 @@ def _check(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     return durable(_verified(likely, _sets(docs, nodes, k), percent))
 
 
-def links_between(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray, percent: int, width: int = 8192) -> np.ndarray:
+def links_between(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
     """Which wanted pairs of sets reach the threshold: intersections by products of 0/1 matrices."""
     both = np.zeros((len(x), len(y)), "f4")
     left, right = (np.concatenate(s) if s else np.zeros(0, "u8") for s in (x, y))
@@ -209,7 +210,9 @@ def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int]
 
 def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components in large buckets, compared block by block."""
-    keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
+    keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("k")).select(
+        "node", F.transform("k", lambda k: k["band"]).alias("bands"), F.transform("k", lambda k: k["bucket"]).alias("keys")
+    )
     members = buckets.join(keys, "node").join(sets.withColumn("bytes", F.octet_length("shingles")), "node")
     whole = Window.partitionBy("bucket")
     blocks = F.greatest(
@@ -222,7 +225,7 @@ def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")),
     )
-    copies = dealt.withColumn("met", F.explode(met)).select("bucket", "band", "met.i", "met.j", "mine", "node", "component", "keys", "shingles")
+    copies = dealt.withColumn("met", F.explode(met)).select("bucket", "band", "met.i", "met.j", "mine", "node", "component", "bands", "keys", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         band, i, j = int(group["band"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -230,10 +233,8 @@ def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         for block in (i, j):
             g = group[group["mine"] == block]
             held = np.full((len(g), 64), -1, "i8")  # its large bucket in each earlier band
-            for r, ks in enumerate(g["keys"]):
-                for x in ks:
-                    if x["band"] < band:
-                        held[r, x["band"]] = x["bucket"]
+            for r, (bands, keys) in enumerate(zip(g["bands"], g["keys"], strict=True)):
+                held[r, bands] = keys
             sides.append((g["node"].to_numpy(), g["component"].to_numpy(), [np.frombuffer(s, "u8") for s in g["shingles"]], held))
         (a, ca, sa, ka), (b, cb, sb, kb) = sides
         wanted = ca[:, None] != cb[None, :]

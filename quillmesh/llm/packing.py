@@ -20,14 +20,13 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, raw, slices, vocabulary_path, without_cycle_search
+from .bpe import ChunkEncoder, encoder, raw, slices, vocabulary_path, without_cycle_search
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -49,9 +48,8 @@ class LibraryEncoder(ChunkEncoder):
         return raw([x.id for x in self.library.model.tokenize(shown)])
 
 
-@lru_cache(maxsize=2)
 def library(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return encoder(LibraryEncoder, path)
 
 
 class Packer:
@@ -197,13 +195,13 @@ def pack_documents(
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(path)
+        words = library(path)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, buffer_tokens)
         for batch in batches:
             for part in slices(batch):
                 with without_cycle_search():
                     for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        packer.add(doc_id, encoder.encode_bytes(text) + end)
+                        packer.add(doc_id, words.encode_bytes(text) + end)
                 if packer.windows:
                     yield from rows(packer.drain())
         packer.finish()

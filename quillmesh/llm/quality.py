@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .sketches import _letters, _powers, mix
+from .bpe import release, slices
+from .sketches import PIECE, hash_words
 
 SAMPLE_DOCS = 4000
 SAMPLE_RUNS = 8
@@ -58,12 +58,24 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     counts = np.array([r.count(b"\n") + 1 for r in raws])
     data = np.frombuffer(b"\n".join(raws), np.uint8)
-    n = len(data)
     breaks = np.flatnonzero(data == 10)
-    start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [n]])
+    start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+    # whole lines, about PIECE bytes at once
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(start // PIECE)) + 1, [len(start)]])
+    own = np.vstack([_own_features(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    text = np.repeat(np.arange(len(counts)), counts)
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    joined = (text[1:] == text[:-1])[:, None]
+    before[1:] = own[:-1] * joined
+    after[:-1] = own[1:] * joined
+    return np.hstack([np.ones((len(own), 1)), own, before[:, :6], after[:, :6]]), (end - start).astype("f8"), counts
+
+
+def _own_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
 
     def per_line(mask: np.ndarray) -> np.ndarray:
-        sums = np.zeros(n + 1, "i8")
+        sums = np.zeros(n + 1, "i4")
         np.cumsum(mask, out=sums[1:])
         return (sums[end] - sums[start]).astype("f8")
 
@@ -74,10 +86,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     blank = _IS_BLANK[data]
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if n else np.zeros(0, "i8")
     ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1 if n else np.zeros(0, "i8")
-    _powers.reach(n + 1)
-    sums = np.zeros(n + 1, "u8")
-    np.cumsum(_letters[data] * _powers.up[:n], out=sums[1:])
-    words = mix((sums[ends] - sums[begins]) * _powers.down[begins] + (ends - begins).astype("u8"))
+    words = hash_words(data, begins, ends)
     same = np.zeros(n, bool)
     same[begins[1:][words[1:] == words[:-1]]] = True
     first = np.zeros(n, bool)
@@ -87,7 +96,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     safe = np.maximum(size, 1)
     count = np.maximum(per_line(first), 1)
     caps, small = per_line(upper), per_line(lower)
-    own = np.stack(
+    return np.stack(
         [
             caps / np.maximum(caps + small, 1),
             per_line(_IS_SYMBOL[data]) / safe * 4,
@@ -103,12 +112,6 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         ],
         axis=1,
     )
-    text = np.repeat(np.arange(len(counts)), counts)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    joined = (text[1:] == text[:-1])[:, None]
-    before[1:] = own[:-1] * joined
-    after[:-1] = own[1:] * joined
-    return np.hstack([np.ones((len(own), 1)), own, before[:, :6], after[:, :6]]), size, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -303,6 +306,7 @@ def score_documents(docs: DataFrame, field: LineField) -> DataFrame:
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch):
                 scores = pa.array(field.score(part.column(text).to_pylist()), pa.float64())

@@ -14,6 +14,7 @@ of two sets agree with a probability of their Jaccard similarity however small t
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ import numpy as np
 MANTISSA = 26
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,37 +35,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """P ** i and P ** -i modulo 2 ** 64, grown when a longer text comes."""
+    """P ** i modulo 2 ** 64, as far as the longest word seen."""
 
     def __init__(self) -> None:
         self.up = np.ones(1, "u8")
-        self.down = np.ones(1, "u8")
 
-    def reach(self, n: int) -> None:
+    def reach(self, n: int) -> np.ndarray:
         while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_P, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_P_INVERSE, k, 1 << 64))])
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_P, len(self.up), 1 << 64))])
+        return self.up
 
 
 _powers = _Powers()
 _letters = mix(np.arange(1, 257, dtype="u8") * np.uint64(0xD6E8FEB86659FD93))
+#: Bytes hashed at once, so that the arrays beside a text stay small.
+PIECE = 1 << 20
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end), which follow each other with gaps of any length."""
+    if not len(start):
+        return np.zeros(0, "u8")
+    size = end - start
+    up = _powers.reach(int(size.max()))
+    inside = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    value = _letters[data[inside]] * up[inside - np.repeat(start, size)]
+    return mix(np.add.reduceat(value, np.concatenate([[0], np.cumsum(size)[:-1]])) + size.astype("u8"))
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words of a text, in order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "u8")
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    n = len(joined)
-    _powers.reach(n + 1)
-    sums = np.zeros(n + 1, "u8")
-    np.cumsum(_letters[joined] * _powers.up[:n], out=sums[1:])
-    gaps = np.flatnonzero(joined == 32)
-    start = np.concatenate([[0], gaps + 1])
-    end = np.concatenate([gaps, [n]])
-    return mix((sums[end] - sums[start]) * _powers.down[start] + (end - start).astype("u8"))
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    out, at = [], 0
+    while at < len(raw):
+        to = at + PIECE
+        if to < len(raw):  # pieces end at a blank
+            blank = _BLANK.search(raw, to)
+            to = blank.start() if blank else len(raw)
+        words = raw[at:to].split()
+        at = to
+        if words:
+            joined = np.frombuffer(b" ".join(words), np.uint8)
+            gaps = np.flatnonzero(joined == 32)
+            out.append(hash_words(joined, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])))
+    return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
