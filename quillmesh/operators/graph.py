@@ -88,42 +88,43 @@ def expand(edges: DataFrame, start: DataFrame, depth: int, direction: str = "bot
 
     Returns ``node_id, depth, direction, ord, trace`` of the nodes reached (first discovery by
     frontier order, direction, edge; ``trace`` lists the steps) and ``edge_id, hop, ord`` of all
-    edges touched, those between visited nodes included.
+    edges touched, those between visited nodes included.  A node's place in its frontier is the
+    list of choices that lead to it, which compares as the frontier's order does, so frontiers
+    of any size are ordered without gathering them in one task.
     """
     if not 0 <= depth <= most_depth:
         raise ValueError(f"depth must lie in 0..{most_depth}")
     step = "array<struct<from:string,edge_id:string,direction:string,to:string>>"
     near = adjacency(edges.select("edge_id", "source_node_id", "target_node_id"), direction)
+    place = lambda k, e: F.struct(k.cast("long").alias("k"), e.alias("e"))
     visited = durable(
-        start.select("node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("direction"), F.col("ord").cast("long").alias("ord"), F.expr(f"cast(array() AS {step})").alias("trace"))
+        start.select(
+            "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("direction"), F.array(place(F.col("ord"), F.col("node_id"))).alias("ord"), F.expr(f"cast(array() AS {step})").alias("trace")
+        )
     )
     frontier, touched = visited, None
     for hop in range(1, depth + 1):
         found = durable(
             near.join(frontier.select(F.col("node_id").alias("at"), F.col("ord").alias("from_ord"), "trace"), "at").select(
-                "at", "near", "direction", "dir_rank", "edge_id", "from_ord", "trace"
+                "at", "near", "direction", "edge_id", F.array_append("from_ord", place(F.col("dir_rank"), F.col("edge_id"))).alias("ord"), "trace"
             )
         )
-        order = F.struct("from_ord", "dir_rank", "edge_id")
-        seen = found.groupBy("edge_id").agg(F.min(order).alias("ord")).select("edge_id", F.lit(hop).alias("hop"), "ord")
+        seen = found.groupBy("edge_id").agg(F.min("ord").alias("ord")).select("edge_id", F.lit(hop).alias("hop"), "ord")
         touched = seen if touched is None else touched.unionByName(seen)
         first = found.join(visited.select(F.col("node_id").alias("near")), "near", "left_anti").groupBy("near").agg(
-            F.min_by(F.struct("at", "direction", "trace", "from_ord", "dir_rank", "edge_id"), order).alias("f")
+            F.min_by(F.struct("at", "direction", "trace", "edge_id", "ord"), "ord").alias("f")
         )
         step_now = F.struct(F.col("f.at").alias("from"), F.col("f.edge_id").alias("edge_id"), F.col("f.direction").alias("direction"), F.col("near").alias("to"))
-        # the frontier of a bounded search is numbered in one sorted run
-        numbered = F.row_number().over(Window.orderBy("f.from_ord", "f.dir_rank", "f.edge_id"))
         frontier = durable(
             first.select(
-                F.col("near").alias("node_id"), F.lit(hop).alias("depth"), F.col("f.direction").alias("direction"),
-                numbered.cast("long").alias("ord"), F.concat("f.trace", F.array(step_now)).alias("trace"),
+                F.col("near").alias("node_id"), F.lit(hop).alias("depth"), F.col("f.direction").alias("direction"), F.col("f.ord").alias("ord"), F.concat("f.trace", F.array(step_now)).alias("trace")
             )
-        )
+        )
         if frontier.isEmpty():
             break
         visited = durable(visited.unionByName(frontier))
     if touched is None:
-        touched = edges.limit(0).select("edge_id", F.lit(1).alias("hop"), F.struct(F.lit(1).cast("long").alias("from_ord"), F.lit(0).alias("dir_rank"), "edge_id").alias("ord"))
+        touched = edges.limit(0).select("edge_id", F.lit(1).alias("hop"), F.array(place(F.lit(1), F.col("edge_id"))).alias("ord"))
     first_hop = touched.groupBy("edge_id").agg(F.min(F.struct("hop", "ord")).alias("m")).select("edge_id", "m.hop", F.col("m.ord").alias("ord"))
     return visited, first_hop
 

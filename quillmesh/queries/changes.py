@@ -167,11 +167,27 @@ def stream_cdc_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.SnapshotState(spark, f"{root}/state").read().select("source_uri", "revision", "exists_status")
 
 
+def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into a store; what its tables hold after it, and after an eighth of them has gone."""
+    from quillmesh.plans.components import shared_folder
+    from quillmesh.store import KnowledgeStore
+
+    store = KnowledgeStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("relative_path"), "text", "doc_id")
+    out = []
+    for step, rows in ((1, files), (2, files.filter("doc_id % 8 != 0"))):
+        store.ingest(rows)
+        out += [(step, name, store.read(name).count()) for name in ("chunks", "vectors", "nodes", "edges", "node_sources")]
+        out.append((step, "active", store.read("sources").filter("exists_status = 'active'").count()))
+    return spark.createDataFrame(out, "step int, name string, rows long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         documents_page, viz_nodes_page, graph_revision, cache_prune_lru, jobs_keep_newest, status_counts, cache_keys, scan_diff, cdc_classify, cdc_merged_state,
         cdc_latest_state, cdc_arrival, delete_document_cascade, delete_node_isolated_sources, integrity_violations, managed_paths, file_map, stream_cdc_foreachbatch,
+        store_ingest,
     )
 }
 

@@ -96,11 +96,24 @@ def entity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.dedupe_entities(mentions)
 
 
+def pre_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lossless parts of at most 2,000 signs of every document."""
+    parts = chunking.explode_parts(table(spark, sf_dir, "documents"), lambda t: chunking.pre_split(t, 2000))
+    return parts.select("doc_id", "part_index", F.length("part").alias("signs"), F.md5(F.col("part").cast("binary")).alias("part_md5"))
+
+
+def rebuilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts put together again: the documents they came from."""
+    parts = chunking.explode_parts(table(spark, sf_dir, "documents"), lambda t: chunking.heading_sections(t, 3000))
+    whole = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_index", "part"))).alias("l"))
+    return whole.select("doc_id", F.md5(F.array_join(F.transform("l", lambda x: x["part"]), "").cast("binary")).alias("text_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_count, fixed_chunks, hier_chunks, chunk_parents, chunk_families, content_hashes, lexical_floor, repeated_edge_lines,
-        markdown_table, html_to_markdown, log_redaction, rule_entities, entity_dedupe,
+        markdown_table, html_to_markdown, log_redaction, rule_entities, entity_dedupe, pre_split_parts, rebuilt_texts,
     )
 }
 
@@ -123,6 +136,7 @@ _TREE = f"""{_COUNTED}, levels AS ({_LEVELS}), windows AS (
 )"""
 
 ORACLE = {
+    "rebuilt_texts": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''",
     "token_count": f"WITH {_COUNTED} SELECT doc_id, n AS tokens FROM counted",
     "fixed_chunks": f"""
         WITH parts AS (

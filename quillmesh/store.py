@@ -291,7 +291,7 @@ class KnowledgeStore:
             entities = [planning.Entity(t, t) for t in dict.fromkeys(terms)] or entities
         least = self.settings.default_confidence if threshold is None else threshold
         hit = durable(graph.match_nodes(planning.entity_frame(self.spark, entities[: self.settings.max_entities]), nodes, least, key=norm_key_full, keys=norm_keys_full))
-        order = F.row_number().over(graph.Window.orderBy(F.desc("score"), "keyword", "node_id"))  # matches of one query
+        order = F.round(F.col("score") * -1e6).cast("long")  # best first, then by id
         visited, touched = graph.expand(edges, hit.select("node_id", order.alias("ord")), depth, direction)
         near = edges.join(touched.select("edge_id"), "edge_id", "left_semi")
         return {
