@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import difflib_ratio, norm_key, ratio_bound
+from quillmesh.functions.text import difflib_ratio, norm_key
 from quillmesh.operators.evidence import edge_key, terms
 from quillmesh.plans.components import connected_components, durable
 
@@ -52,27 +52,39 @@ def exact_candidates(nodes: DataFrame, limit: int, key=norm_key) -> DataFrame:
 
 
 def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, blocks: list, limit: int = 200, key=norm_key) -> DataFrame:
-    """Merge pairs by names, summaries and neighbours: ``a, b, score``.
+    """The ``limit`` best merge pairs by names, summaries and neighbours: ``a, b, score``.
 
-    ``blocks`` are expressions over nodes; a pair is scored where one of them agrees.  A score of
-    ``least`` needs a name similarity of (least - 0.35) / 0.65, and no ratio exceeds what lengths
-    and shared signs allow, so the costly ratio runs on few pairs and none is lost by it.
+    ``blocks`` are expressions over nodes; a pair is scored where one of them agrees.  Costly
+    parts of a score run on pairs only that can still matter, and none is lost by it: a score of
+    ``least`` needs a name similarity of (least - 0.35) / 0.65; no similarity exceeds what the
+    edit distance allows; and a pair whose best conceivable score lies below the ``limit``-th
+    score already certain can't be among the first.
     """
     named = nodes.select("node_id", "keyword", key(F.col("keyword")).alias("name"), F.substring(key(F.col("summary")), 1, SUMMARY_SIGNS).alias("gist"), F.array(*blocks).alias("blocks"))
     spread = named.withColumn("block", F.explode(F.array_distinct("blocks"))).drop("blocks")
     side = lambda x: spread.select("block", F.col("node_id").alias(x), F.col("name").alias(f"{x}_name"), F.col("gist").alias(f"{x}_gist"))
     need = (least - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE
-    short, long = F.least(F.length("a_name"), F.length("b_name")), F.length("a_name") + F.length("b_name")
-    pairs = (
-        side("a").join(side("b"), "block").filter((F.col("a") < F.col("b")) & (2.0 * short >= need * long))
-        .drop("block").distinct().filter(ratio_bound(F.col("a_name"), F.col("b_name")) >= need)
-    )
+    both = F.length("a_name") + F.length("b_name")
+    # matching parts are a common subsequence, so the ratio is at most 1 - distance / length
+    near_enough = (2.0 * F.least(F.length("a_name"), F.length("b_name")) >= need * both) & (F.levenshtein("a_name", "b_name") <= (1 - need) * both)
+    pairs = side("a").join(side("b"), "block").filter((F.col("a") < F.col("b")) & near_enough).drop("block").distinct()
+
+    def contenders(rows: DataFrame, sure, best) -> DataFrame:
+        certain = rows.select(sure.alias("s")).orderBy(F.desc("s")).limit(limit)
+        edge = certain.agg(F.min("s").alias("s"), F.count("*").alias("n")).first()
+        bar = max(least, edge["s"]) if edge["n"] == limit else least
+        return rows.filter(best >= bar)
+
     scored = durable(pairs.withColumn("lex", difflib_ratio("a_name", "b_name")).filter(F.col("lex") >= need))
-    near = neighbour_jaccard(scored.select("a", "b"), neighbour_signatures(edges, nodes, key))
-    full = scored.join(near, ["a", "b"]).withColumn("alike", difflib_ratio("a_gist", "b_gist"))
-    mixed = NAME_SHARE * F.col("lex") + SUMMARY_SHARE * F.col("alike") + NEIGHBOUR_SHARE * F.col("jaccard")
-    score = F.greatest("lex", mixed)
-    return full.select("a", "b", "a_name", "b_name", score.alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), "a_name", "b_name", "a", "b").limit(limit).select("a", "b", "score")
+    lex = F.col("lex")
+    some = contenders(scored, lex, F.greatest(lex, NAME_SHARE * lex + SUMMARY_SHARE + NEIGHBOUR_SHARE))
+    told = durable(some.withColumn("alike", difflib_ratio("a_gist", "b_gist")))
+    mixed = NAME_SHARE * lex + SUMMARY_SHARE * F.col("alike")
+    left = durable(contenders(told, F.greatest(lex, mixed), F.greatest(lex, mixed + NEIGHBOUR_SHARE)))
+    near = neighbour_jaccard(left.select("a", "b"), neighbour_signatures(edges, nodes, key))
+    score = F.greatest("lex", mixed + NEIGHBOUR_SHARE * F.col("jaccard"))
+    full = left.join(near, ["a", "b"]).select("a", "b", "a_name", "b_name", score.alias("score"))
+    return full.filter(F.col("score") >= least).orderBy(F.desc("score"), "a_name", "b_name", "a", "b").limit(limit).select("a", "b", "score")
 
 
 def keep_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
