@@ -213,19 +213,22 @@ def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("k")).select(
         "node", F.transform("k", lambda k: k["band"]).alias("bands"), F.transform("k", lambda k: k["bucket"]).alias("keys")
     )
-    members = buckets.join(keys, "node").join(sets.withColumn("bytes", F.octet_length("shingles")), "node")
+    sizes = sets.groupBy("node").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
     whole = Window.partitionBy("bucket")
-    blocks = F.greatest(
-        F.ceil(F.count("*").over(whole) / BLOCK_MEMBERS), F.ceil(F.sum("bytes").over(whole) / BLOCK_BYTES)
-    ).cast("int")
-    sized = buckets.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node").select("bucket", "node", blocks.alias("blocks"))
-    counts = sized.groupBy("bucket").agg(F.first("blocks").alias("blocks"))
-    dealt = members.join(counts, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*").over(whole) / BLOCK_MEMBERS), F.ceil(F.sum("bytes").over(whole) / BLOCK_BYTES)).cast("int")
+    dealt = (
+        buckets.select("bucket", "band", "node", "component")
+        .join(sizes, "node")
+        .withColumn("blocks", blocks)
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
     met = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")),
     )
-    copies = dealt.withColumn("met", F.explode(met)).select("bucket", "band", "met.i", "met.j", "mine", "node", "component", "bands", "keys", "shingles")
+    # few numbers a row up to here; sets are joined last and dealt once
+    places = dealt.withColumn("met", F.explode(met)).select("bucket", "band", "met.i", "met.j", "mine", "node", "component")
+    copies = places.join(keys, "node").join(sets, "node").select("bucket", "band", "i", "j", "mine", "node", "component", "bands", "keys", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         band, i, j = int(group["band"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
