@@ -56,7 +56,7 @@ def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy:
             scored.filter("lexical IS NULL")
             .select("node_id", "keyword", "confidence", F.explode("asked").alias("a"), "held")
             .select("node_id", "keyword", "confidence", "a", F.explode("held").alias("h"))
-            .filter((F.col("a") != "") & (F.col("h") != "") & (ratio_bound(F.col("a"), F.col("h")) * F.col("confidence") >= threshold))
+            .filter((F.col("a") != "") & (F.col("h") != "") & (ratio_bound(F.col("a"), F.col("h")) * F.col("confidence") >= threshold - 1e-9))
         )
         likely = pairs.select("node_id", "keyword", (difflib_ratio("a", "h") * F.col("confidence")).alias("score"))
         sure = sure.unionByName(likely)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import difflib_ratio, norm_key
+from quillmesh.functions.text import difflib_ratio, norm_key, ratio_bound
 from quillmesh.operators.evidence import edge_key, terms
 from quillmesh.plans.components import connected_components, durable
 
@@ -65,8 +65,7 @@ def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, blocks: l
     side = lambda x: spread.select("block", F.col("node_id").alias(x), F.col("name").alias(f"{x}_name"), F.col("gist").alias(f"{x}_gist"))
     need = (least - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE
     both = F.length("a_name") + F.length("b_name")
-    # matching parts are a common subsequence, so the ratio is at most 1 - distance / length
-    near_enough = (2.0 * F.least(F.length("a_name"), F.length("b_name")) >= need * both) & (F.levenshtein("a_name", "b_name") <= (1 - need) * both)
+    near_enough = (2.0 * F.least(F.length("a_name"), F.length("b_name")) >= need * both) & (ratio_bound(F.col("a_name"), F.col("b_name")) >= need - 1e-9)
     pairs = side("a").join(side("b"), "block").filter((F.col("a") < F.col("b")) & near_enough).drop("block").distinct()
 
     def contenders(rows: DataFrame, sure, best) -> DataFrame:

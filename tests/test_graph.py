@@ -114,3 +114,17 @@ def test_resolution_needs_one_node(spark):
 
     got = {r.mention_id: r.node_id for r in E.resolve_mentions(said, nodes, norm_key).collect()}
     assert got[1] == "a" and got[2].startswith("new:") and got[3].startswith("new:")
+
+
+def test_ratio_never_exceeds_its_bound(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from quillmesh.functions.text import difflib_ratio, ratio_bound
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randrange(12)))
+    rows = [(word(), word()) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", ratio_bound(df.a, df.b).alias("most"), difflib_ratio("a", "b").alias("ratio")).collect():
+        assert r.ratio == SequenceMatcher(None, r.a, r.b).ratio() <= r.most + 1e-9
