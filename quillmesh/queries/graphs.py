@@ -103,7 +103,7 @@ def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bfs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir).filter("relation != 'supplies'")
+    edges = _edges(spark, sf_dir)
     visited, _ = graph.expand(edges, _start(spark), 2)
     return graph.paths(visited, edges, node_names(spark, sf_dir)).select("path", "weight", F.array_join("edge_ids", ",").alias("edge_ids"))
 
@@ -113,6 +113,23 @@ def paths_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("hops").cast("long").alias("hops"), F.array_join("edge_ids", ",").alias("edge_ids"), F.array_join("nodes", ",").alias("nodes"))
 
 
+def bfs_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bfs_distance`` over every relation, as the queries below named ``_all`` are."""
+    visited, _ = graph.expand(_edges(spark, sf_dir), _start(spark), 3)
+    return visited.select("node_id", F.col("depth").cast("long").alias("depth"))
+
+
+def bfs_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, touched = graph.expand(_edges(spark, sf_dir), _start(spark), 2)
+    return touched.select("edge_id", F.col("hop").cast("long").alias("hop"))
+
+
+def paths_two_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a supplier, which has relations of both kinds."""
+    found = graph.readable_paths(_edges(spark, sf_dir), "supplier:5")
+    return found.select(F.col("hops").cast("long").alias("hops"), F.array_join("edge_ids", ",").alias("edge_ids"), F.array_join("nodes", ",").alias("nodes"))
+
+
 def relations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relation_text(_edges(spark, sf_dir), node_names(spark, sf_dir))
 
@@ -137,6 +154,16 @@ def neighborhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("edge_id")
 
 
+def neighborhood_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _, _ = graph.neighbourhood(_edges(spark, sf_dir), "supplier:5", 3, node_limit=1000)
+    return nodes.select("node_id", F.col("depth").cast("long").alias("depth"))
+
+
+def neighborhood_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _, _ = graph.neighbourhood(_edges(spark, sf_dir), "supplier:5", 2, node_limit=1000, edge_limit=5000)
+    return edges.select("edge_id")
+
+
 def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of a node, both ways, by name."""
     near = graph.neighbours(_edges(spark, sf_dir), "supplier:5")
@@ -184,6 +211,10 @@ def neighbor_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organise.neighbour_signatures(places_edges(spark, sf_dir), node_names(spark, sf_dir))
 
 
+def neighbor_signatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return organise.neighbour_signatures(_edges(spark, sf_dir), node_names(spark, sf_dir))
+
+
 def neighbor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with neighbouring numbers."""
     pairs = table(spark, sf_dir, "supplier").select(
@@ -255,6 +286,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_evidence_agg, edge_evidence_agg, evidence_upsert, entity_resolution_unique, chunk_node_links, node_match_lexical, node_match_fuzzy,
+        bfs_distance_all, bfs_edges_all, paths_two_hop_all, neighborhood_bounded_all, neighborhood_edges_all, neighbor_signatures_all,
         neighbors, bfs_distance, bfs_edges, bfs_paths, paths_two_hop, relations_text, groups_of_nodes, neighborhood_bounded, neighborhood_edges,
         node_detail, full_graph_groups, entity_search_ranked, document_search, graph_filters, draft_merge, neighbor_signatures, neighbor_jaccard,
         merge_candidates_exact, merge_candidates_fuzzy, keep_node, node_merge_rewire, connected_components, qualified_communities, community_stats,
@@ -286,6 +318,7 @@ _SIGNED = """signed AS (
     SELECT source_node_id AS node_id, 'out:' || lower(relation) || ':' || lower(keyword) AS signature FROM {t} JOIN nodes ON target_node_id = node_id
     UNION SELECT target_node_id, 'in:' || lower(relation) || ':' || lower(keyword) FROM {t} JOIN nodes ON source_node_id = node_id
 )"""
+_ALL_NEAR = _NEAR.format(t="edges")
 _FAMILIES = """links AS (
     SELECT 'c' || lpad(c_custkey::VARCHAR, 9, '0') AS a, 'c' || lpad((c_custkey + 1)::VARCHAR, 9, '0') AS b FROM customer WHERE c_custkey % 10 <> 9
     UNION ALL SELECT 's' || lpad((s_suppkey - s_suppkey % 10)::VARCHAR, 9, '0'), 's' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier WHERE s_suppkey % 10 <> 0
@@ -350,6 +383,31 @@ ORACLE = {
         )
         SELECT hops, edge_ids, nodes FROM found ORDER BY hops, o LIMIT 20
     """,
+    "bfs_distance_all": f"WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 3)} SELECT node_id, depth FROM dist",
+    "bfs_edges_all": f"""
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 2)}
+        SELECT edge_id, min(depth) + 1 AS hop FROM near JOIN dist ON here = node_id WHERE depth < 2 GROUP BY edge_id
+    """,
+    "paths_two_hop_all": f"""
+        WITH {SQL_EVIDENCE}, {SQL_EDGES}, found AS (
+            SELECT 1 AS hops, edge_id AS edge_ids, source_node_id || ',' || target_node_id AS nodes, [edge_id] AS o FROM edges WHERE 'supplier:5' IN (source_node_id, target_node_id)
+            UNION ALL SELECT 2, a.edge_id || ',' || b.edge_id, concat_ws(',', a.source_node_id, a.target_node_id, b.target_node_id), [a.edge_id, b.edge_id]
+            FROM edges a JOIN edges b ON a.target_node_id = b.source_node_id
+            WHERE 'supplier:5' IN (a.source_node_id, a.target_node_id, b.target_node_id)
+              AND a.source_node_id <> a.target_node_id AND b.source_node_id <> b.target_node_id AND a.source_node_id <> b.target_node_id
+        )
+        SELECT hops, edge_ids, nodes FROM found ORDER BY hops, o LIMIT 20
+    """,
+    "neighborhood_bounded_all": f"""
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach("('supplier:5', 0)", 3)}
+        SELECT node_id, depth FROM dist ORDER BY depth, node_id LIMIT 1000
+    """,
+    "neighborhood_edges_all": f"""
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach("('supplier:5', 0)", 2)},
+        kept AS (SELECT node_id FROM dist ORDER BY depth, node_id LIMIT 1000)
+        SELECT edge_id FROM edges WHERE source_node_id IN (FROM kept) AND target_node_id IN (FROM kept) ORDER BY edge_id LIMIT 5000
+    """,
+    "neighbor_signatures_all": f"WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}, {_SIGNED.format(t='edges')} SELECT node_id, signature FROM signed",
     "relations_text": f"""
         WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}
         SELECT edge_id, a.keyword || '->[' || relation || ']->' || b.keyword AS text
