@@ -51,6 +51,17 @@ def entity_resolution_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.resolve_mentions(mentions, nodes, norm_key)
 
 
+def entity_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_resolution_unique`` with mentions of all parts."""
+    nodes = node_names(spark, sf_dir).filter("node_id LIKE 'part:%'")
+    mentions = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("mention_id"),
+        F.upper(F.concat_ws(" ", "p_name", ((F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(5000)) % 1500).cast("string"))).alias("keyword"),
+        F.expr("cast(array() AS array<string>)").alias("aliases"),
+    )
+    return evidence.resolve_mentions(mentions, nodes, norm_key)
+
+
 def chunk_node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id")
@@ -144,6 +155,11 @@ def groups_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.groups_of(_members(spark, sf_dir), some)
 
 
+def groups_of_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all suppliers."""
+    return graph.groups_of(_members(spark, sf_dir), node_names(spark, sf_dir).filter("node_id LIKE 'supplier:%'"))
+
+
 def neighborhood_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _, _, _ = graph.neighbourhood(places_edges(spark, sf_dir), START, 3, node_limit=60)
     return nodes.select("node_id", F.col("depth").cast("long").alias("depth"))
@@ -207,6 +223,16 @@ def draft_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("node_id"), "component")
 
 
+def draft_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``draft_merge`` of all parts; no SQL, whose recursion would hold all pairs of a component."""
+    nodes = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_name").alias("keyword"), F.array("p_type").alias("aliases")
+    )
+    from quillmesh.plans.components import connected_components
+
+    return connected_components(organise.exact_merges(nodes)).select(F.col("node").alias("node_id"), "component")
+
+
 def neighbor_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organise.neighbour_signatures(places_edges(spark, sf_dir), node_names(spark, sf_dir))
 
@@ -286,6 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_evidence_agg, edge_evidence_agg, evidence_upsert, entity_resolution_unique, chunk_node_links, node_match_lexical, node_match_fuzzy,
+        entity_resolution_all, groups_of_nodes_all, draft_merge_all,
         bfs_distance_all, bfs_edges_all, paths_two_hop_all, neighborhood_bounded_all, neighborhood_edges_all, neighbor_signatures_all,
         neighbors, bfs_distance, bfs_edges, bfs_paths, paths_two_hop, relations_text, groups_of_nodes, neighborhood_bounded, neighborhood_edges,
         node_detail, full_graph_groups, entity_search_ranked, document_search, graph_filters, draft_merge, neighbor_signatures, neighbor_jaccard,
@@ -383,6 +410,15 @@ ORACLE = {
         )
         SELECT hops, edge_ids, nodes FROM found ORDER BY hops, o LIMIT 20
     """,
+    "entity_resolution_all": f"""
+        WITH {SQL_NODES}, terms AS (
+            SELECT DISTINCT node_id, lower(t) AS term FROM (SELECT node_id, unnest(list_append(aliases, keyword)) AS t FROM nodes WHERE node_id LIKE 'part:%')
+        ), m AS (
+            SELECT p_partkey AS mention_id, lower(p_name || ' ' || ((p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 5000 END) % 1500)) AS k FROM part
+        ), hits AS (SELECT mention_id, k, count(DISTINCT node_id) AS n, min(node_id) AS hit FROM m LEFT JOIN terms ON term = k GROUP BY ALL)
+        SELECT mention_id, CASE WHEN n = 1 THEN hit ELSE 'new:' || substr(sha256(k), 1, 16) END AS node_id FROM hits
+    """,
+    "groups_of_nodes_all": f"WITH {SQL_EVIDENCE}, {_MEMBERS} SELECT DISTINCT group_id FROM members WHERE node_id LIKE 'supplier:%'",
     "bfs_distance_all": f"WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 3)} SELECT node_id, depth FROM dist",
     "bfs_edges_all": f"""
         WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 2)}

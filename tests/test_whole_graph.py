@@ -48,3 +48,33 @@ def test_parts_are_reached(spark, sf_dir):
     for query in ("bfs_edges_all", "neighborhood_edges_all"):
         assert run(query).filter("edge_id LIKE '%|supplies|%'").count() > 0, query
     assert run("paths_two_hop_all").filter("edge_ids LIKE '%|supplies|%'").count() > 0
+
+
+def test_drafts_of_all_parts_merge(spark, sf_dir, tmp_path):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n = 600
+    made = spark.range(n).selectExpr("id AS p_partkey", "concat('name ', id % 400) AS p_name", "concat('type ', id % 7 + 10 * (id % 2)) AS p_type")
+    other = [c for c in part.columns if c not in made.columns]
+    made.selectExpr(*made.columns, *[f"cast(NULL AS {dict(part.dtypes)[c]}) AS {c}" for c in other]).write.parquet(str(tmp_path / "part.parquet"))
+    for place in (sf_dir, str(tmp_path)):
+        rows = {f"m{r.p_partkey}": {r.p_name.lower(), r.p_type.lower()} for r in spark.read.parquet(f"{place}/part.parquet").collect()}
+        group = {m: {m} for m in rows}
+        of_term: dict[str, str] = {}
+        for m, terms in rows.items():
+            for t in terms:
+                other_one = of_term.setdefault(t, m)
+                if group[m] is not group[other_one]:
+                    group[m] |= group[other_one]
+                    for x in group[other_one]:
+                        group[x] = group[m]
+        want = {m: min(g) for m, g in group.items() if len(g) > 1}
+        got = catalog.QUERIES["draft_merge_all"](spark, place).collect()
+        assert {r.node_id: r.component for r in got} == want and len(got) == len(want)
+    assert len(want) == n  # parts 500 and above take part
+
+
+def test_no_part_or_supplier_is_left_out(spark, sf_dir):
+    run = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    part, nodes = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
+    assert run("entity_resolution_all").count() == part.count()
+    assert {r.group_id for r in run("groups_of_nodes_all").collect()} == {f"nation:{r.s_nationkey}" for r in nodes.collect()}
