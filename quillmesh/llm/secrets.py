@@ -2,7 +2,7 @@ r"""Secret scans with a randomness test battery (operator 6), in DataFrame funct
 
 Base kinds are patterns: ``assign`` (a credential's name, a sign, 12 or more signs), ``access``
 (key ids) and ``hex`` runs.  The method adds kind ``random``: runs of 20 or more signs of
-the base64 family that hold letters and digits.  Each run's encoding is the smallest that
+the base64 family that hold letters and digits, cut where no encoding holds them.  Each run's encoding is the smallest that
 holds it (hex, base32, lower-case alphanumeric, alphanumeric, base64), and gives each sign
 its ordinal.  Three statistics compare the ordinals with uniform randomness:
 
@@ -36,7 +36,18 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-RANDOM = r"[A-Za-z0-9+/=_-]{20,}+"
+_RUN_STARTS = r"(?<![A-Za-z0-9+/_-])"
+#: ``=`` pads a run and never joins two.  A run is taken whole where one encoding can hold it,
+#: otherwise by the parts between ``+`` and ``/``; signs of padding count towards the 20.
+RANDOM = (
+    rf"{_RUN_STARTS}[A-Za-z0-9+/]{{20,}}+(?![_-])=*+|{_RUN_STARTS}(?:[A-Za-z0-9+/]{{18}}==|[A-Za-z0-9+/]{{19}}=)=*+"
+    r"|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+=*+|(?<![A-Za-z0-9_-])(?:[A-Za-z0-9_-]{18}==|[A-Za-z0-9_-]{19}=)=*+"
+)
+#: The parts between ``-`` and ``_`` of a run that holds ``+`` or ``/`` too.
+RANDOM_PARTS = (
+    r"(?<=[_-])(?=[A-Za-z0-9]*+[+/])[A-Za-z0-9+/]{20,}+=*+"
+    rf"|{_RUN_STARTS}(?=[A-Za-z0-9]*+[+/])[A-Za-z0-9+/]{{20,}}+(?=[_-])"
+)
 KINDS = ("assign", "access", "hex", "random")
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: name, what it holds, alphabet in the order of the ordinals
@@ -205,9 +216,9 @@ def scored(runs: Column) -> Column:
 
 
 def with_parts(docs: DataFrame) -> DataFrame:
-    """The input with a column ``parts_<kind>`` of ``gaps`` and ``matches`` for each kind."""
+    """The input with a column ``parts_<kind>`` of ``gaps`` and ``matches`` for each kind, and for parts of runs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM), strict=True))
+    patterns = dict(zip((*KINDS, "within"), (ASSIGN, ACCESS, HEX, RANDOM, RANDOM_PARTS), strict=True))
     out = docs
     for kind, pattern in patterns.items():
         gaps, matches = _parts(text, pattern)
@@ -220,10 +231,11 @@ def found_spans(docs: DataFrame) -> DataFrame:
     parts = with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     held = parts.select(
         "doc_id",
-        *[F.struct(_spans(f"parts_{k}.gaps", f"parts_{k}.matches").alias("spans"), F.col(f"parts_{k}.matches").alias("matches")).alias(k) for k in KINDS],
+        *[F.struct(_spans(f"parts_{k}.gaps", f"parts_{k}.matches").alias("spans"), F.col(f"parts_{k}.matches").alias("matches")).alias(k) for k in (*KINDS, "within")],
     )
 
-    held = held.withColumn("random", F.struct("random.spans", scored(F.col("random.matches")).alias("scores")))
+    runs = F.struct(F.concat("random.spans", "within.spans").alias("spans"), F.concat("random.matches", "within.matches").alias("matches"))
+    held = held.withColumn("random", runs).withColumn("random", F.struct("random.spans", scored(F.col("random.matches")).alias("scores")))
 
     def base(kind: str, rank: int) -> Column:
         spans = F.zip_with(f"{kind}.spans", f"{kind}.matches", lambda s, m: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), m.alias("match")))
@@ -279,7 +291,7 @@ def redact_secrets(docs: DataFrame, rate: float = 0.05, mark: str = MARK) -> Dat
     Two passes over the texts: the first yields the threshold, a single number.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = docs.select(_parts(text, RANDOM)[1].alias("runs"))
+    parts = docs.select(F.concat(_parts(text, RANDOM)[1], _parts(text, RANDOM_PARTS)[1]).alias("runs"))
     z = parts.select(F.explode(scored(F.col("runs"))).alias("c")).filter(F.col("c.z").isNotNull()).select("c.z")
     threshold = discovery_threshold(z, rate)
 
@@ -293,7 +305,7 @@ def redact_secrets(docs: DataFrame, rate: float = 0.05, mark: str = MARK) -> Dat
         return F.transform(scored(matches), lambda c: is_secret(c["x"], c["z"], threshold))
 
     out = docs
-    for pattern, rule in ((ASSIGN, long_enough), (ACCESS, all_of_them), (HEX, all_of_them), (RANDOM, random)):
+    for pattern, rule in ((ASSIGN, long_enough), (ACCESS, all_of_them), (HEX, all_of_them), (RANDOM_PARTS, random), (RANDOM, random)):
         out = _replaced(out, pattern, rule, mark)
     return out
 

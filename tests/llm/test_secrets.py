@@ -46,6 +46,29 @@ def test_random_strings_and_words_part(spark):
     found.unpersist()
 
 
+def test_names_and_paths_before_a_random_string(spark):
+    rng = random.Random(4)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sign = lambda more: "".join(rng.choice(plain + more) for _ in range(62)) + "x7"
+    shapes = [("GITHUB_PAT={}", ""), ("AWS_ACCESS_KEY={} ", "+/"), ("u?sig={}&b", ""), ("PASSWORD_HASH={}==", "+/"), ("A_VERY_LONG_NAME_OF_A_KEY_9={}", "_-"), ("/srv/my-app/v_1/{}/x", "_-"), ("my-key_{}", "+/")]
+    made = [(shape.format(key), key) for shape, more in shapes for key in [sign(more) for _ in range(10)]]
+    texts = [t for t, _ in made]
+    found = S.found_spans(frame(spark, texts)).cache()
+    spans = {r.doc_id: [texts[r.doc_id][a:b] for a, _, b in r.spans] for r in S.scan_secrets(found).collect()}
+    shown = {r.doc_id: r.text for r in S.redact_secrets(frame(spark, texts)).collect()}
+    for k, (shape, _) in enumerate(shapes):
+        mine = range(k * 10, k * 10 + 10)
+        assert sum(any(made[i][1] in x and "NAME" not in x and "srv" not in x and "my-key" not in x for x in spans[i]) for i in mine) >= 9, shape
+        assert sum(made[i][1] not in shown[i] for i in mine) >= 9, shape
+    found.unpersist()
+
+
+def test_padding_counts_and_never_joins():
+    body = "Ab1" * 6
+    for text, want in ((f"{body}== x", [f"{body}=="]), (f"{body}=", []), (f"{body}c=", [f"{body}c="]), (f"{body}cd={body}cd=", [f"{body}cd=", f"{body}cd="])):
+        assert re.findall(S.RANDOM, text) == want
+
+
 def test_redaction(spark):
     got = {r.doc_id: r.text for r in S.redact_secrets(frame(spark)).collect()}
     for i, t in enumerate(TEXTS):
