@@ -10,10 +10,13 @@ its ordinal.  Three statistics compare the ordinals with uniform randomness:
 * the runs test above and below the middle of the alphabet, squared (1),
 * the lag-1 serial correlation, squared (1).
 
-A random string has a sum X near 9 at any length, while in ordinary text of n signs the sum
-grows with n.  X is thus scored against the hypothesis *ordinary*: a noncentral chi-squared
-with noncentrality ``ORDINARY[encoding] * n`` in normal approximation, whose p value falls
-as a random string gets longer.  Benjamini-Hochberg over all runs of the corpus picks the
+A random string has a sum X near 9 at any length, and X decides what uniform randomness would
+yield.  The hypothesis *ordinary* is scored by letters: the log-likelihood ratio of each sign
+after the one before it, in ordinary text against a random string of the encoding, with case
+changes.  Its mean per pair is compared with that of ordinary runs in normal approximation,
+whose spread falls with length.  Hexadecimal runs hold no words; for them X is scored as a
+noncentral chi-squared with noncentrality ``ORDINARY["hex"] * n``.
+Benjamini-Hochberg over all runs of the corpus picks the
 p value up to which the share of false discoveries stays below ``rate``; it needs a
 histogram of fixed size only.  Runs that uniform randomness would yield once in a thousand
 or less often are never called random.
@@ -27,6 +30,7 @@ overlap; repeated rows are scanned like any other; no candidates, no added spans
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,9 +63,28 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-#: Divergence of ordinary text from uniform, per sign, in each encoding.
-ORDINARY = {"hex": 0.6, "base32": 0.6, "lower36": 0.6, "alnum62": 1.0, "base64": 1.0, "base64url": 1.0}
+#: Divergence of ordinary runs from uniform, per sign.
+ORDINARY = {"hex": 0.6}
 BINS, FREEDOM = 8, 9
+#: Signs by what they are in words: letters without case, a digit, a separator.
+CLASSES = _LOWER + "0-"
+#: How probable a class is after a class in identifiers, paths and prose (code of Python's
+#: library, four languages): a row for each class, 80 + 8 ln(p) as a sign.
+FOLLOWS = (
+    "$686&*2#4#+?8>#3#@<B1,&+1#(/", "@)4)>&$%:5#D)#;-#44*>###7#23", ">#.%?$#=7#97(%D(#4,?3###(#)4", "?*+5E.%&A##1%(8(#.555#%#(#.@",
+    "6(8;10/%-##53=*1/BA9&-*7)#(<", ";(+);;%#D##:$$@(#=16<###,#16", "7&((F)0;:##4-76)#<939%##&#&?", "B+(%E$$/<##/,.>(#42<0#)#,#%=",
+    "31:4515#%#(78E?1#2;=(0#)#2#(", "D##)E#)#1%-###>(##@#=+####-9", "3(.)G(-%A##5*1,-#)8-6*3#(#%B", ">*+2D)%#B##<($<+#$388(##9##9",
+    "B2%&F###;##-2.;?#$1)6###(##:", ";(:=<1?)7#(,(09-#(=A1/%#%##;", "./58%0,#-#*79F07#B45904%###3", "A&()C*#,4##=##=6#?/:4###9#&6",
+    "###(######+6#$($#-)&N$#####5", "?(/1D*1%>#0+43>)#:8:1+)#1##8", "1#5$A*$5<#0-*(66&%<F6$(#-##;", ";$.(D*#;A##,*&8)#:420#)#6&&A",
+    "8640=/+#5##<;A-:#<9?###.##3%", "G#,#I%##?###)#0##%(&######,3", "B#(*8%%>D#&,$8;%#=4&$#$$##&=", "6(>&>*#(<##.2#-A#+,C#$#&/#7@",
+    "0//.6*.(2##436-E#5:>%,/#%&)D", "<&(*L#%#7#$(%#9+#$+)8###)),4", "..-1/0#########(##%%###%##N<", "84;9781/9&+68748%6<9013$#%5:",
+)
+#: Neighbouring letters differ in case this often.
+TURNS = 0.0566
+#: Per pair of signs the mean of ordinary runs' log-likelihood ratio, and its variance
+#: among runs of k pairs: SPREAD[0] + SPREAD[1] / k.
+ORDINARY_RATIO = {"base32": 0.5, "lower36": 0.5, "alnum62": 0.5, "base64": 1.05, "base64url": 1.05}
+SPREAD = (0.15, 1.0)
 #: X that a random string exceeds once in a thousand.
 UNLIKELY = 27.9
 #: The histogram's bins of z: width and range.
@@ -131,6 +154,11 @@ def scored(runs: Column) -> Column:
         name: [sum(o * BINS // len(a) == b for o in range(len(a))) / len(a) for b in range(BINS)]
         for name, _, a in ENCODINGS
     }
+    #: ln of the probability of a letter without case, a digit and a separator, and of whether case counts
+    uniform = {}
+    for name, _, a in ENCODINGS:
+        both = float(a[0].isupper() and "a" in a)
+        uniform[name] = [math.log((1 + both) / len(a)), math.log(sum(c.isdigit() for c in a) / len(a)), math.log(2 / len(a)), both]
     named = F.transform(runs, lambda r: F.struct(r.alias("run"), _encoding(r).alias("encoding")))
     known = F.transform(
         named,
@@ -139,6 +167,8 @@ def scored(runs: Column) -> Column:
             _of(r["encoding"], {name: a for name, _, a in ENCODINGS}, "string").alias("letters"),
             _of(r["encoding"], share, "array<double>").alias("share"),
             _of(r["encoding"], ORDINARY, "double").alias("ordinary"),
+            _of(r["encoding"], uniform, "array<double>").alias("uniform"),
+            _of(r["encoding"], ORDINARY_RATIO, "double").alias("usual"),
         ),
     )
     placed = F.transform(
@@ -147,16 +177,38 @@ def scored(runs: Column) -> Column:
             F.transform(F.filter(F.split(r["body"], ""), lambda c: c != ""), lambda c: (F.instr(r["letters"], c) - 1).cast("double")).alias("seq"),
             F.length(r["letters"]).alias("size"),
             F.length(r["body"]).cast("double").alias("n"),
+            F.transform(
+                F.filter(F.split(r["body"], ""), lambda c: c != ""),
+                lambda c: F.struct((F.instr(F.lit(CLASSES), F.translate(F.lower(c), "123456789+/_", "000000000---"))).alias("k"), (F.lower(c) != c).alias("up")),
+            ).alias("signs"),
+            r["uniform"].alias("uniform"),
+            r["usual"].alias("usual"),
             r["share"].alias("share"),
             r["ordinary"].alias("ordinary"),
         ),
     )
+    table = F.array(*[F.lit(row) for row in FOLLOWS])
+    letters, same, turned = len(_LOWER), math.log(2 * (1 - TURNS)), math.log(2 * TURNS)
+
+    def next_to(a: Column) -> Column:
+        rest = F.size(a) - 1
+        return F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(2), rest), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def told(p: Column, uniform: Column) -> Column:
+        """ln of how much likelier the second sign is in ordinary text than in a random string."""
+        before, sign = p["x"], p["y"]
+        follows = (F.ascii(F.substring(F.element_at(table, before["k"]), sign["k"], F.lit(1))) - 80) / 8
+        alone = F.when(sign["k"] <= letters, F.get(uniform, F.lit(0))).when(sign["k"] == letters + 1, F.get(uniform, F.lit(1))).otherwise(F.get(uniform, F.lit(2)))
+        case = F.when((sign["k"] <= letters) & (before["k"] <= letters), F.when(sign["up"] == before["up"], same).otherwise(turned)).otherwise(0.0)
+        return follows - alone + F.get(uniform, F.lit(3)) * case
     counted = F.transform(
         placed,
         lambda r: F.struct(
             r["seq"].alias("seq"),
             r["n"].alias("n"),
             r["ordinary"].alias("ordinary"),
+            F.aggregate(next_to(r["signs"]), F.lit(0.0), lambda acc, p: acc + told(p, r["uniform"])).alias("ratio"),
+            r["usual"].alias("usual"),
             F.transform(r["seq"], lambda o: o * 2 >= r["size"]).alias("above"),
             F.size(F.filter(r["seq"], lambda o: o * 2 >= r["size"])).cast("double").alias("n1"),
             (F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + o) / r["n"]).alias("mean"),
@@ -175,16 +227,14 @@ def scored(runs: Column) -> Column:
         ),
     )
 
-    def next_to(a: Column) -> Column:
-        rest = F.size(a) - 1
-        return F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(2), rest), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
     tested = F.transform(
         counted,
         lambda r: F.struct(
             r["n"].alias("n"),
             r["ordinary"].alias("ordinary"),
             r["chi"].alias("chi"),
+            r["ratio"].alias("ratio"),
+            r["usual"].alias("usual"),
             (2 * r["n1"] * (r["n"] - r["n1"])).alias("mixed"),
             (F.size(F.filter(next_to(r["above"]), lambda p: p["x"] != p["y"])) + 1).alias("runs"),
             F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + (o - r["mean"]) * (o - r["mean"])).alias("spread"),
@@ -195,6 +245,7 @@ def scored(runs: Column) -> Column:
         tested,
         lambda r: F.struct(
             (r["n"] * r["ordinary"]).alias("far"),
+            ((r["ratio"] / (r["n"] - 1) - r["usual"]) / F.sqrt(SPREAD[0] + SPREAD[1] / (r["n"] - 1))).alias("unlike"),
             (
                 r["chi"]
                 + F.when(
@@ -210,7 +261,7 @@ def scored(runs: Column) -> Column:
         summed,
         lambda r: F.struct(
             r["x"].alias("x"),
-            F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (r["x"] - (FREEDOM + r["far"])) / F.sqrt(2 * (FREEDOM + 2 * r["far"])))).alias("z"),
+            F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.coalesce(r["unlike"], (r["x"] - (FREEDOM + r["far"])) / F.sqrt(2 * (FREEDOM + 2 * r["far"]))))).alias("z"),
         ),
     )
 

@@ -46,6 +46,28 @@ def test_random_strings_and_words_part(spark):
     found.unpersist()
 
 
+def test_short_random_strings_among_many_ordinary_runs(spark):
+    rng = random.Random(6)
+    kinds = {name: letters for name, _, letters in S.ENCODINGS if name != "hex"}
+    keys = {}
+    for name, letters in kinds.items():
+        for n in (20, 24, 32, 40):
+            keys[name, n] = ["".join(rng.choice(letters) for _ in range(n - 2)) + letters[-1] + next(c for c in letters if c.isdigit()) for _ in range(12)]
+    usual = "user table index value count report page image account latest order summer green river station update client number service window article product music garden".split()
+    shapes = ("/".join, "_".join, "-".join, "".join, lambda w: "".join(x.title() for x in w))
+    words = [rng.choice(shapes)([rng.choice(usual) for _ in range(rng.randint(4, 6))]) + str(rng.randint(1, 2030)) for _ in range(6000)]
+    secret = [k for ks in keys.values() for k in ks]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 6000, 20)] + secret
+    found = S.found_spans(frame(spark, texts)).cache()
+    hits = {texts[r.doc_id][a:b] for r in S.scan_secrets(found).collect() for a, b in [(x.start, x.end) for x in r.spans if x["rank"] == 3]}
+    share = {at: sum(k in hits for k in ks) / len(ks) for at, ks in keys.items()}
+    got = {n: sum(v for (_, m), v in share.items() if m == n) / len(kinds) for n in (20, 24, 32, 40)}
+    print(share, got, len(hits - set(secret)))
+    assert min(got.values()) >= 0.85 and got[32] >= 0.95
+    assert len(hits - set(secret)) <= 0.1 * len(hits)
+    found.unpersist()
+
+
 def test_names_and_paths_before_a_random_string(spark):
     rng = random.Random(4)
     plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
