@@ -73,6 +73,27 @@ def parse_draft(said: dict) -> Draft:
     return Draft(tuple(entities), tuple(relations))
 
 
+def split_draft(said: dict) -> list[dict]:
+    """What an extractor says, in drafts within the limits; ``merge_drafts`` joins their entities again.
+
+    Entities come in runs, then relations in runs with both of their ends.  Drafts within the limits, and ones that are wrong, stay as they are.
+    """
+    entities, relations = said.get("entities", []), said.get("relations", [])
+    if len(entities) <= MOST_ENTITIES and len(relations) <= MOST_RELATIONS:
+        return [said]
+    by_id = {str(e["local_id"]): e for e in entities}
+    if len(by_id) != len(entities) or any(r["source"] not in by_id or r["target"] not in by_id for r in relations):
+        return [said]
+    rest = {k: v for k, v in said.items() if k not in ("entities", "relations")}
+    out = [{**rest, "entities": entities[i : i + MOST_ENTITIES], "relations": []} for i in range(0, len(entities), MOST_ENTITIES)]
+    most = min(MOST_RELATIONS, MOST_ENTITIES // 2)  # with two ends each
+    for i in range(0, len(relations), most):
+        some = relations[i : i + most]
+        ends = dict.fromkeys(x for r in some for x in (r["source"], r["target"]))
+        out.append({**rest, "entities": [by_id[x] for x in ends], "relations": some})
+    return out
+
+
 def merge_drafts(drafts: list[Draft]) -> Draft:
     """One draft of a source: entities that share a term, over any chain, become one.
 
@@ -143,7 +164,8 @@ def extract_mentions(sources: DataFrame, extractor: Extractor, section_chars: in
             out = []
             for source, content, text in zip(f["source_id"], f["content_hash"], f["text"], strict=True):
                 try:
-                    draft = merge_drafts([parse_draft(extractor(x)) for x in heading_sections(text or "", section_chars)])
+                    said = [part for x in heading_sections(text or "", section_chars) for part in split_draft(extractor(x))]
+                    draft = merge_drafts([parse_draft(x) for x in said])
                 except Exception as why:  # a document's failure is its own
                     out.append((source, content, f"{type(why).__name__}: {why}", *[None] * 9))
                     continue
@@ -167,7 +189,7 @@ def rule_extractor(text: str) -> dict:
     for n in names:
         if key_of(n):
             unique.setdefault(key_of(n), n)
-    chosen = [*unique.values()][:50]
+    chosen = [*unique.values()]
     entities = [{"local_id": str(i), "keyword": n, "evidence_weight": min(1.0, counts.get(n, 2) / 10)} for i, n in enumerate(chosen)]
     relations = [{"source": str(i), "relation": "near", "target": str(i + 1), "evidence_weight": 0.5} for i in range(len(chosen) - 1)]
     return {"schema_version": "1.0", "entities": entities, "relations": relations}

@@ -105,3 +105,16 @@ def test_cache():
 
 def test_settings_are_lenient():
     assert settings_of({"top_k": 3, "rrf_k": "x", "anchor_factor": 2, "no": 1, "max_entities": True}) == Settings(top_k=3, anchor_factor=2.0)
+
+
+def test_dense_sections_lose_no_name(spark):
+    from quillmesh.operators.drafts import MOST_ENTITIES, extract_mentions, rule_extractor
+
+    few = "".join(f"# Heading {i}\n" for i in range(60)) + "Recurring and Recurring"
+    assert "Recurring" in {e["keyword"] for e in rule_extractor(few)["entities"]}
+    many = MOST_ENTITIES + 1200
+    said = spark.createDataFrame([("s", "h", " ".join(f"N{i:04} N{i:04}" for i in range(many)))], "source_id string, content_hash string, text string")
+    rows = extract_mentions(said, rule_extractor, 100_000).collect()
+    assert not [r.error for r in rows if r.error]
+    assert {r.keyword for r in rows if r.relation is None} == {f"N{i:04}" for i in range(many)}
+    assert len([r for r in rows if r.relation is None]) == many and len([r for r in rows if r.relation]) == many - 1
