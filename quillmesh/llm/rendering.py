@@ -244,6 +244,19 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _holds_cell(node: Node) -> bool:
+    """Whether a cell of the same table lies below."""
+    waiting = [node]
+    while waiting:
+        for kid in waiting.pop().kids:
+            if not isinstance(kid, str):
+                if kid.tag in ("td", "th"):
+                    return True
+                if kid.tag != "table":
+                    waiting.append(kid)
+    return False
+
+
 class Layout:
     """Lines of a tree."""
 
@@ -379,22 +392,37 @@ class Layout:
                 elif kid.tag in ("tbody", "thead", "tfoot"):
                     waiting.append(kid)
                 elif kid.tag == "tr":
-                    sections[part.tag if part.tag in sections else ""].append(kid)
+                    sections[part.tag if part.tag in sections else ""].append(self.cells(kid, outside))
                 else:  # what can't stand in a table is shown before it
                     self.walk([kid], outside, False)
         for name in ("thead", "", "tfoot"):
             rows += sections[name]
         return [*outside.done(), *captions, *self.grid(rows)]
 
-    def grid(self, rows: list[Node]) -> list[str]:
+    def cells(self, row: Node, outside: Flow) -> list[Node]:
+        """The cells of a row, those within other elements too; what is no cell goes before the table."""
+        out = []
+        for kid in row.kids:
+            if isinstance(kid, str):
+                if kid.strip():
+                    self.walk([kid], outside, False)
+            elif not self.seen(kid):
+                continue
+            elif kid.tag in ("td", "th"):
+                out.append(kid)
+            elif kid.tag != "table" and _holds_cell(kid):
+                out += self.cells(kid, outside)
+            else:
+                self.walk([kid], outside, False)
+        return out
+
+    def grid(self, rows: list[list[Node]]) -> list[str]:
         widths: dict[int, int] = {}
         taken: dict[int, int] = {}  # column -> rows that a cell above still holds
         laid, spans = [], []
         for row in rows:
             column, cells = 0, []
-            for cell in row.kids:
-                if isinstance(cell, str) or cell.tag not in ("td", "th") or not self.seen(cell):
-                    continue
+            for cell in row:
                 while taken.get(column, 0) > 0:
                     column += 1
                 a = cell.attributes() if cell.source else {}

@@ -27,6 +27,11 @@ CASES = {
     "wide signs": ("<table><tr><td>知识<td>x<tr><td>ab<td>y</table>", "知识  x\nab    y"),
     "implied row": ("<table><td>a<td>b</table>", "a  b"),
     "stray in table": ("<table>lost<tr><td>a</table>", "lost\na"),
+    "stray in row": ("<table><tr>note<td>x<tr><td>y</table>", "note\nx\ny"),
+    "stray element in row": ("<table><tr><b>note</b> <td>x</table>", "note\nx"),
+    "cells in a form": ("<table><tr><form><td>a<td>b</form></tr><tr><td>long<td>c</table>", "a     b\nlong  c"),
+    "cells in a link": ("<table><tr><a>z<td>a</a><td>b</table>", "z\na  b"),
+    "hidden in a row": ("<table><tr><form><td hidden>a<td>b</form></tr></table>", "b"),
     "footer last": ("<table><tfoot><tr><td>f<tbody><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
     "pre": ("<pre>\n  a\n\n b  c</pre>x", "  a\n\n b  c\n\nx"),
     "quotes in tags": ("<a title='x > y'>z</a><a title=\"a>b\" href=x>w</a>", "zw"),
