@@ -8,10 +8,12 @@ pairs that it creates, and entries whose pair has changed since are skipped when
 they surface.  That is O(n log n) for a word of n bytes, so one word of a megabyte
 does not stall a task.
 
-Words recur, so their ids are kept in a bounded two-generation cache keyed by the raw
-chunk between blanks; normalisation, splitting and merging run on a miss only.  Chunks
-with letters beyond Latin are normalised and split by the library itself, as Unicode
-tables differ between engines; merging is ours for every chunk.
+A slice of texts is parted at blanks and into pieces by Arrow, column by column, and coded
+by dictionaries: the distinct chunks of the slice, then their distinct pieces.  Python looks
+at each distinct piece once a slice, in a bounded two-generation cache, and merges it on a
+miss; the ids of the texts are gathered from there by offsets.  Chunks with letters beyond
+Latin, or blanks other than space and line feed, are normalised and split by the library
+itself, as Unicode tables differ between engines; merging is ours for every piece.
 
 Defined results: a null text encodes as the empty text (no ids, empty decoded text);
 control strings of the vocabulary found in a text become their single ids, as in the
@@ -24,26 +26,30 @@ import gc
 import heapq
 import json
 import sys
-import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Entries in a generation of the caches of chunks and of words, per Python worker.
-CACHE_CHUNKS, CACHE_WORDS = 250_000, 100_000
-#: Longer chunks are encoded each time they occur.
+#: Entries in a generation of the caches of pieces and of odd chunks, per Python worker.
+CACHE_PIECES, CACHE_CHUNKS = 300_000, 100_000
+#: Longer ones are encoded each time they occur.
 CACHE_CHARS = 40
 #: Rows taken out of an Arrow batch at once.
 SLICE_ROWS = 128
+#: Bytes of text encoded at once; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
+#: Chunks that Arrow can part: Latin without blanks, and without the one letter whose lower case is two.
+SIMPLE = r"^[!-~\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -87,6 +93,18 @@ def raw(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[start : start + size]`` of the picked ones in a row, and how long each is."""
+    n = size[picked]
+    behind = np.cumsum(n)
+    at = np.repeat(start[picked] - behind + n, n) + np.arange(n.sum())
+    return flat[at], n
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Normalising, splitting and caching; how a piece becomes ids is left to ``piece_ids``."""
 
@@ -94,77 +112,84 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        pattern = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._pieces = regex.compile(pattern)
-        self._latin = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*")
+        #: the file's own expression; pieces hold no blanks here, so its blanks don't matter
+        self._pieces = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.symbols = byte_symbols()
         self._bytes = {s: b for b, s in enumerate(self.symbols)}
         self.added = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
-        self._added = regex.compile("|".join(regex.escape(t) for t in self.added)) if self.added else None
-        self._chunks = TwoGenerations(CACHE_CHUNKS)
-        self._words = TwoGenerations(CACHE_WORDS)
+        self._added = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")") if self.added else None
+        self._odd = TwoGenerations(CACHE_CHUNKS)
+        self._known = TwoGenerations(CACHE_PIECES)
 
     def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece that isn't empty."""
         raise NotImplementedError
 
-    def pieces(self, chunk: str) -> list[str]:
-        """A chunk without control strings, normalised and split."""
-        if self._latin.fullmatch(chunk):
-            return self._pieces.findall(unicodedata.normalize("NFC", chunk).lower())
-        text = self.library.normalizer.normalize_str(chunk)
-        found = self.library.pre_tokenizer.pre_tokenize_str(text)
-        return [bytes(map(self._bytes.__getitem__, x)).decode() for x, _ in found]
-
-    def _word(self, piece: str) -> bytes:
-        words = self._words
-        ids = words.young.get(piece)
-        if ids is None:
-            if (ids := words.old.get(piece)) is None:
-                ids = self.piece_ids(piece)
-            words.put(piece, ids)
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk of letters, with a mark behind them or not, needs no splitting by expression."""
-        if chunk.isascii() or self._latin.fullmatch(chunk):
-            low = unicodedata.normalize("NFC", chunk).lower()
-            if low.isalpha():
-                return self._word(low)
-            if low and low[:-1].isalpha() and low[-1] in ",.;:!?":
-                return self._word(low[:-1]) + self._word(low[-1])
-        return b"".join(map(self._word, self.pieces(chunk)))
-
-    def _plain(self, text: str) -> bytes:
-        """No piece spans a blank, so the text is encoded blank by blank."""
-        cache = self._chunks
-        chunks = text.replace("\n", " ").split(" ")
-        out = list(map(cache.young.get, chunks))
+    def _cached(self, cache: TwoGenerations, keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+        out = list(map(cache.young.get, keys))
         i = -1
         for _ in range(out.count(None)):
             i = out.index(None, i + 1)
-            chunk = chunks[i]
-            ids = cache.young.get(chunk)
-            if ids is None:
-                if (ids := cache.old.get(chunk)) is None:
-                    ids = self._chunk(chunk)
-                cache.put(chunk, ids)
-            out[i] = ids
-        return b"".join(out)
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._added is None or not any(t in text for t in self.added):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self._added.finditer(text):
-            out += [self._plain(text[at : m.start()]), raw([self.added[m[0]]])]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+            ids = out[i] = cache.old.get(keys[i]) or make(keys[i])
+            cache.put(keys[i], ids)
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        return self.piece_ids(piece) if piece else b""
+
+    def _odd_chunk(self, chunk: str) -> bytes:
+        """A chunk without control strings that the library normalises and splits."""
+        text = self.library.normalizer.normalize_str(chunk)
+        found = self.library.pre_tokenizer.pre_tokenize_str(text)
+        pieces = [bytes(map(self._bytes.__getitem__, x)).decode() for x, _ in found]
+        return b"".join(self._cached(self._known, pieces, self._piece))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different chunks: all ids, and where in them each chunk's begin and how many they are."""
+        simple = pc.match_substring_regex(chunks, SIMPLE)
+        is_simple = simple.to_numpy(zero_copy_only=False).astype(bool)
+        low = pc.utf8_lower(chunks.filter(simple))
+        parted = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(low, self._pieces, r"\0 "), " "), " ")
+        pieces = parted.flatten().dictionary_encode()
+        known = self._cached(self._known, strings(pieces.dictionary), self._piece)
+        size = np.fromiter(map(len, known), "i8", len(known)) // 4
+        ids, n = gathered(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, pieces.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(n)])[parted.offsets.to_numpy()]
+        odd = self._cached(self._odd, strings(chunks.filter(pc.invert(simple))), self._odd_chunk)
+        sizes = np.zeros(len(chunks), "i8")
+        sizes[is_simple] = np.diff(ends)
+        sizes[~is_simple] = np.fromiter(map(len, odd), "i8", len(odd)) // 4
+        starts = np.zeros(len(chunks), "i8")
+        starts[is_simple] = ends[:-1]
+        starts[~is_simple] = len(ids) + np.cumsum(sizes[~is_simple]) - sizes[~is_simple]
+        return np.concatenate([ids, np.frombuffer(b"".join(odd), "<u4")]), starts, sizes
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """No piece spans a blank, so texts are encoded blank by blank."""
+        parted = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = parted.flatten().dictionary_encode()
+        ids, n = gathered(*self._chunks(chunks.dictionary), chunks.indices.to_numpy())
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[parted.offsets.to_numpy()])
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row (unsigned, 32 bits), and how many each text has; null is empty."""
+        texts = texts.fill_null("")
+        if not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
+            return self._plain(texts)
+        plain, control, row = [], [], []
+        for i, text in enumerate(strings(texts)):
+            parts = [*self._added.split(text), None]  # plain text and control strings take turns
+            plain += parts[::2]
+            control += [-1 if t is None else self.added[t] for t in parts[1::2]]
+            row += [i] * (len(parts) // 2)
+        ids, n = self._plain(pa.array(plain, pa.string()))
+        control = np.array(control, "i8")
+        ids = np.insert(ids, np.cumsum(n)[control >= 0], control[control >= 0].astype("<u4"))
+        return ids, np.bincount(row, n + (control >= 0), len(texts)).astype("i8")
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        with without_cycle_search():
+            return self.encode_texts(pa.array([text], pa.string()))[0].tolist()
 
 
 class BpeCodec(ChunkEncoder):
@@ -246,10 +271,10 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices_of_bytes(batch, 1):
                 with without_cycle_search():
-                    ids = [np.frombuffer(c.encode_bytes(t), "<u4").astype("i4") for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    ids, n = c.encode_texts(part.column(1))
+                yield pa.record_batch([part.column(0), id_lists(ids, n)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -286,21 +311,36 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts hold ``size`` bytes in sum, or the one row that holds more."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype="i8")
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def id_lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype("i4")))
+
+
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>, decoded string``: every text encoded, and its ids decoded.
 
-    One pass without a shuffle, a few rows at a time.
+    One pass without a shuffle, a few megabytes at a time.
     """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices_of_bytes(batch, 1):
                 with without_cycle_search():
-                    ids = [np.frombuffer(c.encode_bytes(t), "<u4").astype("i4") for t in part.column(1).to_pylist()]
-                texts = [c.decode(x.tolist()) for x in ids]
-                columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    ids, n = c.encode_texts(part.column(1))
+                    texts = [c.decode(x.tolist()) for x in np.split(ids, np.cumsum(n)[:-1])]
+                columns = [part.column(0), id_lists(ids, n), pa.array(texts, pa.string())]
                 yield pa.record_batch(columns, ["doc_id", "ids", "decoded"])
 
     out = "doc_id long, ids array<int>, decoded string"
