@@ -25,7 +25,9 @@ Positions: between the matches of a pattern lie the parts that ``split`` returns
 running sums of their lengths give every span in code points.
 
 Defined results: a null text is empty and has no spans; spans of different kinds may
-overlap; repeated rows are scanned like any other; no candidates, no added spans.
+overlap; repeated rows are scanned like any other; no candidates, no added spans; a run of
+any length is scored as a whole; other columns than doc_id and text are not read.  Runs of
+letters only, or of digits only, are words and numbers and never candidates.
 """
 
 from __future__ import annotations
@@ -90,25 +92,32 @@ UNLIKELY = 27.9
 #: The histogram's bins of z: width and range.
 STEP, LOW, HIGH = 0.02, -40.0, 8.0
 BLOCK = 256
+#: Signs in a piece of a text that spans are cut out of.
+PIECE = 4096
 MARK = "[SECRET]"
 
 
-def _starts(lengths: Column) -> Column:
-    """Running sums before each element; blocks keep the copying of accumulators in bounds."""
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The combination (a sum, a maximum) of all earlier values, for each; blocks keep the copying of accumulators in bounds."""
 
     def running(values: Column, start: Column) -> Column:
         zero = F.struct(start.cast("int").alias("at"), F.expr("cast(array() AS array<int>)").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
         return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
     blocks = F.when(
-        F.size(lengths) > 0,
-        F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK)),
+        F.size(values) > 0,
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK)),
     ).otherwise(F.expr("cast(array() AS array<array<int>>)"))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), combine))
     return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), running))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _parts(text: Column, pattern: str) -> tuple[Column, Column]:
     """What lies before each match, and the matches; both empty where there is none."""
     none = F.expr("cast(array() AS array<string>)")
@@ -123,7 +132,7 @@ def _spans(gaps: str, matches: str) -> Column:
     lengths = F.zip_with(
         F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))
     )
-    start = _starts(F.transform(lengths, lambda x: x["g"] + x["m"]))
+    start = _before(F.transform(lengths, lambda x: x["g"] + x["m"]), lambda a, x: a + x)
     return F.zip_with(
         start, lengths, lambda s, x: F.struct((s + x["g"]).alias("start"), (s + x["g"] + x["m"]).alias("end"))
     )
@@ -277,11 +286,10 @@ def with_parts(docs: DataFrame) -> DataFrame:
     return out
 
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, base array<start, rank, end>, candidates array<start, end, x, z>`` without the texts."""
-    parts = with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    held = parts.select(
-        "doc_id",
+def located(docs: DataFrame) -> DataFrame:
+    """The input with ``base array<start, rank, end>`` and ``candidates array<start, end, x, z>``."""
+    held = with_parts(docs).select(
+        *docs.columns,
         *[F.struct(_spans(f"parts_{k}.gaps", f"parts_{k}.matches").alias("spans"), F.col(f"parts_{k}.matches").alias("matches")).alias(k) for k in (*KINDS, "within")],
     )
 
@@ -298,12 +306,17 @@ def found_spans(docs: DataFrame) -> DataFrame:
         "random.spans", "random.scores", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v["x"].alias("x"), v["z"].alias("z"))
     )
     return held.select(
-        "doc_id",
+        *docs.columns,
         F.concat(*[base(k, i) for i, k in enumerate(KINDS[:3])]).alias("base"),
         F.filter(candidates, lambda c: c["z"].isNotNull()).alias("candidates"),
     )
 
 
+def found_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, base, candidates`` without the texts."""
+    return located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "base", "candidates")
+
+
 def discovery_threshold(z: DataFrame, rate: float) -> float | None:
     """The z up to which candidates are discoveries; ``z(z)`` has a row a candidate.
 
@@ -328,44 +341,57 @@ def scan_secrets(found: DataFrame, rate: float = 0.05) -> DataFrame:
     ``found`` is ``found_spans``, cut off by the caller as it is read twice.
     """
     z = found.select(F.explode("candidates").alias("c")).select("c.z")
-    threshold = discovery_threshold(z, rate)
+    return found.select("doc_id", F.array_sort("base").alias("base"), all_spans(discovery_threshold(z, rate)).alias("spans"))
+
+
+def all_spans(threshold: float | None) -> Column:
+    """Base spans and the candidates that are secrets, by place."""
     added = F.transform(
         F.filter("candidates", lambda c: is_secret(c["x"], c["z"], threshold)),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")),
     )
-    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", added)).alias("spans"))
+    return F.array_sort(F.concat("base", added))
 
 
 def redact_secrets(docs: DataFrame, rate: float = 0.05, mark: str = MARK) -> DataFrame:
-    """The input with each secret in ``text`` replaced by ``mark``; texts without any stay as they are.
+    """The input with its secrets in ``text`` replaced by ``mark``; texts without any, and null, stay as they are.
 
-    Two passes over the texts: the first yields the threshold, a single number.
+    The spans are those of ``scan_secrets``, found in the text as it came; spans that overlap or
+    touch are united and replaced by one mark, so no sign of a span is left.  Columns of any
+    name pass through.  Two passes over the texts: the first yields the threshold, a single number.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = docs.select(F.concat(_parts(text, RANDOM)[1], _parts(text, RANDOM_PARTS)[1]).alias("runs"))
     z = parts.select(F.explode(scored(F.col("runs"))).alias("c")).filter(F.col("c.z").isNotNull()).select("c.z")
     threshold = discovery_threshold(z, rate)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    spanned = located(rows).select("row", "text", all_spans(threshold).alias("spans"))
+    clean = F.when(F.size("spans") > 0, without_spans(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    return spanned.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
-    def long_enough(matches: Column) -> Column:
-        return F.transform(matches, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST)
-
-    def all_of_them(matches: Column) -> Column:
-        return F.transform(matches, lambda m: F.lit(True))
 
-    def random(matches: Column) -> Column:
-        return F.transform(scored(matches), lambda c: is_secret(c["x"], c["z"], threshold))
+def without_spans(text: Column, spans: Column, mark: str = MARK) -> Column:
+    """``text`` with each run of overlapping or touching ``spans(start, ..., end)``, sorted, replaced by ``mark``.
 
-    out = docs
-    for pattern, rule in ((ASSIGN, long_enough), (ACCESS, all_of_them), (HEX, all_of_them), (RANDOM_PARTS, random), (RANDOM, random)):
-        out = _replaced(out, pattern, rule, mark)
-    return out
-
-
-def _replaced(docs: DataFrame, pattern: str, rule: Callable[[Column], Column], mark: str) -> DataFrame:
-    """Texts with ``mark`` in the place of each match that the rule holds for."""
-    gaps, matches = _parts(F.col("text"), pattern)
-    parted = docs.withColumn("_parts", F.struct(gaps.alias("gaps"), matches.alias("matches")))
-    shown = F.zip_with("_parts.matches", rule(F.col("_parts.matches")), lambda m, hit: F.when(hit, F.lit(mark)).otherwise(m))
-    before = F.zip_with(F.slice("_parts.gaps", F.lit(1), F.size("_parts.matches")), shown, lambda g, m: F.concat(g, m))
-    kept = F.concat(F.array_join(before, ""), F.element_at("_parts.gaps", -1))
-    return parted.withColumn("text", F.when(F.size("_parts.matches") > 0, kept).otherwise(F.col("text"))).drop("_parts")
+    What lies before a run is taken out of pieces of PIECE signs, so the time is linear in the
+    text and doesn't grow with a span's distance from its beginning.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(held: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        joined = F.array_join(F.slice(held, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return F.substring(joined, start - first * PIECE + 1, end - start)
+
+    def rest(x: Column) -> Column:
+        # the furthest end before each span: where it is passed, a run of spans begins
+        reached = _before(F.transform(x["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        begins = F.filter(
+            F.zip_with(x["spans"], reached, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reached"))),
+            lambda b: (b["start"] > b["reached"]) | (b["reached"] == 0),
+        )
+        kept = F.transform(begins, lambda b: cut(x["pieces"], b["reached"], b["start"]))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(kept, mark), F.lit(mark), cut(x["pieces"], last, x["n"]))
+
+    return _bound(F.struct(pieces.alias("pieces"), spans.alias("spans"), F.length(text).alias("n")), rest)

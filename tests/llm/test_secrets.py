@@ -103,6 +103,55 @@ def test_redaction(spark):
     assert S.redact_secrets(frame(spark)).columns == ["doc_id", "text", "base"]
 
 
+def redacted(text, spans):
+    """Every sign that a span holds goes; a mark stands where signs went."""
+    held = [False] * len(text)
+    for a, b in spans:
+        held[a:b] = [True] * (b - a)
+    return re.sub("\0+", lambda m: S.MARK, "".join("\0" if h else c for h, c in zip(held, text, strict=True)))
+
+
+def test_redaction_leaves_no_sign_of_a_span(spark):
+    rng = random.Random(12)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sign = lambda n: "".join(rng.choice(plain) for _ in range(n))
+    inner = ["AKIA" + "ABCDEFGH01234567", "0123456789abcdef0", "token=abcdefghijkl", ""]
+    texts = [f"☃ {sign(30)}{inner[i % 4]}{sign(30)} and {sign(44)}{inner[(i + 1) % 4]} end" for i in range(48)]
+    texts += [t for t in TEXTS if t]
+    texts += ["x" * 4095 + f" {KEY}" * 70 + " y" * 5000 + HEX, f"{'a1B' * 400_000} {KEY}"]  # a run of 1.2 MB
+    docs = frame(spark, texts)
+    spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in S.scan_secrets(S.found_spans(docs)).collect()}
+    got = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert sum(len(x) > 0 for x in spans.values()) >= 50
+    assert got == {i: redacted(t, spans[i]) for i, t in enumerate(texts)}
+
+
+def test_columns_of_any_name_pass(spark):
+    odd = spark.createDataFrame([(1, f"token={HEX}", "a", 2, 3.0)], "doc_id long, text string, row string, spans int, `parts_hex.x` double")
+    r = S.redact_secrets(odd).first()
+    assert r.asDict() == {"doc_id": 1, "text": S.MARK, "row": "a", "spans": 2, "parts_hex.x": 3.0}
+
+
+def test_query(spark, sf_dir):
+    """Every column against plain Python; base spans stay among all spans."""
+    import hashlib
+
+    from quillmesh.llm.queries import op6_secret_scan
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op6_secret_scan(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = base_spans(texts[r.doc_id])
+        written = [f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        shown = [x for x in r.spans.split(",") if x]
+        assert [x for x in shown if not x.startswith("random")] == written
+        order = [(int(a), S.KINDS.index(k)) for k, a, _ in (x.split(":") for x in shown)]
+        assert order == sorted(order)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert S.scan_secrets(S.found_spans(none)).count() == 0 and S.redact_secrets(none).count() == 0
