@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
+    """The folder in spark.checkpoint.dir, or set on the context, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) it is one of this machine.
+    Only in local mode (tests, a laptop) it may be one of this machine.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints")).rstrip("/")
+    if not named and context._jsc.sc().getCheckpointDir().isDefined():
+        named = context._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints")
+    return named.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -26,20 +33,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component``: each node of ``edges(a, b)`` with the smallest node reachable.
 
     Alternating large-star and small-star contraction: a node hands its neighbours the
     smallest of them, so chains halve and stars stay; rounds grow with the logarithm of the
-    number of nodes.  Each round shuffles edges once by node, with map-side minima.  Edges
-    with a null end are ignored; self-loops keep their node.
+    number of nodes.  Each round shuffles edges once by node, with map-side minima, and rounds
+    go on until every node has one parent that has none.  Edges with a null end are ignored;
+    self-loops keep their node.
     """
     ends = edges.select(F.col("a"), F.col("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     stars = durable(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if stars.isEmpty():
-        return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
-    for _ in range(most_rounds):
+    while not _settled(stars):
         # large star: every larger neighbour of u joins the smallest node around u
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
@@ -51,14 +56,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         stars = durable(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
-        # settled when every node has one parent and no parent has a parent other than itself
-        now = stars.agg(
-            F.count("*").alias("n"),
-            F.sum(F.crc32(F.concat_ws(",", "u", "v").cast("binary"))).alias("sum"),
-        ).first()
-        if before == tuple(now):
-            break
-        before = tuple(now)
-    found = stars.filter(F.col("u") != F.col("v")).groupBy("u").agg(F.min("v").alias("component"))
-    roots = stars.select(F.col("v").alias("node")).distinct().join(found.select(F.col("u").alias("node")), "node", "left_anti")
-    return found.select(F.col("u").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))
+    found = stars.filter(F.col("u") != F.col("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = stars.select(F.col("v").alias("node")).distinct()
+    return found.unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one parent at most, and no parent has a parent."""
+    up = stars.filter(F.col("u") != F.col("v"))
+    several = up.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    passing = up.join(up.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+    return several.unionByName(passing).isEmpty()

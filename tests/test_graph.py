@@ -80,6 +80,19 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
+    tangled = [(i, (i * 37 + 11) % 211) for i in range(0, 211, 2)] + [(i, i + 1) for i in range(300, 331)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in tangled:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(tangled, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(up)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
