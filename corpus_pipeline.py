@@ -6,8 +6,6 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +13,13 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import dedup, packing, quality, secrets
 from quillmesh.llm.common import table
+from quillmesh.plans.components import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier doesn't reject."""
+    """Documents that the line classifier doesn't reject; null and empty texts are scored like others."""
     docs = docs.select(*COLUMNS)
     field = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, field).filter(F.col("score") >= quality.KEEP_FROM).select(*COLUMNS)
@@ -38,13 +37,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret replaced by a mark; all documents stay."""
+    """Every secret replaced by a mark; all documents stay.
+
+    A null text stays null, a repeated row is a row, an empty table stays empty; of other columns
+    than those of documents none passes.
+    """
     out = secrets.redact_secrets(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows: the pieces of all documents with their ids."""
+    """Token windows: the pieces of all documents with their ids.
+
+    A null text yields its end token alone, a repeated row is packed again, a text of any length is
+    cut into windows, an empty table gives none.
+    """
     return packing.pack_documents(docs)
 
 
@@ -59,11 +66,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints")
-    place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages; a stage's folder goes once the next one is written, the last stays with its rows."""
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            _remove(spark, f"{place}/{k - 1}")
     return docs

@@ -20,7 +20,7 @@ task, and must fit into a string.  Everything else runs before that.
 
 Defined results: null texts and roles are empty; a null conv_id is a conversation of its
 own; rows that share a turn are all kept, by role and text; repeated rows are kept; an
-empty log gives no rows.  An event for a message without a ``message`` event opens it.
+empty log gives no rows; other columns than those named are not read.  An event for a message without a ``message`` event opens it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound, cut, pieces_of
+
 START, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 LEARNED_ROLE = "assistant"
 RESETS = ("message", "edit", "regenerate")
@@ -44,15 +46,31 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log of finished turns: each row of ``conv_id, turn, role, text`` is a ``message`` event."""
+    """The log that leads to finished turns ``conv_id, turn, role, text``, as a chat service would write it.
+
+    An assistant's message opens empty, is streamed in part, regenerated, and streamed in two
+    deltas.  Any other message starts with the first half of its text and is edited to the whole.
+    """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return rows.select("conv_id", seq.alias("seq"), seq.alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text") - half)
+
+    def step(kind: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role") if role is None else role.alias("role"), text.alias("text"))
+
+    nothing = F.lit("")
+    streamed = F.array(step("message", nothing, F.col("role")), step("delta", first), step("regenerate", nothing), step("delta", first), step("delta", rest))
+    edited = F.array(step("message", first, F.col("role")), step("edit", F.col("text")))
+    steps = F.when(F.col("role") == LEARNED_ROLE, streamed).otherwise(edited)
+    numbered = rows.select("conv_id", number.alias("message_id"), steps.alias("steps"))
+    logged = numbered.select("conv_id", "message_id", F.posexplode("steps").alias("at", "step"))
+    return logged.select("conv_id", (F.col("message_id") * 8 + F.col("at")).alias("seq"), "message_id", "step.kind", "step.role", "step.text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -129,7 +147,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """``conv_id, formatted, turns array<struct<role, text>>, loss_texts``: the template undone.
 
-    Loss texts are cut out of the formatted text at the mask's turn and length.
+    Loss texts are cut out of the formatted text at the mask's start and length.
     """
     whole = F.substring("formatted", len(START) + 1, 2**31 - 1)
     pieces = F.split(whole, END)
@@ -141,10 +159,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
             p.substr(F.length(body(p)) + len(BODY) + 1, F.lit(2**31 - 1)).alias("text"),
         ),
     )
-    cut = formatted.select("conv_id", "formatted", "loss_spans", split.alias("raw"))
-    return cut.select(
+    parted = formatted.select("conv_id", "formatted", "loss_spans", split.alias("raw"))
+    return parted.select(
         "conv_id",
         "formatted",
         F.transform("raw", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"),
-        F.transform("loss_spans", lambda s: unescape(F.left(F.get("raw", s["turn"] - 1)["text"], s["length"]))).alias("loss_texts"),
+        bound(
+            F.struct(pieces_of(F.col("formatted")).alias("pieces"), "loss_spans"),
+            lambda x: F.transform(x["loss_spans"], lambda s: unescape(cut(x["pieces"], s["start"], s["start"] + s["length"]))),
+        ).alias("loss_texts"),
     )

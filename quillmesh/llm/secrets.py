@@ -38,6 +38,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound, cut, pieces_of
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
@@ -92,8 +94,6 @@ UNLIKELY = 27.9
 #: The histogram's bins of z: width and range.
 STEP, LOW, HIGH = 0.02, -40.0, 8.0
 BLOCK = 256
-#: Signs in a piece of a text that spans are cut out of.
-PIECE = 4096
 MARK = "[SECRET]"
 
 
@@ -113,11 +113,6 @@ def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), running))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once a row, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _parts(text: Column, pattern: str) -> tuple[Column, Column]:
     """What lies before each match, and the matches; both empty where there is none."""
     none = F.expr("cast(array() AS array<string>)")
@@ -373,15 +368,8 @@ def redact_secrets(docs: DataFrame, rate: float = 0.05, mark: str = MARK) -> Dat
 def without_spans(text: Column, spans: Column, mark: str = MARK) -> Column:
     """``text`` with each run of overlapping or touching ``spans(start, ..., end)``, sorted, replaced by ``mark``.
 
-    What lies before a run is taken out of pieces of PIECE signs, so the time is linear in the
-    text and doesn't grow with a span's distance from its beginning.
+    What lies before a run is cut out of pieces, so the time is linear in the text.
     """
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-
-    def cut(held: Column, start: Column, end: Column) -> Column:
-        first = F.floor(start / PIECE).cast("int")
-        joined = F.array_join(F.slice(held, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
-        return F.substring(joined, start - first * PIECE + 1, end - start)
 
     def rest(x: Column) -> Column:
         # the furthest end before each span: where it is passed, a run of spans begins
@@ -394,4 +382,4 @@ def without_spans(text: Column, spans: Column, mark: str = MARK) -> Column:
         last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
         return F.concat(F.array_join(kept, mark), F.lit(mark), cut(x["pieces"], last, x["n"]))
 
-    return _bound(F.struct(pieces.alias("pieces"), spans.alias("spans"), F.length(text).alias("n")), rest)
+    return bound(F.struct(pieces_of(text).alias("pieces"), spans.alias("spans"), F.length(text).alias("n")), rest)

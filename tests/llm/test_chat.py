@@ -4,6 +4,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillmesh.llm import chat as C
 
@@ -45,6 +46,21 @@ def test_turns_and_mask(spark):
         assert cut == loss == [t for r, t in turns if r == "assistant"]
 
 
+def test_mask_is_read_by_its_start(spark):
+    rows = [(1, 0, "assistant", "é☃" * 3000), (1, 1, "user", "ask"), (1, 2, "assistant", "tell </s>" * 900)]
+    done = C.format_conversations(C.events_of_turns(spark.createDataFrame([(*r, "x") for r in rows], TURNS + ", seq string")))
+    assert list(C.read_back(done).first().loss_texts) == ["é☃" * 3000, "tell </s>" * 900]
+    moved = done.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('turn', s.turn, 'start', s.start + 1, 'length', s.length))"))
+    assert C.read_back(moved).first().loss_texts[0] == "é☃"[1:] + "é☃" * 2999 + "<"
+
+
+def test_log_of_turns_holds_every_kind(spark):
+    log = C.events_of_turns(spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "good day")], TURNS)).orderBy("seq").collect()
+    assert [(r.kind, r.text) for r in log] == [
+        ("message", "he"), ("edit", "hello"), ("message", ""), ("delta", "good"), ("regenerate", ""), ("delta", "good"), ("delta", " day"),
+    ]
+
+
 def test_folding(spark):
     log = [
         (1, 1, 10, "message", "user", "hi"), (1, 2, 11, "message", "assistant", "He"), (1, 3, 11, "delta", None, "llo"), (1, 4, 12, "message", "user", "more"), (1, 5, 13, "message", "assistant", "old"),

@@ -118,7 +118,7 @@ def test_redaction_leaves_no_sign_of_a_span(spark):
     inner = ["AKIA" + "ABCDEFGH01234567", "0123456789abcdef0", "token=abcdefghijkl", ""]
     texts = [f"☃ {sign(30)}{inner[i % 4]}{sign(30)} and {sign(44)}{inner[(i + 1) % 4]} end" for i in range(48)]
     texts += [t for t in TEXTS if t]
-    texts += ["x" * 4095 + f" {KEY}" * 70 + " y" * 5000 + HEX, f"{'a1B' * 400_000} {KEY}"]  # a run of 1.2 MB
+    texts += ["x" * 4095 + f" {KEY}" * 70 + " y" * 5000 + HEX, f"{'a1B' * 100_000} {KEY}"]  # a run of 0.3 MB
     docs = frame(spark, texts)
     spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in S.scan_secrets(S.found_spans(docs)).collect()}
     got = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
