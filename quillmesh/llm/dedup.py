@@ -10,17 +10,25 @@
 4. What the links found join already needs no more comparing.  In buckets that still hold
    several components, the pairs across components are decided too: small buckets as
    pairs, large ones in blocks, where one matrix product gives all intersections of two
-   blocks exactly and only a spanning forest of the links leaves the task.  A pair that
-   meets in several large buckets is compared in the first only.
+   blocks exactly and only a spanning forest of the links leaves the task.  The bucket's
+   largest component isn't compared within itself, so its members travel once for each block
+   of the others: one outlier in a bucket of m costs m comparisons.  A pair that meets in
+   several large buckets is compared in the first only.
 5. Connected components of the links give each class, and so each document, its component.
 
 Bands are chosen so that a pair at the threshold misses all of them once in ten million.
 In a family of m different texts near the threshold, step 4 compares up to m * m / 2 pairs
-of sets (in blocks); nothing is dropped or capped to avoid that.
+of sets (in blocks); nothing is dropped or capped to avoid that.  Buckets are summed up by
+partial aggregates and joined, so no task holds a whole one.
+
+A set holds 64-bit hashes of its shingles; of n different shingles in all texts that are
+compared, two share a hash with a probability of about n * n / 2 ** 65, and a link is wrong
+only if such a pair tips it.
 
 Defined results: a text without words, or null, has no shingles and is its own component;
 rows with the same doc_id are one document; a null doc_id stays null in its component_id
-unless its text is linked with others.
+unless its text is linked with others; an empty table gives no rows; other columns are not read,
+so their names don't matter; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.plans.components import connected_components
@@ -46,7 +54,7 @@ SLACK = 5.0
 #: Buckets of more members are compared in blocks.
 SMALL_BUCKET = 24
 #: Members, and bytes of sets, in a block.
-BLOCK_MEMBERS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 8 << 20
 #: Bits of the filter that finds the texts to read again; fixed, so its broadcast is 2 MB at any size.
 FILTER_BITS = 1 << 24
 
@@ -214,16 +222,28 @@ def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         "node", F.transform("k", lambda k: k["band"]).alias("bands"), F.transform("k", lambda k: k["bucket"]).alias("keys")
     )
     sizes = sets.groupBy("node").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
-    whole = Window.partitionBy("bucket")
-    blocks = F.greatest(F.ceil(F.count("*").over(whole) / BLOCK_MEMBERS), F.ceil(F.sum("bytes").over(whole) / BLOCK_BYTES)).cast("int")
-    dealt = (
-        buckets.select("bucket", "band", "node", "component")
-        .join(sizes, "node")
-        .withColumn("blocks", blocks)
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = durable(buckets.select("bucket", "band", "node", "component").join(sizes, "node"))
+    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "component", "bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    layout = (
+        parts.groupBy("bucket")
+        .agg(most.alias("major"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        .select(
+            "bucket",
+            F.col("major.component").alias("major"),
+            blocks(F.col("n") - F.col("major.n"), F.col("bytes") - F.col("major.bytes")).alias("few"),
+            blocks(F.col("major.n"), F.col("major.bytes")).alias("rest"),
+        )
+    )
+    # blocks 0 to few - 1 hold the smaller components and meet each other and all others; the rest meet only those
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = held.join(layout, "bucket").withColumn(
+        "mine", F.when(F.col("component") == F.col("major"), F.col("few") + mine("rest")).otherwise(mine("few"))
     )
+    last = F.when(F.col("mine") < F.col("few"), F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1)
     met = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
+        F.sequence(F.lit(0), last),
         lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")),
     )
     # few numbers a row up to here; sets are joined last and dealt once
@@ -263,24 +283,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .groupBy("sig")
         .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("bands").alias("bands"))
     )
-    same = Window.partitionBy("bucket")
-    buckets = durable(
-        classes.select("node", F.posexplode("bands").alias("band", "bucket"))
-        .select("band", "bucket", "node", F.min("node").over(same).alias("first"), F.count("*").over(same).alias("members"))
-        .filter("members > 1")
-    )
+    filed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = filed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    buckets = durable(filed.join(shared, "bucket").select("band", "bucket", "node", "first", "members"))
     stars = durable(buckets.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = _check(stars, docs, classes, k, percent)
 
     found = connected_components(links).withColumnRenamed("component", "of_node")
-    split = (
-        buckets.join(found, "node", "left")
-        .select("band", "bucket", "node", "members", F.coalesce("of_node", "node").alias("component"))
-        .withColumn("parts", F.max("component").over(same) - F.min("component").over(same))
-        .filter("parts != 0")
-        .drop("parts")
-    )
-    split = durable(split)
+    joined = durable(buckets.join(found, "node", "left").select("band", "bucket", "node", "members", F.coalesce("of_node", "node").alias("component")))
+    mixed = joined.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    split = durable(joined.join(mixed.select("bucket"), "bucket", "left_semi"))
     small = split.filter(F.col("members") <= SMALL_BUCKET)
     left = small.select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"))
     right = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
@@ -293,7 +305,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     component = connected_components(links)
     of_class = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    return sketched.join(of_class, "sig", "left").select(
+    # texts without a set have no signature and would all meet in one task
+    named = sketched.filter(F.col("sig").isNotNull()).join(of_class, "sig", "left").select("doc_id", "n", "component")
+    bare = sketched.filter(F.col("sig").isNull()).select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    return named.unionByName(bare).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),

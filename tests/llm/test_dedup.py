@@ -46,6 +46,29 @@ def test_blocks_find_what_pairs_find(spark, monkeypatch, block):
     check(spark, [(i, t) for i, t in enumerate(family(rng, 60, 50, 5))], 3, 80)
 
 
+def test_one_outlier_in_a_large_bucket(spark, monkeypatch):
+    """Members of the largest component meet blocks of the others only."""
+    monkeypatch.setattr(dedup, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(dedup, "BLOCK_MEMBERS", 4)
+    buckets = spark.createDataFrame([(0, 7, n, 0 if n < 30 else n) for n in range(33)], "band int, bucket long, node long, component long")
+    sets = spark.createDataFrame([(n, np.arange(n // 31, 40, dtype="u8").tobytes()) for n in range(33)], "node long, shingles binary")
+    got = {(r.a, r.b) for r in dedup._block_links(buckets, sets, 90).collect()}
+    up = {n: 0 if n < 30 else n for n in range(33)}
+    for _ in range(3):
+        for a, b in got:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got and set(up.values()) == {0}
+
+
+def test_query(spark, sf_dir):
+    """Every column against all pairs of the table."""
+    from quillmesh.llm.queries import op2_near_duplicates
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op2_near_duplicates(spark, sf_dir).collect()}
+    assert got == {d: (n, c, d == c) for d, (n, c) in components(docs, 3, 85).items()}
+
+
 def test_empty_table_and_repeats(spark):
     assert dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (2, "z y x w v")]
