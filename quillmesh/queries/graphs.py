@@ -256,9 +256,8 @@ def merge_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = node_names(spark, sf_dir).filter("node_id LIKE 'part:%'")
-    blocks = [F.substring(norm_key(F.col("keyword")), 1, 8), F.substring_index("keyword", " ", -1)]
-    return organise.fuzzy_candidates(some, _edges(spark, sf_dir), 0.86, blocks)
+    """The first of all pairs of all nodes."""
+    return organise.fuzzy_candidates(node_names(spark, sf_dir), _edges(spark, sf_dir), 0.86)
 
 
 def keep_node(spark: SparkSession, sf_dir: str) -> DataFrame:

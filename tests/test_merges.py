@@ -6,7 +6,6 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillmesh.operators import organise as O
 
@@ -35,5 +34,23 @@ def test_against_all_pairs(spark, limit):
             if score >= 0.7:
                 want.append((-round(score, 9), name[a], name[b], a, b))
     want = [(a, b, -s) for s, _, _, a, b in sorted(want)[:limit]]
-    got = [(r.a, r.b, round(r.score, 9)) for r in O.fuzzy_candidates(nodes, edges, 0.7, [F.lit("all")], limit).collect()]
+    got = [(r.a, r.b, round(r.score, 9)) for r in O.fuzzy_candidates(nodes, edges, 0.7, limit).collect()]
     assert got == want
+
+
+def test_similar_names_are_all_found(spark):
+    """Every pair that difflib calls similar enough passes the filter by grams."""
+    rng = random.Random(8)
+    base = ["analytics platform team", "analitycs platform teams", "Customer#000000012", "a", "ab", "ba", "", "aaaa aaaa"]
+    made = base + ["".join(rng.choice("abc#0 ") for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    made += [t[:i] + rng.choice("xyz") + t[i + 1 :] for t in made[:30] for i in [rng.randrange(len(t) + 1)]]
+    names = [" ".join(t.split()) for t in made]
+    named = spark.createDataFrame([(f"n{i:03}", t) for i, t in enumerate(names)], "node_id string, name string")
+    for need in (0.5, 0.75, 0.9):
+        got = {(r.a, r.b) for r in O.similar_names(named, need).collect()}
+        want = {
+            (f"n{i:03}", f"n{j:03}")
+            for j in range(len(names)) for i in range(j)
+            if names[i] != names[j] and SequenceMatcher(None, names[i], names[j]).ratio() >= need
+        }
+        assert want <= got
