@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import difflib_ratio, norm_key, ratio_bound
+from quillmesh.functions.text import comparison_key, difflib_ratio, norm_keys_full, ratio_bound
 from quillmesh.plans.components import durable
 
 #: Scores of the ways in which a term can match a node.
@@ -30,11 +30,7 @@ def _match_rows(entities: DataFrame, nodes: DataFrame, key, keys) -> DataFrame:
     return n.crossJoin(F.broadcast(e))
 
 
-def _norm_keys(texts: Column) -> Column:
-    return F.transform(texts, norm_key)
-
-
-def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy: bool = True, key=norm_key, keys=_norm_keys) -> DataFrame:
+def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy: bool = True, key=comparison_key, keys=norm_keys_full) -> DataFrame:
     """``node_id, keyword, score``: best of each node over all entities, score times confidence.
 
     ``entities(entity_idx, text, normalized, aliases, confidence)`` belong to one query; ``key``

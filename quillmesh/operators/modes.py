@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import clip
+from quillmesh.operators.retrieval import read_text
+from quillmesh.plans.components import durable
 
 NOT_FOUND = "No matching evidence was found in the knowledge store."
 
@@ -47,7 +49,7 @@ def answer_context(nodes: DataFrame, edges: DataFrame, paths: DataFrame, groups:
         .unionByName(part(edges, "edges", [F.col("edge_id")], F.col("text"), 40, 800))
         .unionByName(part(paths, "paths", [F.col("path")], F.col("path"), 20, 700))
         .unionByName(part(groups, "groups", [F.col("group_id")], F.col("summary"), 8, 1200))
-        .unionByName(part(passages, "passages", [-F.col("score"), F.col("chunk_id")], F.col("content"), 12, 1600))
+        .unionByName(part(passages, "passages", [-F.col("score"), F.col("chunk_id")], read_text(passages), 12, 1600))
         .unionByName(part(entities, "entities", [F.col("node_id")], named, 10, 800))
         .unionByName(part(communities, "communities", [F.col("group_id")], F.col("summary"), 6, 1200))
     )
@@ -75,7 +77,8 @@ def federated(stores: dict[str, Callable[[], DataFrame]], key: str, top_k: int |
         try:
             rows = query()
             score = F.coalesce(*[F.col(c) for c in ("score", "match_score") if c in rows.columns], F.lit(0.0))
-            rows = rows.select(F.lit(name).alias("store"), key, score.alias("federated_score"))
+            # plans fail when they run, so each store's rows are written here
+            rows = durable(rows.select(F.lit(name).alias("store"), key, score.alias("federated_score")))
         except Exception as why:  # one store's failure leaves the others
             failed[name] = str(why)
             continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import difflib_ratio, norm_key, ratio_bound
+from quillmesh.functions.text import comparison_key, difflib_ratio, ratio_bound
 from quillmesh.operators.evidence import edge_key, terms
 from quillmesh.plans.components import connected_components, durable
 
@@ -15,7 +15,7 @@ NAME_SHARE, SUMMARY_SHARE, NEIGHBOUR_SHARE = 0.65, 0.2, 0.15
 SUMMARY_SIGNS = 800
 
 
-def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=norm_key) -> DataFrame:
+def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=comparison_key) -> DataFrame:
     """``node_id, signature``: ``out:relation:target`` and ``in:relation:source`` by name."""
     name = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node_id"), key(F.col("keyword")).alias(c))
     out = edges.join(name("target"), "target_node_id").select(F.col("source_node_id").alias("node_id"), F.concat_ws(":", F.lit("out"), key(F.col("relation")), "target").alias("signature"))
@@ -34,7 +34,7 @@ def neighbour_jaccard(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.when(F.col("n_a").isNull() | F.col("n_b").isNull(), 0.0).otherwise(both / (F.col("n_a") + F.col("n_b") - both)).alias("jaccard"))
 
 
-def exact_merges(nodes: DataFrame, key=norm_key) -> DataFrame:
+def exact_merges(nodes: DataFrame, key=comparison_key) -> DataFrame:
     """``a, b``: each node with the smallest node that shares a term with it; joined up, these are all exact merges.
 
     As many pairs as terms, where all pairs of a popular term would grow with its square.
@@ -44,7 +44,7 @@ def exact_merges(nodes: DataFrame, key=norm_key) -> DataFrame:
     return of.join(first, "term").filter("node_id != a").select("a", F.col("node_id").alias("b")).distinct()
 
 
-def exact_candidates(nodes: DataFrame, limit: int, key=norm_key) -> DataFrame:
+def exact_candidates(nodes: DataFrame, limit: int, key=comparison_key) -> DataFrame:
     """The first ``limit`` of all pairs that share a term, by names and ids, as a review list shows them."""
     of = terms(nodes, key).join(nodes.select("node_id", "keyword"), "node_id")
     left, right = of.select("term", F.col("node_id").alias("a"), F.col("keyword").alias("a_name")), of.select("term", F.col("node_id").alias("b"), F.col("keyword").alias("b_name"))
@@ -53,12 +53,12 @@ def exact_candidates(nodes: DataFrame, limit: int, key=norm_key) -> DataFrame:
 
 
 #: Bars that the search for merge pairs tries before ``least``; any values give the same result.
-BARS = (0.97, 0.93, 0.89)
+BARS = (0.96, 0.92, 0.88)
 #: Names that one task joins on a gram.
 GRAM_BLOCK = 1000
 
 
-def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: int = 200, key=norm_key) -> DataFrame:
+def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: int = 200, key=comparison_key) -> DataFrame:
     """The ``limit`` best of all merge pairs by names, summaries and neighbours: ``a, b, score``.
 
     No pair is lost.  Equal names score 1, and if they alone are ``limit`` pairs, nothing can
@@ -75,8 +75,13 @@ def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: in
     if same.count() == limit:
         return same.orderBy(*order).select("a", "b", "score")
     signatures = durable(neighbour_signatures(edges, nodes, key))
+    grams = {}
     for bar in (*[x for x in BARS if x > least], least):
-        found = same.unionByName(_scored(named, signatures, bar, limit)).orderBy(*order).limit(limit)
+        need = (bar - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE
+        width = gram_width(need)
+        if width not in grams:
+            grams[width] = name_grams(named, need)
+        found = same.unionByName(_scored(named, grams[width], signatures, need, bar, limit)).orderBy(*order).limit(limit)
         if bar == least:
             break
         found = durable(found)
@@ -98,25 +103,33 @@ def equal_names(named: DataFrame, limit: int) -> DataFrame:
     return pairs.select("a", "b", F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(1.0).alias("score")).orderBy("a_name", "a", "b").limit(limit)
 
 
-def similar_names(named: DataFrame, need: float) -> DataFrame:
+def name_grams(named: DataFrame, need: float) -> DataFrame:
+    """``node_id, name, gram, nth, names``: grams of names, repeats numbered, with how many names hold them."""
+    width = gram_width(need)
+    padded = F.concat(F.lit("\u0002"), "name", F.lit("\u0003")) if width == 2 else F.col("name")
+    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - (width - 1)), lambda i: padded.substr(i, F.lit(width)))
+    filled = named.filter(F.length("name") > 0)
+    counted = filled.select("node_id", "name", F.explode(cut).alias("gram")).groupBy("node_id", "name", "gram").agg(F.count("*").alias("n"))
+    grams = durable(counted.select("node_id", "name", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")))
+    return durable(grams.join(grams.groupBy("gram", "nth").agg(F.count("*").alias("names")), ["gram", "nth"]))
+
+
+def gram_width(need: float) -> int:
+    return 2 if need > 2 / 3 else 1
+
+
+def similar_names(grams: DataFrame, need: float) -> DataFrame:
     """``a, b``: pairs of different names that can have a similarity of ``need``, none left out.
 
     What two similar names don't share has to be deleted from either; a name of n signs loses
     (2 - 2 need) / (2 - need) * n of them at most, and each takes two of its pairs of
     neighbouring signs with it, or one single sign where ``need`` is too low for pairs.  So of
-    the rarest such grams, one more than can be lost, one is shared.  Grams of many names are
-    dealt to several tasks.
+    the rarest such ``grams``, one more than can be lost, one is shared.  Grams of many names
+    are dealt to several tasks.
     """
-    width = 2 if need > 2 / 3 else 1
     lost = F.floor(F.length("name") * ((2 - 2 * need) / (2 - need)) + 1e-9)
-    padded = F.concat(F.lit("\u0002"), "name", F.lit("\u0003")) if width == 2 else F.col("name")
-    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - (width - 1)), lambda i: padded.substr(i, F.lit(width)))
-    filled = named.filter(F.length("name") > 0)
-    counted = filled.select("node_id", "name", F.explode(cut).alias("gram")).groupBy("node_id", "name", "gram").agg(F.count("*").alias("n"))
-    grams = durable(counted.select("node_id", "name", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")))
-    common = grams.groupBy("gram", "nth").agg(F.count("*").alias("names"))
     rarest = Window.partitionBy("node_id").orderBy("names", "gram", "nth")
-    ranked = grams.join(common, ["gram", "nth"]).withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= width * lost + 1)
+    ranked = grams.withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= gram_width(need) * lost + 1)
     held = durable(ranked.select("gram", "nth", "node_id", "name", F.ceil(F.col("names") / GRAM_BLOCK).cast("int").alias("blocks")))
     left = held.select("gram", "nth", F.col("node_id").alias("a"), F.col("name").alias("a_name"), F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"))
     right = held.select("gram", "nth", F.col("node_id").alias("b"), F.col("name").alias("b_name"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -126,20 +139,18 @@ def similar_names(named: DataFrame, need: float) -> DataFrame:
     return met.select("a", "b", "a_name", "b_name").distinct().filter(ratio_bound(F.col("a_name"), F.col("b_name")) >= need - 1e-9)
 
 
-def _scored(named: DataFrame, signatures: DataFrame, bar: float, limit: int) -> DataFrame:
+def _scored(named: DataFrame, grams: DataFrame, signatures: DataFrame, need: float, bar: float, limit: int) -> DataFrame:
     """Pairs of different names that reach the bar and can be among the first: ``a, b, a_name, b_name, score``.
 
     Costly parts of a score run on pairs only whose best conceivable score isn't below the
     ``limit``-th that is already certain.
     """
-    need = (bar - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE
-
     def contenders(rows: DataFrame, sure, best) -> DataFrame:
         certain = rows.select(sure.alias("s")).orderBy(F.desc("s")).limit(limit)
         edge = certain.agg(F.min("s").alias("s"), F.count("*").alias("n")).first()
         return rows.filter(best >= (max(bar, edge["s"]) if edge["n"] == limit else bar))
 
-    scored = durable(similar_names(named, need).withColumn("lex", difflib_ratio("a_name", "b_name")).filter(F.col("lex") >= need - 1e-9))
+    scored = durable(similar_names(grams, need).withColumn("lex", difflib_ratio("a_name", "b_name")).filter(F.col("lex") >= need - 1e-9))
     lex = F.col("lex")
     some = contenders(scored, lex, F.greatest(lex, NAME_SHARE * lex + SUMMARY_SHARE + NEIGHBOUR_SHARE))
     gist = lambda x: named.select(F.col("node_id").alias(x), F.col("gist").alias(f"{x}_gist"))

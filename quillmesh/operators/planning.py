@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.config import DEFAULTS, Settings
-from quillmesh.functions.text import QUOTED, SPLIT, STOP_WORDS, norm_key, plan_key, squeeze, strip_edges, text_of
+from quillmesh.functions.text import QUOTED, SPLIT, STOP_WORDS, comparison_key, plan_key, squeeze, strip_edges, text_of
 
 #: Weights of rewrites by kind.
 WEIGHTS = {"original": 1.0, "synonym": 0.85, "paraphrase": 0.80, "narrower": 0.75, "related": 0.65, "broader": 0.55, "subquery": 0.80}
@@ -111,14 +111,14 @@ def rule_terms(text: Column) -> Column:
 def rule_entities(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key, position, entity``: the rule's terms of any text column, first spelling of each."""
     spread = rows.select(key, F.posexplode(rule_terms(F.col(text))).alias("position", "entity"))
-    folded = spread.withColumn("_k", norm_key(F.col("entity")))
+    folded = spread.withColumn("_k", comparison_key(F.col("entity")))
     return folded.groupBy(key, "_k").agg(F.min(F.struct("position", "entity")).alias("m")).select(key, F.col("m.position").cast("long").alias("position"), F.col("m.entity").alias("entity"))
 
 
 def dedupe_entities(mentions: DataFrame) -> DataFrame:
     """``key, normalized, confidence, aliases`` out of ``normalized, confidence, alias, pos``: the table form of merging."""
     order = F.struct(F.col("confidence"), (-F.col("pos")).alias("p"))
-    return mentions.groupBy(norm_key(F.col("normalized")).alias("key")).agg(
+    return mentions.groupBy(comparison_key(F.col("normalized")).alias("key")).agg(
         F.max_by("normalized", order).alias("normalized"),
         F.max("confidence").alias("confidence"),
         F.array_sort(F.collect_set("alias")).alias("aliases"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as V
 from quillmesh.functions.text import lexical_score
+from quillmesh.plans.components import durable
 
 #: Query rows up to which they are broadcast; their vectors then take a few megabytes.
 BROADCAST_QUERIES = 1000
@@ -135,13 +136,36 @@ def best_per_chunk(hits: DataFrame, vectors: DataFrame, chunks: DataFrame) -> Da
 
 
 def with_family(chunks: DataFrame) -> DataFrame:
-    """``family_id``: the root of each chunk's parents; hierarchies are at most three levels deep."""
-    up = chunks.select(F.col("chunk_id").alias("_p"), F.col("parent_chunk_id").alias("_pp"))
-    one = chunks.join(up, chunks["parent_chunk_id"] == up["_p"], "left")
-    two = chunks.select(F.col("chunk_id").alias("_g"))
-    return one.join(two, one["_pp"] == two["_g"], "left").select(
-        *[one[c] for c in chunks.columns], F.coalesce("_g", "_p", one["chunk_id"]).alias("family_id")
-    )
+    """``family_id``: the root of each chunk's parents, however many levels; a missing parent or a cycle raises."""
+    up = durable(chunks.select(F.col("chunk_id").alias("_c"), F.coalesce("parent_chunk_id", "chunk_id").alias("_top")))
+    if not up.join(up.select(F.col("_c").alias("_top")), "_top", "left_anti").isEmpty():
+        raise ValueError("a parent chunk is missing")
+    at, reach, count = up, 1, None
+    while True:  # each round doubles how far a chunk looks up
+        ahead = at.select(F.col("_c").alias("_top"), F.col("_top").alias("_next"))
+        step = durable(at.join(ahead, "_top").select("_c", "_next", (F.col("_next") != F.col("_top")).alias("_moved")))
+        at = step.select("_c", F.col("_next").alias("_top"))
+        if step.filter("_moved").isEmpty():
+            break
+        reach *= 2
+        count = up.count() if count is None else count
+        if reach > 2 * count:
+            raise ValueError("parents form a cycle")
+    roots = up.filter("_c = _top").select("_top")
+    if not at.join(roots, "_top", "left_anti").isEmpty():
+        raise ValueError("parents form a cycle")
+    return chunks.join(at.select(F.col("_c").alias("chunk_id"), F.col("_top").alias("family_id")), "chunk_id").select(*chunks.columns, "family_id")
+
+
+def with_context(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``context``: id, granularity and content of each row's parent, null for roots; what a reranker and an answer read."""
+    parent = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.struct("chunk_id", "granularity", "content").alias("context"))
+    return found.join(parent, "parent_chunk_id", "left").select(*found.columns, "context")
+
+
+def read_text(rows: DataFrame) -> Column:
+    """The parent's content where there is one, else the chunk's own."""
+    return F.coalesce("context.content", "content") if "context" in rows.columns else F.col("content")
 
 
 def collapse_families(candidates: DataFrame, pool: int) -> DataFrame:
@@ -161,15 +185,29 @@ def apply_threshold(reranked: DataFrame, floor: Column, threshold: float, top_k:
     return effective.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r").orderBy("rerank_rank").limit(top_k)
 
 
-def overlap_rerank(candidates: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """The default reranker: the share of the query's words found in a text; no model is needed."""
+def overlap_rerank(candidates: DataFrame, query: str) -> DataFrame:
+    """The default reranker: the share of the query's words found in the text that is read; no model is needed."""
     words = F.array_distinct(F.split(F.lower(F.lit(query)), r"\s+"))
-    have = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")
+    have = F.split(F.lower(read_text(candidates)), r"[^\p{L}\p{N}_]+")
     score = F.size(F.array_intersect(words, have)) / F.size(words)
     rank = Window.partitionBy(F.lit(0)).orderBy(F.desc("rerank_score"), F.desc("score"), "chunk_id")
     return candidates.withColumn("rerank_score", score).withColumn("rerank_rank", F.row_number().over(rank))
 
 
+def checked(reranked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A model's ranking as it is, if it names candidates only, each once, with finite scores and ranks of their own."""
+    score = F.col("rerank_score").cast("double")
+    odd = score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")) | F.col("rerank_rank").isNull()
+    told = reranked.agg(
+        F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.countDistinct("rerank_rank").alias("ranks"), F.max(odd).alias("odd")
+    ).first()
+    if told["odd"] or not told["n"] == told["ids"] == told["ranks"]:
+        raise ValueError("the reranker's scores must be finite, and each candidate ranked once")
+    if not reranked.join(candidates.select("chunk_id"), "chunk_id", "left_anti").isEmpty():
+        raise ValueError("the reranker names a chunk that is no candidate")
+    return reranked
+
+
 Reranker = Callable[[DataFrame, str], DataFrame]
 
 
@@ -180,7 +218,8 @@ def rag_query(
     """Collapse, rerank, floor, threshold; with several variants and no given threshold the best few are rescued."""
     collapsed = collapse_families(candidates, pool)
     asked = variants or [(query, 1.0)]
-    reranked = rerank(collapsed.orderBy(F.desc("score"), "chunk_id").limit(rerank_limit), query)
+    asked_for = collapsed.orderBy(F.desc("score"), "chunk_id").limit(rerank_limit)
+    reranked = rerank(asked_for, query) if rerank is overlap_rerank else checked(durable(rerank(asked_for, query)), asked_for)
     scores = [lexical_score(F.lit(text), F.col("content")) * weight for text, weight in asked]
     floor = scores[0] if len(scores) == 1 else F.greatest(*scores)
     found = apply_threshold(reranked, floor, usual if threshold is None else threshold, top_k)

@@ -8,6 +8,7 @@ nothing; of two commits from the same state one claims the number and the other
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -37,6 +38,10 @@ SCHEMAS = {
 }
 
 
+#: A writer holds a version's number for so long without having written its manifest, which takes a moment.
+CLAIM_SECONDS = 600
+
+
 class Conflict(RuntimeError):
     """Somebody else has committed meanwhile."""
 
@@ -80,10 +85,7 @@ class KnowledgeStore:
             names[name] = place
         number = base + 1
         claim, target = self._path(f"{self.root}/manifests/{number}.claim"), self._path(f"{self.root}/manifests/{number}.json")
-        try:
-            self._fs.create(claim, False).close()
-        except Exception as why:
-            raise Conflict(f"version {number} is taken") from why
+        self._claim(claim, target, number)
         draft = self._path(f"{self.root}/manifests/.{number}-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
@@ -91,6 +93,22 @@ class KnowledgeStore:
         self._fs.rename(draft, target)
         return number
 
+    def _claim(self, claim, target, number: int) -> None:
+        """Take a version's number; a claim that a crashed writer left is taken over when it has run out."""
+        for _ in range(2):
+            try:
+                self._fs.create(claim, False).close()
+                return
+            except Exception as why:
+                if self._fs.exists(target) or not self._fs.exists(claim):
+                    raise Conflict(f"version {number} is taken") from why
+                age = time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000
+                left = self._path(f"{self.root}/manifests/.left-{uuid.uuid4().hex}")
+                # of several that try, one moves it away
+                if age < CLAIM_SECONDS or not self._fs.rename(claim, left):
+                    raise Conflict(f"version {number} is taken") from why
+        raise Conflict(f"version {number} is taken")
+
     # ---- ingest
 
     def ingest(self, files: DataFrame, mode: str = "both") -> dict[str, int]:
@@ -309,6 +327,7 @@ class KnowledgeStore:
         found = retrieval.best_per_chunk(fused, self.read("vectors").select("vec_id", "chunk_id"), chunks)
         if anchors is not None:
             found = modes.anchored(found, self.read("chunk_nodes"), anchors, s.anchor_factor)
+        found = retrieval.with_context(found, chunks)
         limit = max(top, s.rerank_top_n, pool if len(rows) > 1 else 0)
         asked = [(v.text, v.weight) for _, v, _ in rows]
         got = retrieval.rag_query(durable(found), plan.variants[0].text, top, pool, limit, threshold, asked, s.rescue_count, s.similarity_threshold)

@@ -47,10 +47,16 @@ def test_similar_names_are_all_found(spark):
     names = [" ".join(t.split()) for t in made]
     named = spark.createDataFrame([(f"n{i:03}", t) for i, t in enumerate(names)], "node_id string, name string")
     for need in (0.5, 0.75, 0.9):
-        got = {(r.a, r.b) for r in O.similar_names(named, need).collect()}
+        got = {(r.a, r.b) for r in O.similar_names(O.name_grams(named, need), need).collect()}
         want = {
             (f"n{i:03}", f"n{j:03}")
             for j in range(len(names)) for i in range(j)
             if names[i] != names[j] and SequenceMatcher(None, names[i], names[j]).ratio() >= need
         }
         assert want <= got
+
+
+def test_keys_are_composed_and_folded(spark):
+    rows = [("n1", "Ｔｅａｍ Straße", None, []), ("n2", "team strasse", None, []), ("n3", "team", None, [])]
+    nodes = spark.createDataFrame(rows, "node_id string, keyword string, summary string, aliases array<string>")
+    assert [(r.a, r.b) for r in O.exact_merges(nodes).collect()] == [("n1", "n2")]

@@ -102,3 +102,37 @@ def test_answer(spark):
     full = spark.createDataFrame([("passages", 0, "fact")], empty.schema)
     assert M.answer(full, "q") == "fact"
     assert M.answer(full, "q", lambda q, c: f"{q}:{len(c)}") == "q:1"
+
+
+def test_families_of_any_depth(spark):
+    tree = lambda rows: spark.createDataFrame(rows, "chunk_id string, parent_chunk_id string")
+    chain = [("c0", None), *[(f"c{i}", f"c{i - 1}") for i in range(1, 9)], ("x", None)]
+    assert {r.chunk_id: r.family_id for r in R.with_family(tree(chain)).collect()} == {**{f"c{i}": "c0" for i in range(9)}, "x": "x"}
+    for rows, why in (([("a", "b")], "missing"), ([("a", "b"), ("b", "a")], "cycle"), ([("a", "b"), ("b", "c"), ("c", "a"), ("d", None)], "cycle"), ([("a", "a")], None)):
+        if why:
+            with pytest.raises(ValueError, match=why):
+                R.with_family(tree(rows)).collect()
+
+
+def test_the_parents_text_is_read(spark):
+    chunks = spark.createDataFrame([("m", None, "medium", "all about graphs"), ("s", "m", "small", "about")], "chunk_id string, parent_chunk_id string, granularity string, content string")
+    found = R.with_context(chunks.withColumn("score", F.lit(0.5)), chunks)
+    got = {r.chunk_id: r for r in R.overlap_rerank(found, "graphs").collect()}
+    assert got["s"].rerank_score == got["m"].rerank_score == 1 and got["s"].context.content == "all about graphs" and got["m"].context is None
+
+
+def test_rankings_of_models_are_checked(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    ranked = lambda *rows: spark.createDataFrame(rows, "chunk_id string, rerank_score double, rerank_rank int")
+    assert R.checked(ranked(("b", 0.5, 1)), asked).count() == 1
+    for rows in ([("a", 0.5, 1), ("a", 0.4, 2)], [("a", float("nan"), 1)], [("c", 0.5, 1)], [("a", 0.5, 1), ("b", 0.5, 1)], [("a", None, 1)]):
+        with pytest.raises(ValueError):
+            R.checked(ranked(*rows), asked)
+
+
+def test_a_store_that_fails_late_fails_alone(spark):
+    from quillmesh.operators.modes import federated
+
+    good = spark.createDataFrame([("x", 0.5)], "chunk_id string, score double")
+    found, failed = federated({"good": lambda: good, "late": lambda: good.withColumn("score", F.expr("raise_error('lost')").cast("double"))}, "chunk_id")
+    assert [r.store for r in found.collect()] == ["good"] and set(failed) == {"late"}

@@ -118,3 +118,16 @@ def test_dense_sections_lose_no_name(spark):
     assert not [r.error for r in rows if r.error]
     assert {r.keyword for r in rows if r.relation is None} == {f"N{i:04}" for i in range(many)}
     assert len([r for r in rows if r.relation is None]) == many and len([r for r in rows if r.relation]) == many - 1
+
+
+def test_a_claim_that_was_left_runs_out(spark, tmp_path, monkeypatch):
+    from quillmesh import store as module
+
+    s = store(spark, tmp_path / "left")
+    rows = spark.createDataFrame([("a.md", "some Alpha text")], FILES)
+    s.ingest(rows)
+    (tmp_path / "left" / "manifests" / f"{s.version() + 1}.claim").touch()  # a writer died here
+    with pytest.raises(Conflict):
+        s.commit({"groups": s.read("groups")})
+    monkeypatch.setattr(module, "CLAIM_SECONDS", 0)
+    assert s.commit({"groups": s.read("groups")}) == s.version()
