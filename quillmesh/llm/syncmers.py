@@ -15,12 +15,14 @@ matching): an insertion moves all anchors behind it alike, chance matches move a
 Neighbours by ascending id are found with one shuffle of the texts.  Ids that exist are
 taken as the bounds of ranges; a document whose id is a bound is sent to the range before
 it too, and the first document of all behind the last one, so each range knows its
-successor and no second pass is needed.
+successor and no second pass is needed.  Their number grows with the rows, and each is a task.
 
 Defined results: a null text is empty; a text of fewer than K signs has one anchor, its
 whole; the empty text has the empty fingerprint; likeness is 1 for equal fingerprints (two
 empty ones too) and 0 if one is empty.  Rows of equal ids follow each other by text; a
-single document is its own next; null ids come first.
+single document is its own next; null ids come first; an empty table gives no rows; other
+columns are not read, so their names don't matter.  Rows of one id stay together, so all
+rows without an id are sorted in one task, which spills.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ K, S = 16, 6
 ANCHORS = 48
 #: Signs by which an anchor's move may differ from the usual one, beside a hundredth of the text.
 DRIFT = 64
+#: Rows of a range at most, about; there are as many ranges as this takes.
+RANGE_ROWS = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -179,14 +183,15 @@ def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """SCHEMA for every document: its fingerprint against its edited text's and the next document's."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or min(4 * parts, 4096)
     picked = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    if ranges is None:
+        ranges = max(4 * parts, -(-picked.count() // RANGE_ROWS))
     quantiles = [i / ranges for i in range(1, ranges)]
-    found = picked.agg(F.min("at").alias("first"), F.percentile_approx("at", quantiles, 20 * ranges).alias("bounds")).first()
+    found = picked.agg(F.min("at").alias("first"), F.percentile_approx("at", quantiles, 10 * ranges).alias("bounds")).first()
     first, bounds = found["first"], np.array(sorted({x for x in found["bounds"] or [] if x > found["first"]}), "i8")
 
     @F.pandas_udf("array<int>")
@@ -207,7 +212,8 @@ def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         "doc_id",
         "text",
     )
-    sorted_rows = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", "at", "text")
+    # a range is a partition: none holds two while another holds none
+    sorted_rows = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "guest", "at", "text")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

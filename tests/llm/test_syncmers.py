@@ -72,3 +72,50 @@ def test_likeness():
     assert 0.4 < S.likeness(a, S.sketch_anchors(S.edited(text, other))) < 0.8
     assert S.likeness(a, S.sketch_anchors(other)) == 0
     assert S.likeness(S.sketch_anchors(""), S.sketch_anchors("")) == 1 and S.likeness(a, S.sketch_anchors("")) == 0
+
+
+def plain_anchors(text):
+    """Closed syncmers by their definition, sign by sign; only the hash of an s-mer is the module's."""
+    if len(text) < S.K:
+        return [(text, 0)] if text else []
+    small = [int(S._windows(S.signs(text[i : i + S.S]), S.S)[0]) for i in range(len(text) - S.S + 1)]
+    width = S.K - S.S + 1
+    out = []
+    for i in range(len(text) - S.K + 1):
+        inside = small[i : i + width]
+        if min(inside) in (inside[0], inside[-1]):
+            out.append((text[i : i + S.K], i))
+    return out
+
+
+def test_query(spark, tmp_path):
+    """Every column against plain Python: order, edits, digests, anchors and their places, likeness."""
+    from quillmesh.llm.queries import op3_syncmer_fingerprints
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000 OR text IS NULL")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    order = sorted(texts)
+    got = {r.doc_id: r for r in op3_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert sorted(got) == order
+    prints = {}
+    for d, after in zip(order, [*order[1:], order[0]], strict=True):
+        r, text, cut = got[d], texts[d], len(texts[d]) // 4
+        changed = text[: len(text) - cut] + texts[after][:cut]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        places = dict.fromkeys(p for _, p in plain_anchors(text))
+        kept = [x.split(":") for x in r.fingerprint.split(",") if x]
+        assert len(kept) == min(S.ANCHORS, len(places)) and all(int(p, 16) in places for _, p in kept)
+        assert [h for h, _ in kept] == sorted(h for h, _ in kept)
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+        assert prints.setdefault(changed, r.edited_fingerprint) == r.edited_fingerprint
+        for other, near in ((r.edited_fingerprint, r.near_edited), (got[after].fingerprint, r.near_next)):
+            mine, its = ({h: int(p, 16) for h, p in (x.split(":") for x in f.split(",") if x)} for f in (r.fingerprint, other))
+            if not mine or not its:
+                assert near == (not mine and not its)
+                continue
+            union = sorted({*mine, *its})[: S.ANCHORS]
+            moved = sorted(its[h] - mine[h] for h in union if h in mine and h in its)
+            far = S.DRIFT + max(*mine.values(), *its.values()) // 100
+            same = sum(abs(m - moved[(len(moved) - 1) // 2]) <= far for m in moved)
+            assert abs(near - same / len(union)) < 1e-12
