@@ -41,13 +41,13 @@ from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of the caches of pieces and of odd chunks, per Python worker.
-CACHE_PIECES, CACHE_CHUNKS = 300_000, 100_000
+CACHE_PIECES, CACHE_CHUNKS = 200_000, 50_000
 #: Longer ones are encoded each time they occur.
 CACHE_CHARS = 40
 #: Rows taken out of an Arrow batch at once.
 SLICE_ROWS = 128
 #: Bytes of text encoded at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Chunks that Arrow can part: Latin without blanks, and without the one letter whose lower case is two.
 SIMPLE = r"^[!-~\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 
