@@ -177,17 +177,29 @@ class LineField:
         return _sigmoid(a + b * self.quality(*line_features(texts)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Newton's method; features first in x."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Newton's method; features first in x.
+
+    A step that doesn't lower the penalised loss is halved: on classes that lie apart whole steps
+    grow without bound.
+    """
+
+    def loss(w: np.ndarray) -> float:
+        odds = x @ w
+        return float(np.sum(np.logaddexp(0.0, odds) - y * odds) + penalty / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         p = _sigmoid(x @ w)
         slope = x.T @ (p - y) + penalty * w
         bend = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
-        w -= step
+        while (then := loss(w - step)) > now and np.abs(step).max() >= 1e-6:
+            step /= 2
         if np.abs(step).max() < 1e-6:
             break
+        w, now = w - step, then
     return w
 
 

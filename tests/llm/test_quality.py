@@ -39,8 +39,22 @@ def test_features_are_per_text():
         at += n
 
 
-def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("seed", [0, 1, 4, 7, 9, 13, 20])
+def test_fit_of_classes_that_lie_apart(seed):
+    """Groups of like lines and some far out, on which whole Newton steps grow without bound."""
+    rng = np.random.default_rng(seed)
+    kind, far = rng.integers(0, 6, 4000), rng.random(4000) < 0.01
+    x = np.hstack([np.ones((4000, 1)), rng.normal(0, 4, (6, 5))[kind] + rng.normal(0, 0.1, (4000, 5))])
+    x[far, 1:] *= 20
+    y = ((kind < 2) & ~far).astype(float)
+    for penalty in (0.1, 1e-3):
+        w = Q._logistic(x, y, penalty)
+        slope = x.T @ (Q._sigmoid(x @ w) - y) + penalty * w
+        assert np.abs(slope).max() < 1e-3 and np.abs(w).max() < 100
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_held_out_accuracy(spark, d):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     field = Q.train(docs, labels)
     scores = {r.doc_id: r.score for r in Q.score_documents(docs.select("doc_id", "text"), field).collect()}
