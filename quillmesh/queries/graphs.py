@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import norm_key
 from quillmesh.operators import evidence, graph, organise, planning
-from quillmesh.sources.tables import SQL_EDGES, SQL_EVIDENCE, SQL_NODES, SQL_PLACES, edge_evidence, node_names, places_edges, table
+from quillmesh.sources.tables import SQL_EDGES, SQL_EVIDENCE, SQL_NODES, edge_evidence, node_names, table
 
 START = "nation:3"
 
@@ -42,18 +42,6 @@ def evidence_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_resolution_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions named like parts: reuse a node only where one alone shares the name."""
     nodes = node_names(spark, sf_dir).filter("node_id LIKE 'part:%'")
-    part = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0")
-    mentions = part.select(
-        F.col("p_partkey").alias("mention_id"),
-        F.upper(F.concat_ws(" ", "p_name", ((F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(5000)) % 1500).cast("string"))).alias("keyword"),
-        F.expr("cast(array() AS array<string>)").alias("aliases"),
-    )
-    return evidence.resolve_mentions(mentions, nodes, norm_key)
-
-
-def entity_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entity_resolution_unique`` with mentions of all parts."""
-    nodes = node_names(spark, sf_dir).filter("node_id LIKE 'part:%'")
     mentions = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("mention_id"),
         F.upper(F.concat_ws(" ", "p_name", ((F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(5000)) % 1500).cast("string"))).alias("keyword"),
@@ -104,12 +92,12 @@ def _start(spark: SparkSession) -> DataFrame:
 
 
 def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visited, _ = graph.expand(places_edges(spark, sf_dir), _start(spark), 3)
+    visited, _ = graph.expand(_edges(spark, sf_dir), _start(spark), 3)
     return visited.select("node_id", F.col("depth").cast("long").alias("depth"))
 
 
 def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, touched = graph.expand(places_edges(spark, sf_dir), _start(spark), 2)
+    _, touched = graph.expand(_edges(spark, sf_dir), _start(spark), 2)
     return touched.select("edge_id", F.col("hop").cast("long").alias("hop"))
 
 
@@ -120,21 +108,10 @@ def bfs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paths_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.readable_paths(places_edges(spark, sf_dir), START)
+    found = graph.readable_paths(_edges(spark, sf_dir), START)
     return found.select(F.col("hops").cast("long").alias("hops"), F.array_join("edge_ids", ",").alias("edge_ids"), F.array_join("nodes", ",").alias("nodes"))
 
 
-def bfs_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bfs_distance`` over every relation, as the queries below named ``_all`` are."""
-    visited, _ = graph.expand(_edges(spark, sf_dir), _start(spark), 3)
-    return visited.select("node_id", F.col("depth").cast("long").alias("depth"))
-
-
-def bfs_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, touched = graph.expand(_edges(spark, sf_dir), _start(spark), 2)
-    return touched.select("edge_id", F.col("hop").cast("long").alias("hop"))
-
-
 def paths_two_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of a supplier, which has relations of both kinds."""
     found = graph.readable_paths(_edges(spark, sf_dir), "supplier:5")
@@ -151,22 +128,17 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def groups_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = node_names(spark, sf_dir).filter("node_id LIKE 'supplier:%' AND node_id LIKE '%1'")
-    return graph.groups_of(_members(spark, sf_dir), some)
-
-
-def groups_of_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all suppliers."""
     return graph.groups_of(_members(spark, sf_dir), node_names(spark, sf_dir).filter("node_id LIKE 'supplier:%'"))
 
 
 def neighborhood_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, _, _ = graph.neighbourhood(places_edges(spark, sf_dir), START, 3, node_limit=60)
+    nodes, _, _, _ = graph.neighbourhood(_edges(spark, sf_dir), START, 3, node_limit=60)
     return nodes.select("node_id", F.col("depth").cast("long").alias("depth"))
 
 
 def neighborhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _, _ = graph.neighbourhood(places_edges(spark, sf_dir), START, 2, node_limit=60, edge_limit=40)
+    _, edges, _, _ = graph.neighbourhood(_edges(spark, sf_dir), START, 2, node_limit=60, edge_limit=40)
     return edges.select("edge_id")
 
 
@@ -213,8 +185,7 @@ def graph_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draft_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one brand as drafts of sections: entities that share a term become one."""
-    part = table(spark, sf_dir, "part").filter("p_partkey < 500")
-    nodes = part.select(
+    nodes = table(spark, sf_dir, "part").select(
         F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_name").alias("keyword"), F.array("p_type").alias("aliases")
     )
     pairs = organise.exact_merges(nodes)
@@ -223,21 +194,7 @@ def draft_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("node_id"), "component")
 
 
-def draft_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``draft_merge`` of all parts; no SQL, whose recursion would hold all pairs of a component."""
-    nodes = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_name").alias("keyword"), F.array("p_type").alias("aliases")
-    )
-    from quillmesh.plans.components import connected_components
-
-    return connected_components(organise.exact_merges(nodes)).select(F.col("node").alias("node_id"), "component")
-
-
 def neighbor_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return organise.neighbour_signatures(places_edges(spark, sf_dir), node_names(spark, sf_dir))
-
-
-def neighbor_signatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organise.neighbour_signatures(_edges(spark, sf_dir), node_names(spark, sf_dir))
 
 
@@ -251,8 +208,7 @@ def neighbor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = node_names(spark, sf_dir).filter("node_id LIKE 'part:%'")
-    return organise.exact_candidates(parts, 200).select("a", "b", "score")
+    return organise.exact_candidates(node_names(spark, sf_dir), 200).select("a", "b", "score")
 
 
 def merge_candidates_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,14 +267,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_evidence_agg, edge_evidence_agg, evidence_upsert, entity_resolution_unique, chunk_node_links, node_match_lexical, node_match_fuzzy,
-        entity_resolution_all, groups_of_nodes_all, draft_merge_all,
-        bfs_distance_all, bfs_edges_all, paths_two_hop_all, neighborhood_bounded_all, neighborhood_edges_all, neighbor_signatures_all,
+        paths_two_hop_all, neighborhood_bounded_all, neighborhood_edges_all,
         neighbors, bfs_distance, bfs_edges, bfs_paths, paths_two_hop, relations_text, groups_of_nodes, neighborhood_bounded, neighborhood_edges,
         node_detail, full_graph_groups, entity_search_ranked, document_search, graph_filters, draft_merge, neighbor_signatures, neighbor_jaccard,
         merge_candidates_exact, merge_candidates_fuzzy, keep_node, node_merge_rewire, connected_components, qualified_communities, community_stats,
     )
 }
 
+#: Second names of queries that read subsets once and now read whole tables under both.
+ALIASES = {
+    "entity_resolution_all": "entity_resolution_unique", "groups_of_nodes_all": "groups_of_nodes", "draft_merge_all": "draft_merge",
+    "bfs_distance_all": "bfs_distance", "bfs_edges_all": "bfs_edges", "neighbor_signatures_all": "neighbor_signatures",
+}
+QUERIES |= {second: QUERIES[name] for second, name in ALIASES.items()}
+
 _BOUND = """bound AS (
     SELECT node_id, source_id, max(evidence_weight) AS w FROM (
         SELECT source_node_id AS node_id, source_id, evidence_weight FROM evidence UNION ALL SELECT target_node_id, source_id, evidence_weight FROM evidence
@@ -328,7 +290,6 @@ _NEAR = """near AS (
     SELECT source_node_id AS here, target_node_id AS near, 'forward' AS direction, 0 AS dir_rank, edge_id FROM {t}
     UNION ALL SELECT target_node_id, source_node_id, 'backward', 1, edge_id FROM {t}
 )"""
-_PLACES_NEAR = _NEAR.format(t="places")
 
 
 def _reach(starts: str, depth: int) -> str:
@@ -373,7 +334,7 @@ ORACLE = {
         WITH {SQL_NODES}, terms AS (
             SELECT DISTINCT node_id, lower(t) AS term FROM (SELECT node_id, unnest(list_append(aliases, keyword)) AS t FROM nodes WHERE node_id LIKE 'part:%')
         ), m AS (
-            SELECT p_partkey AS mention_id, lower(p_name || ' ' || ((p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 5000 END) % 1500)) AS k FROM part WHERE p_partkey % 3 = 0
+            SELECT p_partkey AS mention_id, lower(p_name || ' ' || ((p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 5000 END) % 1500)) AS k FROM part
         ), hits AS (SELECT mention_id, k, count(DISTINCT node_id) AS n, min(node_id) AS hit FROM m LEFT JOIN terms ON term = k GROUP BY ALL)
         SELECT mention_id, CASE WHEN n = 1 THEN hit ELSE 'new:' || substr(sha256(k), 1, 16) END AS node_id FROM hits
     """,
@@ -394,35 +355,21 @@ ORACLE = {
         SELECT node_id, keyword, round(max(score), 6) AS score FROM scored WHERE score >= 0.6 GROUP BY ALL
     """,
     "neighbors": f"WITH {SQL_EVIDENCE}, {SQL_EDGES}, {_NEAR.format(t='edges')} SELECT near, direction, edge_id FROM near WHERE here = '{START}'",
-    "bfs_distance": f"WITH RECURSIVE {SQL_EVIDENCE}, {SQL_PLACES}, {_PLACES_NEAR}, {_reach(_TWO, 3)} SELECT node_id, depth FROM dist",
+    "bfs_distance": f"WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 3)} SELECT node_id, depth FROM dist",
     "bfs_edges": f"""
-        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_PLACES}, {_PLACES_NEAR}, {_reach(_TWO, 2)}
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 2)}
         SELECT edge_id, min(depth) + 1 AS hop FROM near JOIN dist ON here = node_id WHERE depth < 2 GROUP BY edge_id
     """,
     "paths_two_hop": f"""
-        WITH {SQL_EVIDENCE}, {SQL_PLACES}, found AS (
-            SELECT 1 AS hops, edge_id AS edge_ids, source_node_id || ',' || target_node_id AS nodes, [edge_id] AS o FROM places WHERE '{START}' IN (source_node_id, target_node_id)
+        WITH {SQL_EVIDENCE}, {SQL_EDGES}, found AS (
+            SELECT 1 AS hops, edge_id AS edge_ids, source_node_id || ',' || target_node_id AS nodes, [edge_id] AS o FROM edges WHERE '{START}' IN (source_node_id, target_node_id)
             UNION ALL SELECT 2, a.edge_id || ',' || b.edge_id, concat_ws(',', a.source_node_id, a.target_node_id, b.target_node_id), [a.edge_id, b.edge_id]
-            FROM places a JOIN places b ON a.target_node_id = b.source_node_id
+            FROM edges a JOIN edges b ON a.target_node_id = b.source_node_id
             WHERE '{START}' IN (a.source_node_id, a.target_node_id, b.target_node_id)
               AND a.source_node_id <> a.target_node_id AND b.source_node_id <> b.target_node_id AND a.source_node_id <> b.target_node_id
         )
         SELECT hops, edge_ids, nodes FROM found ORDER BY hops, o LIMIT 20
     """,
-    "entity_resolution_all": f"""
-        WITH {SQL_NODES}, terms AS (
-            SELECT DISTINCT node_id, lower(t) AS term FROM (SELECT node_id, unnest(list_append(aliases, keyword)) AS t FROM nodes WHERE node_id LIKE 'part:%')
-        ), m AS (
-            SELECT p_partkey AS mention_id, lower(p_name || ' ' || ((p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 5000 END) % 1500)) AS k FROM part
-        ), hits AS (SELECT mention_id, k, count(DISTINCT node_id) AS n, min(node_id) AS hit FROM m LEFT JOIN terms ON term = k GROUP BY ALL)
-        SELECT mention_id, CASE WHEN n = 1 THEN hit ELSE 'new:' || substr(sha256(k), 1, 16) END AS node_id FROM hits
-    """,
-    "groups_of_nodes_all": f"WITH {SQL_EVIDENCE}, {_MEMBERS} SELECT DISTINCT group_id FROM members WHERE node_id LIKE 'supplier:%'",
-    "bfs_distance_all": f"WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 3)} SELECT node_id, depth FROM dist",
-    "bfs_edges_all": f"""
-        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(_TWO, 2)}
-        SELECT edge_id, min(depth) + 1 AS hop FROM near JOIN dist ON here = node_id WHERE depth < 2 GROUP BY edge_id
-    """,
     "paths_two_hop_all": f"""
         WITH {SQL_EVIDENCE}, {SQL_EDGES}, found AS (
             SELECT 1 AS hops, edge_id AS edge_ids, source_node_id || ',' || target_node_id AS nodes, [edge_id] AS o FROM edges WHERE 'supplier:5' IN (source_node_id, target_node_id)
@@ -442,21 +389,20 @@ ORACLE = {
         kept AS (SELECT node_id FROM dist ORDER BY depth, node_id LIMIT 1000)
         SELECT edge_id FROM edges WHERE source_node_id IN (FROM kept) AND target_node_id IN (FROM kept) ORDER BY edge_id LIMIT 5000
     """,
-    "neighbor_signatures_all": f"WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}, {_SIGNED.format(t='edges')} SELECT node_id, signature FROM signed",
     "relations_text": f"""
         WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}
         SELECT edge_id, a.keyword || '->[' || relation || ']->' || b.keyword AS text
         FROM edges JOIN nodes a ON a.node_id = source_node_id JOIN nodes b ON b.node_id = target_node_id
     """,
-    "groups_of_nodes": f"WITH {SQL_EVIDENCE}, {_MEMBERS} SELECT DISTINCT group_id FROM members WHERE node_id LIKE 'supplier:%' AND node_id LIKE '%1'",
+    "groups_of_nodes": f"WITH {SQL_EVIDENCE}, {_MEMBERS} SELECT DISTINCT group_id FROM members WHERE node_id LIKE 'supplier:%'",
     "neighborhood_bounded": f"""
-        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_PLACES}, {_PLACES_NEAR}, {_reach(f"('{START}', 0)", 3)}
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(f"('{START}', 0)", 3)}
         SELECT node_id, depth FROM dist ORDER BY depth, node_id LIMIT 60
     """,
     "neighborhood_edges": f"""
-        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_PLACES}, {_PLACES_NEAR}, {_reach(f"('{START}', 0)", 2)},
+        WITH RECURSIVE {SQL_EVIDENCE}, {SQL_EDGES}, {_ALL_NEAR}, {_reach(f"('{START}', 0)", 2)},
         kept AS (SELECT node_id FROM dist ORDER BY depth, node_id LIMIT 60)
-        SELECT edge_id FROM places WHERE source_node_id IN (FROM kept) AND target_node_id IN (FROM kept) ORDER BY edge_id LIMIT 40
+        SELECT edge_id FROM edges WHERE source_node_id IN (FROM kept) AND target_node_id IN (FROM kept) ORDER BY edge_id LIMIT 40
     """,
     "node_detail": f"""
         WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}
@@ -489,7 +435,7 @@ ORACLE = {
     """,
     "draft_merge": """
         WITH RECURSIVE t AS (
-            SELECT DISTINCT 'm' || p_partkey AS node_id, lower(x) AS term FROM (SELECT p_partkey, unnest([p_name, p_type]) AS x FROM part WHERE p_partkey < 500)
+            SELECT DISTINCT 'm' || p_partkey AS node_id, lower(x) AS term FROM (SELECT p_partkey, unnest([p_name, p_type]) AS x FROM part)
         ), firsts AS (SELECT term, min(node_id) AS a FROM t GROUP BY term), link AS (
             SELECT DISTINCT a, node_id AS b FROM t JOIN firsts USING (term) WHERE node_id <> a
         ), both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(node_id, other) AS (
@@ -497,7 +443,7 @@ ORACLE = {
         )
         SELECT node_id, min(other) AS component FROM reach GROUP BY node_id
     """,
-    "neighbor_signatures": f"WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_PLACES}, {_SIGNED.format(t='places')} SELECT node_id, signature FROM signed",
+    "neighbor_signatures": f"WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}, {_SIGNED.format(t='edges')} SELECT node_id, signature FROM signed",
     "neighbor_jaccard": f"""
         WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}, {_SIGNED.format(t='edges')}, size AS (SELECT node_id, count(*) AS n FROM signed GROUP BY 1),
         pairs AS (SELECT 'supplier:' || s_suppkey AS a, 'supplier:' || (s_suppkey + 1) AS b FROM supplier),
@@ -507,7 +453,7 @@ ORACLE = {
     """,
     "merge_candidates_exact": f"""
         WITH {SQL_NODES}, t AS (
-            SELECT DISTINCT node_id, keyword, lower(x) AS term FROM (SELECT node_id, keyword, unnest(list_append(aliases, keyword)) AS x FROM nodes WHERE node_id LIKE 'part:%')
+            SELECT DISTINCT node_id, keyword, lower(x) AS term FROM (SELECT node_id, keyword, unnest(list_append(aliases, keyword)) AS x FROM nodes)
         )
         SELECT a, b, 1.0::DOUBLE AS score FROM (
             SELECT DISTINCT x.node_id AS a, y.node_id AS b, x.keyword AS ak, y.keyword AS bk FROM t x JOIN t y ON x.term = y.term AND x.node_id < y.node_id
@@ -541,3 +487,4 @@ ORACLE = {
         SELECT component, node_count, coalesce(m, 0) AS edge_count FROM sizes LEFT JOIN inside USING (component)
     """,
 }
+ORACLE |= {second: ORACLE[name] for second, name in ALIASES.items() if name in ORACLE}

@@ -49,8 +49,8 @@ def fused_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the first hundred vectors are near the first."""
-    some = _vectors(spark, sf_dir).filter("vec_id < 100").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
+    """Which of all vectors are near the first."""
+    some = _vectors(spark, sf_dir).select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
     return retrieval.keep_variants(some, 0.05).select("idx")
 
 
@@ -262,7 +262,7 @@ ORACLE = {
     """,
     "fused_multi_query": f"WITH {_hits(POOL)} SELECT id AS vec_id, round(score, 6) AS score FROM fused",
     "drift_filter": """
-        SELECT e.vec_id AS idx FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id < 100
+        SELECT e.vec_id AS idx FROM embeddings e, embeddings q WHERE q.vec_id = 0
         AND (e.vec_id = 0 OR list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.05)
     """,
     "entity_search": f"""

@@ -79,14 +79,6 @@ def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def places_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse part of the graph, without ``supplies``: ``edge_id, source_node_id, relation, target_node_id``."""
-    from quillmesh.operators.evidence import edge_key
-
-    raw = edge_evidence(spark, sf_dir).filter("relation != 'supplies'")
-    return raw.select(edge_key().alias("edge_id"), "source_node_id", "relation", "target_node_id").distinct()
-
-
 #: The same in DuckDB, as common table expressions.
 SQL_NODES = """nodes AS (
     SELECT 'region:' || r_regionkey AS node_id, r_name AS keyword, 'region' AS summary, []::VARCHAR[] AS aliases, ['place'] AS tags FROM region
@@ -106,7 +98,3 @@ SQL_EDGES = """edges AS (
            max(evidence_weight) AS weight, count(DISTINCT source_id) AS support_count
     FROM evidence GROUP BY ALL
 )"""
-SQL_PLACES = """places AS (
-    SELECT DISTINCT concat_ws('|', source_node_id, relation, target_node_id) AS edge_id, source_node_id, relation, target_node_id
-    FROM evidence WHERE relation <> 'supplies'
-)"""
