@@ -75,11 +75,15 @@ class SearchCache:
             key = key_for(mode, query, before, config or {}, params or {})
             with self._lock:
                 flight = self._flights.setdefault(key, threading.RLock())
-            with flight:
-                if (entry := self.get(key)) is not None:
-                    return json.loads(entry.body), True
-                result = run()
-                if state() == before:
-                    self.put(key, Entry(mode, cache_text(query), before, json.dumps(result, default=str)))
-                    return result, False
+            try:
+                with flight:
+                    if (entry := self.get(key)) is not None:
+                        return json.loads(entry.body), True
+                    result = run()
+                    if state() == before:
+                        self.put(key, Entry(mode, cache_text(query), before, json.dumps(result, default=str)))
+                        return result, False
+            finally:  # who waits holds the flight and finds the entry
+                with self._lock:
+                    self._flights.pop(key, None)
         return result, False

@@ -159,6 +159,14 @@ def relation_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("edge_id", F.concat("source", F.lit("->["), "relation", F.lit("]->"), "target").alias("text"))
 
 
+def relation_detail(edges: DataFrame, evidence: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each edge by name with its weights, a row a source that tells it; ``evidence`` has a row an edge and source."""
+    key = ["source_node_id", "relation", "target_node_id"]
+    name = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node_id"), F.col("keyword").alias(c))
+    told = edges.join(evidence.select(*key, "source_id", "evidence_weight"), key).join(name("source"), "source_node_id").join(name("target"), "target_node_id")
+    return told.select("edge_id", "source", "relation", "target", "weight", "support_count", "source_id", "evidence_weight")
+
+
 def groups_of(members: DataFrame, node_ids: DataFrame) -> DataFrame:
     return members.join(node_ids.select("node_id"), "node_id", "left_semi").select("group_id").distinct()
 

@@ -159,6 +159,13 @@ def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(names, "near").select("direction", "relation", "near", "keyword", F.round("weight", 6).alias("weight"), "support_count")
 
 
+def relation_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations of a supplier with all their evidence."""
+    edges = _edges(spark, sf_dir).filter("source_node_id = 'supplier:5' OR target_node_id = 'supplier:5'")
+    found = graph.relation_detail(edges, evidence.edge_bindings(edge_evidence(spark, sf_dir)), node_names(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "evidence_weight")})
+
+
 def full_graph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.operators.listing import with_members
 
@@ -269,7 +276,7 @@ QUERIES = {
         node_evidence_agg, edge_evidence_agg, evidence_upsert, entity_resolution_unique, chunk_node_links, node_match_lexical, node_match_fuzzy,
         paths_two_hop_all, neighborhood_bounded_all, neighborhood_edges_all,
         neighbors, bfs_distance, bfs_edges, bfs_paths, paths_two_hop, relations_text, groups_of_nodes, neighborhood_bounded, neighborhood_edges,
-        node_detail, full_graph_groups, entity_search_ranked, document_search, graph_filters, draft_merge, neighbor_signatures, neighbor_jaccard,
+        node_detail, relation_detail, full_graph_groups, entity_search_ranked, document_search, graph_filters, draft_merge, neighbor_signatures, neighbor_jaccard,
         merge_candidates_exact, merge_candidates_fuzzy, keep_node, node_merge_rewire, connected_components, qualified_communities, community_stats,
     )
 }
@@ -411,6 +418,14 @@ ORACLE = {
         UNION ALL SELECT 'backward', relation, node_id, keyword, round(weight, 6), support_count
         FROM edges JOIN nodes ON node_id = source_node_id WHERE target_node_id = 'supplier:5'
     """,
+    "relation_detail": f"""
+        WITH {SQL_NODES}, {SQL_EVIDENCE}, {SQL_EDGES}, told AS (
+            SELECT concat_ws('|', source_node_id, relation, target_node_id) AS edge_id, source_id, max(evidence_weight) AS w FROM evidence GROUP BY ALL
+        )
+        SELECT edge_id, a.keyword AS source, relation, b.keyword AS target, round(weight, 6) AS weight, support_count, source_id, round(w, 6) AS evidence_weight
+        FROM edges JOIN told USING (edge_id) JOIN nodes a ON a.node_id = source_node_id JOIN nodes b ON b.node_id = target_node_id
+        WHERE 'supplier:5' IN (source_node_id, target_node_id)
+    """,
     "full_graph_groups": f"""
         WITH {SQL_EVIDENCE}, {_MEMBERS}
         SELECT 'nation:' || n_nationkey AS group_id, n_name AS keyword, coalesce(string_agg(DISTINCT node_id, ',' ORDER BY node_id), '') AS members

@@ -15,9 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.cache import SearchCache
 from quillmesh.config import DEFAULTS, Settings
 from quillmesh.functions.text import norm_key_full, norm_keys_full
-from quillmesh.operators import chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
+from quillmesh.operators import changes, chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
 from quillmesh.plans.components import durable
 from quillmesh.sources import models
 
@@ -47,11 +48,11 @@ class Conflict(RuntimeError):
 
 
 class KnowledgeStore:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
         self.embedder = embedder or models.HashEmbedder()
         self.model = getattr(self.embedder, "name", "custom")
-        self.extractor, self.planner = extractor, planner
+        self.extractor, self.planner, self.cache = extractor, planner, cache
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -146,8 +147,7 @@ class KnowledgeStore:
         replaced = done.unionByName(gone).distinct()
         keep = lambda name: self.read(name, base).join(replaced, "source_id", "left_anti")
         all_mentions = durable(keep("mentions").unionByName(mentions.filter("error IS NULL")))
-        entity = all_mentions.filter("relation IS NULL").withColumn("mention_id", F.concat_ws("#", "source_id", "local_id"))
-        graph_tables = self._graph(entity, all_mentions.filter("relation IS NOT NULL"))
+        graph_tables = self._graph(all_mentions)
 
         rag = plan.filter("do_rag").select("source_id", "text")
         renewed = rag.select("source_id").unionByName(gone).distinct()
@@ -172,6 +172,8 @@ class KnowledgeStore:
             base,
         )
         counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if(~F.col("live")).alias("deleted")).first()
+        if counts["deleted"]:
+            self._forget()
         return {**counts.asDict(), "failed": failed.count()}
 
     def _chunks(self, rag: DataFrame) -> DataFrame:
@@ -188,8 +190,10 @@ class KnowledgeStore:
         content = F.rtrim(F.array_join(F.slice("parts", (F.col("token_start") + 1).cast("int"), (F.col("token_end") - F.col("token_start")).cast("int")), ""))
         return tree.join(parts, "source_id").select(own.alias("chunk_id"), "source_id", content.alias("content"), "chunk_index", "granularity", up.alias("parent_chunk_id"))
 
-    def _graph(self, entity: DataFrame, relation: DataFrame) -> dict[str, DataFrame]:
+    def _graph(self, mentions: DataFrame) -> dict[str, DataFrame]:
         """Nodes are the classes of mentions that share terms, all sources at once; weights derive from evidence."""
+        entity = mentions.filter("relation IS NULL").withColumn("mention_id", F.concat_ws("#", "source_id", "local_id"))
+        relation = mentions.filter("relation IS NOT NULL")
         names = entity.select(F.col("mention_id").alias("node_id"), "keyword", "aliases")
         classes = organise.components(names, organise.exact_merges(names, norm_key_full).select(F.col("a").alias("source_node_id"), F.col("b").alias("target_node_id")))
         of = entity.join(classes.select(F.col("node_id").alias("mention_id"), "component"), "mention_id").withColumn("node_id", F.concat(F.lit("n:"), F.substring(F.sha2("component", 256), 1, 20)))
@@ -209,6 +213,59 @@ class KnowledgeStore:
         bound = evidence.edge_bindings(raw)
         return {"mention_nodes": to, "nodes": nodes, "node_sources": node_sources, "edge_sources": bound, "edges": evidence.edge_aggregate(raw)}
 
+    # ---- deletes: what is left of the mentions yields the graph anew
+
+    def delete_sources(self, ids: list[str]) -> int:
+        """Without these sources' chunks and evidence; returns how many there were.  Unknown ids are passed over."""
+        base = self.version()
+        return self._delete(base, self.spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "source_id string"), self.read("mentions", base))
+
+    def delete_node(self, node_id: str) -> int:
+        """Without a node, its relations, and the sources that bind nothing else; returns how many sources went.
+
+        It stays away until a source that names it changes.
+        """
+        base = self.version()
+        of = self.read("mention_nodes", base).filter(F.col("node_id") == node_id).select("source_id", "local_id")
+        if of.isEmpty():
+            raise KeyError(node_id)
+        # an entity, or a relation at either end, by the name it has in its source
+        left = self.read("mentions", base).join(of, ["source_id", "local_id"], "left_anti").join(of.withColumnRenamed("local_id", "target_id"), ["source_id", "target_id"], "left_anti")
+        return self._delete(base, changes.sources_of_node_only(self.read("node_sources", base), node_id), left)
+
+    def delete_relation(self, edge_id: str) -> None:
+        """Without a relation, whichever sources tell it; its nodes stay."""
+        base = self.version()
+        edge = self.read("edges", base).filter(F.col("edge_id") == edge_id).first()
+        if edge is None:
+            raise KeyError(edge_id)
+        to = self.read("mention_nodes", base)
+        a = to.filter(F.col("node_id") == edge["source_node_id"]).select("source_id", "local_id")
+        b = to.filter(F.col("node_id") == edge["target_node_id"]).select("source_id", F.col("local_id").alias("target_id"))
+        told = a.join(b, "source_id").withColumn("relation", F.lit(edge["relation"]))
+        none = self.spark.createDataFrame([], "source_id string")
+        self._delete(base, none, self.read("mentions", base).join(told, ["source_id", "local_id", "relation", "target_id"], "left_anti"))
+
+    def _delete(self, base: int, gone: DataFrame, mentions: DataFrame) -> int:
+        was = self.read("sources", base)
+        gone = durable(was.filter("exists_status = 'active'").select("source_id").join(gone, "source_id", "left_semi"))
+        left = lambda rows: durable(rows.join(gone, "source_id", "left_anti"))
+        mentions, chunks, vectors = left(mentions), left(self.read("chunks", base)), left(self.read("vectors", base))
+        made = self._graph(mentions)
+        new = {"graph_hash": F.lit(None), "rag_hash": F.lit(None), "graph_status": F.lit("pending"), "rag_status": F.lit("pending"), "exists_status": F.lit("deleted"), "error": F.lit(None)}
+        marked = was.join(gone.withColumn("_gone", F.lit(True)), "source_id", "left")
+        sources = durable(marked.select(*[F.when(F.col("_gone"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in was.columns]))
+        none = lambda name: self.spark.createDataFrame([], SCHEMAS[name])
+        links = evidence.chunk_links(chunks, made["node_sources"], sources)
+        self.commit({"sources": sources, "chunks": chunks, "vectors": vectors, "mentions": mentions, "chunk_nodes": links, "groups": none("groups"), "group_nodes": none("group_nodes"), **made}, base)
+        self._forget()
+        return gone.count()
+
+    def _forget(self) -> None:
+        """Cached results may hold deleted text."""
+        if self.cache is not None:
+            self.cache.clear()
+
     def rebuild(self, files: DataFrame) -> int:
         """Everything anew: built beside the old tables, validated, then committed as one version."""
         shadow = KnowledgeStore(self.spark, f"{self.root}/shadow-{uuid.uuid4().hex}", self.settings, self.embedder, self.extractor, self.planner)
@@ -347,6 +404,12 @@ class KnowledgeStore:
         context = modes.answer_context(nodes, found["relations"], found["paths"], groups, found["passages"], found["entities"], groups)
         return modes.answer(context, query, chat)
 
+    def relation(self, edge_id: str) -> DataFrame:
+        """A relation's detail with the evidence of each source."""
+        edges = self.read("edges").filter(F.col("edge_id") == edge_id)
+        found = graph.relation_detail(edges, self.read("edge_sources"), self.read("nodes"))
+        return found.join(self.read("sources").select("source_id", "relative_path"), "source_id", "left")
+
     def key_entities(self, query: str, top_k: int = 10) -> DataFrame:
         """Global mode: the communities nearest to the query by their summaries, and their key entities."""
         rows = self._variants(self._plan(query))

@@ -81,6 +81,37 @@ def test_drafts():
             parse_draft(wrong)
 
 
+def test_deletes_cascade_and_clear_the_cache(spark, tmp_path):
+    cache = SearchCache()
+    s = store(spark, tmp_path / "deletes")
+    s.cache = cache
+    three = [("a.md", "strong words on Alpha and Beta"), ("b.md", "words on Alpha and Gamma"), ("c.md", "only Beta here")]
+    files = spark.createDataFrame(three, FILES)
+    s.ingest(files)
+    ask = lambda: cache.run("rag", "q", s.revision, lambda: 1)
+    node = {r.keyword: r.node_id for r in s.read("nodes").collect()}
+    path = {r.source_id: r.relative_path for r in s.read("sources").collect()}
+    edge = s.read("edges").filter(f"target_node_id = '{node['Beta']}'").first()
+    told = s.relation(edge.edge_id).collect()
+    assert [(r.source, r.relation, r.target, r.support_count, r.relative_path, r.evidence_weight) for r in told] == [("Alpha", "knows", "Beta", 1, "a.md", 0.9)]
+
+    ask()
+    s.delete_relation(edge.edge_id)
+    assert cache.listed("") == [] and s.read("edges").count() == 1 and s.read("nodes").count() == 3
+    assert s.delete_node(node["Beta"]) == 1  # c.md names nothing else
+    assert {r.keyword for r in s.read("nodes").collect()} == {"Alpha", "Gamma"} and s.violations().isEmpty()
+    live = s.read("sources").filter("exists_status = 'active'").collect()
+    assert {r.relative_path for r in live} == {"a.md", "b.md"} == {path[r.source_id] for r in s.read("chunks").collect()}
+    gone = next(k for k, v in path.items() if v == "b.md")
+    assert s.delete_sources([gone, gone, "unknown"]) == 1
+    assert {(r.keyword, r.weight) for r in s.read("nodes").collect()} == {("Alpha", 0.9)} and s.read("edges").count() == 0 and s.violations().isEmpty()
+    for wrong in (lambda: s.delete_node("no"), lambda: s.delete_relation("no")):
+        with pytest.raises(KeyError):
+            wrong()
+    assert s.ingest(files) == {"graph": 2, "rag": 2, "deleted": 0, "failed": 0}  # what was deleted and is still a file comes back
+    assert s.read("edges").count() == 1
+
+
 def test_cache():
     c = SearchCache(most=2)
     state = ["s1"]
@@ -100,7 +131,7 @@ def test_cache():
     assert len(c.listed("s2")) == 2
     moving = iter(range(100))
     assert c.run("rag", "z", lambda: str(next(moving)), run)[1] is False
-    assert all(e["query"] != "z" for e in c.listed(""))
+    assert all(e["query"] != "z" for e in c.listed("")) and not c._flights
 
 
 def test_settings_are_lenient():
