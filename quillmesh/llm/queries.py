@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, neighbours, packing, quality, rendering, secrets, sharding, syncmers
+from . import audit, bpe, chat, dedup, neighbours, packing, quality, rendering, secrets, sharding, syncmers
 from .common import durable, table
 
 
@@ -116,6 +116,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
@@ -127,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_chat_format": op10_chat_format,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -147,4 +152,47 @@ ORACLE: dict[str, str] = {
                3 + sum(6 + length(role_) + 7 + length(text_) + 4)::BIGINT AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+        ), seen AS (
+            SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+                   min(doc_id) OVER (PARTITION BY t) AS first_id
+            FROM texts
+        ), marks AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+        ), failing AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   (len(words) < 200)::INT
+                   + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                   + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                   + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+            FROM seen LEFT JOIN marks USING (doc_id)
+        ), counts AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, mask
+        ), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)), orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+                   [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a JOIN letters b ON a.bit <> b.bit
+            JOIN letters c ON c.bit NOT IN (a.bit, b.bit)
+            JOIN letters d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+            JOIN letters e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+            FROM orders, range(1, 6) AS s(step)
+        ), walked AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM counts, steps GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM walked
+    """,
 }
