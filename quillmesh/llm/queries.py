@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, dedup, negatives, neighbours, packing, quality, rendering, secrets, sharding, syncmers
+from . import audit, bpe, chat, dedup, languages, negatives, neighbours, packing, quality, rendering, secrets, sharding, syncmers
 from .common import durable, table
 
 
@@ -116,6 +116,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = languages.held_out(F.col("doc_id").cast("long"))
+    model = languages.train(docs.filter(~held_out))
+    return languages.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
 
@@ -136,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_language_id": op11_language_id,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
