@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices_of_bytes
+from .common import durable
 from .sketches import hash_words
 
 FILTERS = "ABCDE"
@@ -161,7 +162,8 @@ def masks(docs: DataFrame, part: Column) -> DataFrame:
 
 def mask_counts(docs: DataFrame, labels: DataFrame, part: Column) -> DataFrame:
     """``part, mask, n, good, toxic``: at most 32 rows a part."""
-    found = masks(docs, part)
+    # read twice from here on, so that texts are read once: a few dozen bytes a row
+    found = durable(masks(docs, part))
     firsts = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     firsts = firsts.select("doc_id", F.lit(0).alias("salt"), "digest", F.lit(True).alias("first"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").filter("doc_id IS NOT NULL")
