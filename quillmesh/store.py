@@ -1,14 +1,16 @@
-"""A knowledge store: tables of Parquet snapshots in one directory, changed in whole transactions.
+"""A knowledge store: tables of Parquet parts in one directory, changed in whole transactions.
 
-A commit writes new snapshots of the tables it changes, then a manifest that names the
-snapshot of every table.  Readers follow the newest manifest, so they see all of a commit or
+A commit writes the rows that come and the keys that go, then a manifest that names the parts of
+every table (see ``snapshots``).  Readers follow the newest manifest, so they see all of a commit or
 nothing; of two commits from the same state one claims the number and the other raises.
+
+An ingest or delete works out anew what its sources touch: their chunks and vectors, the classes of
+mentions that they join or part, and the nodes, edges and links of those; all other rows stay where
+they are.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Callable
 
@@ -19,14 +21,20 @@ from quillmesh.cache import SearchCache
 from quillmesh.config import DEFAULTS, Settings
 from quillmesh.functions.text import norm_key_full, norm_keys_full
 from quillmesh.operators import changes, chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
+from quillmesh.plans.classes import updated_classes
 from quillmesh.plans.components import durable
+from quillmesh.snapshots import Conflict, Snapshots
 from quillmesh.sources import models
 
+__all__ = ["Conflict", "KnowledgeStore"]
+
 SCHEMAS = {
     "sources": "source_id string, relative_path string, content_hash string, graph_hash string, rag_hash string, graph_status string, rag_status string, exists_status string, error string",
     "chunks": "chunk_id string, source_id string, content string, chunk_index long, granularity string, parent_chunk_id string",
     "vectors": "vec_id string, chunk_id string, source_id string, embedding array<float>, model_name string",
     "mentions": drafts.MENTIONS,
+    "terms": "source_id string, mention_id string, term string",
+    "classes": "node string, component string",
     "mention_nodes": "source_id string, local_id string, node_id string",
     "nodes": "node_id string, keyword string, summary string, aliases array<string>, tags array<string>, weight double, ref_count long",
     "node_sources": "node_id string, source_id string, evidence_weight double",
@@ -39,81 +47,36 @@ SCHEMAS = {
 }
 
 
-#: A writer holds a version's number for so long without having written its manifest, which takes a moment.
-CLAIM_SECONDS = 600
+#: What names a row, or the rows that are replaced together.
+KEYS = {
+    **dict.fromkeys(("sources", "chunks", "vectors", "mentions", "terms"), ("source_id",)),
+    "classes": ("node",), "mention_nodes": ("source_id", "local_id"), "nodes": ("node_id",), "node_sources": ("node_id", "source_id"),
+    "edge_sources": ("source_node_id", "relation", "target_node_id", "source_id"), "edges": ("edge_id",), "chunk_nodes": ("chunk_id", "node_id"),
+    "groups": ("group_id",), "group_nodes": ("group_id", "node_id"), "entity_vectors": ("node_id",),
+}
+#: A term as a node beside mentions, whose ids begin with hexadecimal signs and so come before it.
+TERM = "~"
 
 
-class Conflict(RuntimeError):
-    """Somebody else has committed meanwhile."""
+def without(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a that b hasn't, and the other way round; nulls equal nulls."""
+    b = b.select(*a.columns)
+    return durable(a.subtract(b)), durable(b.subtract(a))
 
 
-class KnowledgeStore:
+class KnowledgeStore(Snapshots):
     def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None):
-        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        super().__init__(spark, root, SCHEMAS, KEYS)
+        self.settings = settings
         self.embedder = embedder or models.HashEmbedder()
         self.model = getattr(self.embedder, "name", "custom")
         self.extractor, self.planner, self.cache = extractor, planner, cache
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # ---- snapshots
-
-    def version(self) -> int:
-        found = self._fs.globStatus(self._path(f"{self.root}/manifests/*.json")) or []
-        return max([int(x.getPath().getName().removesuffix(".json")) for x in found], default=0)
-
-    def manifest(self, version: int | None = None) -> dict[str, str]:
-        version = self.version() if version is None else version
-        if not version:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).first()[0])
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        place = self.manifest(version).get(name)
-        if place is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{place}")
-
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
-        """Write tables as the version after ``base`` (default: the newest)."""
-        base = self.version() if base is None else base
-        names = self.manifest(base)
-        for name, rows in tables.items():
-            columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-            place = f"tables/{name}/{uuid.uuid4().hex}"
-            rows.select(*columns).write.parquet(f"{self.root}/{place}")
-            names[name] = place
-        number = base + 1
-        claim, target = self._path(f"{self.root}/manifests/{number}.claim"), self._path(f"{self.root}/manifests/{number}.json")
-        self._claim(claim, target, number)
-        draft = self._path(f"{self.root}/manifests/.{number}-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
-        out.close()
-        self._fs.rename(draft, target)
-        return number
-
-    def _claim(self, claim, target, number: int) -> None:
-        """Take a version's number; a claim that a crashed writer left is taken over when it has run out."""
-        for _ in range(2):
-            try:
-                self._fs.create(claim, False).close()
-                return
-            except Exception as why:
-                if self._fs.exists(target) or not self._fs.exists(claim):
-                    raise Conflict(f"version {number} is taken") from why
-                age = time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000
-                left = self._path(f"{self.root}/manifests/.left-{uuid.uuid4().hex}")
-                # of several that try, one moves it away
-                if age < CLAIM_SECONDS or not self._fs.rename(claim, left):
-                    raise Conflict(f"version {number} is taken") from why
-        raise Conflict(f"version {number} is taken")
 
     # ---- ingest
 
     def ingest(self, files: DataFrame, mode: str = "both") -> dict[str, int]:
-        """Make the store hold just ``files(relative_path, text)``; only what has changed is worked on.
+        """Make the store hold just ``files(relative_path, text)``; only sources that have changed are extracted
+        and embedded, and only rows that change are written.
 
         ``mode`` is graph, rag or both.  A failed extraction leaves the source's old graph and
         marks it failed; the next run tries it again.
@@ -134,29 +97,22 @@ class KnowledgeStore:
         live = F.col("content_hash").isNotNull()
         plan = durable(
             both.select(
-                "source_id", F.coalesce("relative_path", "_path").alias("relative_path"), F.coalesce("content_hash", "_hash").alias("content_hash"), "text", "graph_hash", "rag_hash", live.alias("live"),
+                "source_id", F.coalesce("relative_path", "_path").alias("relative_path"), F.coalesce("content_hash", "_hash").alias("content_hash"), "text", "graph_hash", "rag_hash", live.alias("live"), (~live & (F.col("exists_status") == "active")).alias("leaves"),
                 (live & ~F.col("graph_hash").eqNullSafe(F.col("content_hash")) & F.lit(mode != "rag")).alias("do_graph"),
                 (live & ~F.col("rag_hash").eqNullSafe(F.col("content_hash")) & F.lit(mode != "graph")).alias("do_rag"),
             )
         )
-        gone = plan.filter("NOT live").select("source_id")
+        gone = plan.filter("leaves").select("source_id")
 
         mentions = durable(drafts.extract_mentions(plan.filter("do_graph"), self.extractor, self.settings.section_chars))
         failed = mentions.filter("error IS NOT NULL").select("source_id", "error")
         done = plan.filter("do_graph").select("source_id").join(failed, "source_id", "left_anti")
-        replaced = done.unionByName(gone).distinct()
-        keep = lambda name: self.read(name, base).join(replaced, "source_id", "left_anti")
-        all_mentions = durable(keep("mentions").unionByName(mentions.filter("error IS NULL")))
-        graph_tables = self._graph(all_mentions)
-
+        replaced = durable(done.unionByName(gone).distinct())
         rag = plan.filter("do_rag").select("source_id", "text")
-        renewed = rag.select("source_id").unionByName(gone).distinct()
+        renewed = durable(rag.select("source_id").unionByName(gone).distinct())
         chunks = durable(self._chunks(rag))
         vectors = models.embed(chunks.select(F.concat(F.lit("v:"), "chunk_id").alias("vec_id"), "chunk_id", "source_id", "content"), "content", self.embedder)
-        all_chunks = self.read("chunks", base).join(renewed, "source_id", "left_anti").unionByName(chunks)
-        all_vectors = self.read("vectors", base).join(renewed, "source_id", "left_anti").unionByName(
-            vectors.select("vec_id", "chunk_id", "source_id", F.col("vector").alias("embedding"), F.lit(self.model).alias("model_name"))
-        )
+        vectors = vectors.select("vec_id", "chunk_id", "source_id", F.col("vector").alias("embedding"), F.lit(self.model).alias("model_name"))
         state = plan.join(failed, "source_id", "left").select(
             "source_id", "relative_path", "content_hash",
             F.when(F.col("do_graph") & F.col("error").isNull(), F.col("content_hash")).when(F.col("live"), F.col("graph_hash")).alias("graph_hash"),
@@ -165,17 +121,47 @@ class KnowledgeStore:
         )
         ready = lambda c: F.when(F.col(c) == F.col("content_hash"), "ready").otherwise("pending")
         sources = durable(state.withColumn("graph_status", F.when(F.col("error").isNotNull(), "failed").otherwise(ready("graph_hash"))).withColumn("rag_status", ready("rag_hash")))
-        links = evidence.chunk_links(all_chunks, graph_tables["node_sources"], sources)
-        none = lambda name: self.spark.createDataFrame([], SCHEMAS[name])
-        self.commit(
-            {"sources": sources, "chunks": all_chunks, "vectors": all_vectors, "mentions": all_mentions, "chunk_nodes": links, "groups": none("groups"), "group_nodes": none("group_nodes"), **graph_tables},
-            base,
-        )
-        counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if(~F.col("live")).alias("deleted")).first()
+        self._apply(base, sources, replaced, mentions.filter("error IS NULL"), renewed, chunks, vectors)
+        counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if("leaves").alias("deleted")).first()
         if counts["deleted"]:
             self._forget()
         return {**counts.asDict(), "failed": failed.count()}
 
+    def _apply(self, base: int, sources: DataFrame, replaced: DataFrame, mentions: DataFrame, renewed: DataFrame, chunks: DataFrame, vectors: DataFrame) -> int:
+        """Commit the state of all ``sources``, the mentions of ``replaced`` ones and the chunks of ``renewed`` ones."""
+        sources = sources.select(*self.columns("sources"))
+        if not self.manifest(base).get("mentions"):
+            terms = self._terms(mentions)
+            tables = self._graph(mentions, terms)
+            links = evidence.chunk_links(chunks, tables["node_sources"], sources)
+            return self.commit({"sources": sources, "chunks": chunks, "vectors": vectors, "mentions": mentions, "terms": terms, "chunk_nodes": links, "groups": None, "group_nodes": None, **tables}, base)
+        fresh, was = without(sources, self.read("sources", base))
+        key = lambda rows: rows.select("source_id")
+        stated = durable(key(fresh).unionByName(key(was)).distinct())
+        changes = {"sources": (fresh, stated), "chunks": (chunks, renewed), "vectors": (vectors, renewed)}
+        near = stated.unionByName(key(renewed))
+        if not replaced.isEmpty():
+            graph_changes, moved = self._graph_changes(base, replaced, durable(mentions.select(*self.columns("mentions"))))
+            changes, near = changes | graph_changes, near.unionByName(moved)
+        near = durable(near.distinct())
+        if near.isEmpty():
+            return base
+        now = lambda name: self._now(name, base, changes)
+        new_links = evidence.chunk_links(now("chunks").join(near, "source_id", "left_semi"), now("node_sources").join(near, "source_id", "left_semi"), sources)
+        of = self.read_keys("chunks", near, base).select("chunk_id").unionByName(now("chunks").join(near, "source_id", "left_semi").select("chunk_id")).distinct()
+        fresh, was = without(new_links, self.read_keys("chunk_nodes", durable(of), base))
+        changes["chunk_nodes"] = (fresh, was.unionByName(fresh))
+        return self.commit({"groups": None, "group_nodes": None}, base, changes)
+
+    def _now(self, name: str, base: int, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """A table as it will be after the changes."""
+        held = self.read(name, base)
+        if name not in changes:
+            return held
+        fresh, gone = changes[name]
+        keys = list(KEYS[name])
+        return held.join(gone.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*self.columns(name)))
+
     def _chunks(self, rag: DataFrame) -> DataFrame:
         s = self.settings
         if s.chunking_mode == "fixed":
@@ -190,28 +176,99 @@ class KnowledgeStore:
         content = F.rtrim(F.array_join(F.slice("parts", (F.col("token_start") + 1).cast("int"), (F.col("token_end") - F.col("token_start")).cast("int")), ""))
         return tree.join(parts, "source_id").select(own.alias("chunk_id"), "source_id", content.alias("content"), "chunk_index", "granularity", up.alias("parent_chunk_id"))
 
-    def _graph(self, mentions: DataFrame) -> dict[str, DataFrame]:
+    def _terms(self, mentions: DataFrame) -> DataFrame:
+        """``source_id, mention_id, term`` of the entities among the mentions."""
+        entity = mentions.filter("relation IS NULL").withColumn("node_id", F.concat_ws("#", "source_id", "local_id"))
+        of = evidence.terms(entity, norm_key_full).withColumnRenamed("node_id", "mention_id")
+        return durable(of.select(F.substring_index("mention_id", "#", 1).alias("source_id"), "mention_id", "term"))
+
+    def _graph(self, mentions: DataFrame, terms: DataFrame) -> dict[str, DataFrame]:
         """Nodes are the classes of mentions that share terms, all sources at once; weights derive from evidence."""
-        entity = mentions.filter("relation IS NULL").withColumn("mention_id", F.concat_ws("#", "source_id", "local_id"))
-        relation = mentions.filter("relation IS NOT NULL")
-        names = entity.select(F.col("mention_id").alias("node_id"), "keyword", "aliases")
-        classes = organise.components(names, organise.exact_merges(names, norm_key_full).select(F.col("a").alias("source_node_id"), F.col("b").alias("target_node_id")))
-        of = entity.join(classes.select(F.col("node_id").alias("mention_id"), "component"), "mention_id").withColumn("node_id", F.concat(F.lit("n:"), F.substring(F.sha2("component", 256), 1, 20)))
-        of = durable(of)
-        to = of.select("source_id", "local_id", "node_id")
-        node_sources = of.groupBy("node_id", "source_id").agg(F.max("weight").alias("evidence_weight"))
+        entity = mentions.filter("relation IS NULL").select(F.concat_ws("#", "source_id", "local_id").alias("node_id"))
+        ends = terms.select(F.col("mention_id").alias("source_node_id"), F.concat(F.lit(TERM), "term").alias("target_node_id"))
+        nodes = entity.unionByName(ends.select(F.col("target_node_id").alias("node_id"))).distinct()
+        classes = durable(organise.components(nodes, ends).withColumnRenamed("node_id", "node"))
+        to = durable(self._nodes_of(classes))
+        of = durable(self._told(mentions, to))
+        node_sources = self._bound_nodes(of)
+        raw = durable(self._relations(mentions, to))
+        return {"classes": classes, "mention_nodes": to, "nodes": self._described(of, node_sources), "node_sources": node_sources, "edge_sources": evidence.edge_bindings(raw), "edges": evidence.edge_aggregate(raw)}
+
+    def _nodes_of(self, classes: DataFrame) -> DataFrame:
+        """``source_id, local_id, node_id`` of the mentions among the members of classes."""
+        mention = classes.filter(~F.col("node").startswith(TERM))
+        local = F.expr("substring(node, instr(node, '#') + 1)")
+        return mention.select(F.substring_index("node", "#", 1).alias("source_id"), local.alias("local_id"), F.concat(F.lit("n:"), F.substring(F.sha2("component", 256), 1, 20)).alias("node_id"))
+
+    def _told(self, mentions: DataFrame, to: DataFrame) -> DataFrame:
+        """Entities with the node they are mentions of."""
+        return mentions.filter("relation IS NULL").join(to, ["source_id", "local_id"]).withColumn("mention_id", F.concat_ws("#", "source_id", "local_id"))
+
+    def _bound_nodes(self, told: DataFrame) -> DataFrame:
+        return told.groupBy("node_id", "source_id").agg(F.max("weight").alias("evidence_weight"))
+
+    def _described(self, told: DataFrame, node_sources: DataFrame) -> DataFrame:
         best = F.struct("weight", "mention_id")
-        described = of.groupBy("node_id").agg(
-            F.max_by("keyword", best).alias("keyword"), F.max_by("summary", F.struct(F.length("summary"), "mention_id")).alias("summary"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_append("aliases", F.col("keyword")))))).alias("terms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
-        )
-        nodes = described.join(evidence.node_aggregate(node_sources), "node_id").withColumn("aliases", F.array_remove("terms", F.col("keyword")))
+        # names and tags a node is told with, each once before they meet
+        many = lambda c: told.select("node_id", F.explode(c).alias("x")).distinct().groupBy("node_id").agg(F.array_sort(F.collect_list("x")).alias(c))
+        named = told.withColumn("terms", F.array_append("aliases", F.col("keyword")))
+        terms = named.select("node_id", F.explode("terms").alias("x")).distinct().groupBy("node_id").agg(F.array_sort(F.collect_list("x")).alias("terms"))
+        described = told.groupBy("node_id").agg(F.max_by("keyword", best).alias("keyword"), F.max_by("summary", F.struct(F.length("summary"), "mention_id")).alias("summary"))
+        described = described.join(terms, "node_id").join(many("tags"), "node_id", "left").withColumn("tags", F.coalesce("tags", F.expr("cast(array() AS array<string>)")))
+        whole = described.join(evidence.node_aggregate(node_sources), "node_id").withColumn("aliases", F.array_remove("terms", F.col("keyword")))
+        return whole.select(*self.columns("nodes"))
+
+    def _relations(self, mentions: DataFrame, to: DataFrame) -> DataFrame:
+        """Raw evidence of edges: relations between the nodes that their ends are mentions of."""
         a = to.select("source_id", "local_id", F.col("node_id").alias("source_node_id"))
         b = to.select("source_id", F.col("local_id").alias("target_id"), F.col("node_id").alias("target_node_id"))
-        raw = relation.join(a, ["source_id", "local_id"]).join(b, ["source_id", "target_id"]).filter("source_node_id != target_node_id")
-        raw = durable(raw.select("source_node_id", "relation", "target_node_id", "source_id", F.col("weight").alias("evidence_weight")))
-        bound = evidence.edge_bindings(raw)
-        return {"mention_nodes": to, "nodes": nodes, "node_sources": node_sources, "edge_sources": bound, "edges": evidence.edge_aggregate(raw)}
+        raw = mentions.filter("relation IS NOT NULL").join(a, ["source_id", "local_id"]).join(b, ["source_id", "target_id"]).filter("source_node_id != target_node_id")
+        return raw.select("source_node_id", "relation", "target_node_id", "source_id", F.col("weight").alias("evidence_weight"))
+
+    def _graph_changes(self, base: int, replaced: DataFrame, mentions: DataFrame) -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+        """What the graph's tables gain and lose as the mentions of ``replaced`` sources become ``mentions``; and
+        the sources that any of it touches."""
+        ids = durable(replaced.select("source_id").distinct())
+        old, old_terms = durable(self.read_keys("mentions", ids, base)), durable(self.read_keys("terms", ids, base))
+        terms = self._terms(mentions)
+        changes = {"mentions": (mentions, ids), "terms": (terms, ids)}
+        # classes of mentions over the terms they share
+        edge = lambda t: t.select(F.col("mention_id").alias("a"), F.concat(F.lit(TERM), "term").alias("b"))
+        entity = lambda m: m.filter("relation IS NULL").select(F.concat_ws("#", "source_id", "local_id").alias("node"))
+        term = lambda e: e.select(F.col("b").alias("node")).distinct()
+        added, removed = without(edge(terms), edge(old_terms))
+        born, gone = without(entity(mentions), entity(old))
+        stay = durable(self.read("terms", base).join(ids, "source_id", "left_anti").transform(edge).unionByName(edge(old_terms).join(removed, ["a", "b"], "left_anti")))
+        classes = self.read("classes", base)
+        lost_terms = term(removed).join(term(stay).unionByName(term(added)), "node", "left_anti")
+        new_terms = term(added).join(classes, "node", "left_anti")
+        changed, dropped = updated_classes(classes, stay, removed, added, gone.unionByName(lost_terms), born.unionByName(new_terms))
+        changes["classes"] = (changed, changed.select("node").unionByName(dropped))
+        to, lost = self._nodes_of(changed), self._nodes_of(dropped.withColumn("component", F.lit(""))).select("source_id", "local_id")
+        to = durable(to)
+        changes["mention_nodes"] = (to, to.select("source_id", "local_id").unionByName(lost))
+        # everything that the sources of moved and replaced mentions say is told anew and compared
+        near = durable(ids.unionByName(to.select("source_id")).distinct())
+        mentions_now = durable(self._now("mentions", base, changes).join(near, "source_id", "left_semi"))
+        nodes_now = durable(self._now("mention_nodes", base, changes).join(near, "source_id", "left_semi"))
+        was = self.read("node_sources", base).join(near, "source_id", "left_semi")
+        told_before = durable(self.read_keys("mention_nodes", near, base).select("node_id").distinct())
+        bound, unbound = without(self._bound_nodes(self._told(mentions_now, nodes_now)), was)
+        pair = lambda rows: rows.select("node_id", "source_id")
+        changes["node_sources"] = (bound, pair(bound).unionByName(pair(unbound)))
+        touched = durable(told_before.unionByName(nodes_now.select("node_id")).distinct())
+        of = self._now("mention_nodes", base, changes).join(touched, "node_id", "left_semi")
+        described = self._described(durable(self._told(self._now("mentions", base, changes), of)), self._now("node_sources", base, changes).join(touched, "node_id", "left_semi"))
+        fresh, stale = without(described, self.read_keys("nodes", touched, base))
+        changes["nodes"] = (fresh, fresh.select("node_id").unionByName(stale.select("node_id")))
+        said = evidence.edge_bindings(self._relations(mentions_now, nodes_now)).select(*self.columns("edge_sources"))
+        bound, unbound = without(said, self.read("edge_sources", base).join(near, "source_id", "left_semi"))
+        keys = list(KEYS["edge_sources"])
+        changes["edge_sources"] = (bound, bound.select(*keys).unionByName(unbound.select(*keys)))
+        triples = durable(bound.unionByName(unbound).select(*keys[:3]).distinct())
+        edges = evidence.edge_aggregate(self._now("edge_sources", base, changes).join(triples, keys[:3], "left_semi"))
+        changes["edges"] = (edges, triples.select(evidence.edge_key().alias("edge_id")))
+        return changes, near
 
     # ---- deletes: what is left of the mentions yields the graph anew
 
@@ -247,17 +304,16 @@ class KnowledgeStore:
         self._delete(base, none, self.read("mentions", base).join(told, ["source_id", "local_id", "relation", "target_id"], "left_anti"))
 
     def _delete(self, base: int, gone: DataFrame, mentions: DataFrame) -> int:
+        """Without the sources ``gone``; of others ``mentions`` has what is left of their mentions."""
         was = self.read("sources", base)
         gone = durable(was.filter("exists_status = 'active'").select("source_id").join(gone, "source_id", "left_semi"))
-        left = lambda rows: durable(rows.join(gone, "source_id", "left_anti"))
-        mentions, chunks, vectors = left(mentions), left(self.read("chunks", base)), left(self.read("vectors", base))
-        made = self._graph(mentions)
+        left = durable(mentions.join(gone, "source_id", "left_anti"))
+        _, lost = without(left, self.read("mentions", base))
+        replaced = durable(lost.select("source_id").unionByName(gone).distinct())
         new = {"graph_hash": F.lit(None), "rag_hash": F.lit(None), "graph_status": F.lit("pending"), "rag_status": F.lit("pending"), "exists_status": F.lit("deleted"), "error": F.lit(None)}
         marked = was.join(gone.withColumn("_gone", F.lit(True)), "source_id", "left")
         sources = durable(marked.select(*[F.when(F.col("_gone"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in was.columns]))
-        none = lambda name: self.spark.createDataFrame([], SCHEMAS[name])
-        links = evidence.chunk_links(chunks, made["node_sources"], sources)
-        self.commit({"sources": sources, "chunks": chunks, "vectors": vectors, "mentions": mentions, "chunk_nodes": links, "groups": none("groups"), "group_nodes": none("group_nodes"), **made}, base)
+        self._apply(base, sources, replaced, left.join(replaced, "source_id", "left_semi"), gone, self.empty("chunks"), self.empty("vectors"))
         self._forget()
         return gone.count()
 
@@ -273,7 +329,9 @@ class KnowledgeStore:
         bad = shadow.violations()
         if not bad.isEmpty():
             raise ValueError(f"the rebuilt store isn't sound: {bad.first()}")
-        return self.commit({name: shadow.read(name) for name in shadow.manifest()})
+        number = self.adopt(shadow)
+        self._forget()
+        return number
 
     def violations(self) -> DataFrame:
         """``kind, id``: vectors without chunk, chunks without vector or source, edges without node, ready sources without hash."""
@@ -329,8 +387,8 @@ class KnowledgeStore:
         n = made.count()
         drop = retrieval.prunable_vectors(objects, held, size, self.model)
         if n or not drop.isEmpty():
-            kept = held.join(drop, "id", "left_anti").join(made.select("id"), "id", "left_anti")
-            self.commit({"entity_vectors": kept.unionByName(made).withColumnRenamed("id", "node_id")}, base)
+            gone = drop.select("id").unionByName(made.select("id")).withColumnRenamed("id", "node_id")
+            self.commit({}, base, {"entity_vectors": (made.withColumnRenamed("id", "node_id"), gone)})
         return n
 
     def revision(self) -> str:

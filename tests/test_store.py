@@ -152,7 +152,7 @@ def test_dense_sections_lose_no_name(spark):
 
 
 def test_a_claim_that_was_left_runs_out(spark, tmp_path, monkeypatch):
-    from quillmesh import store as module
+    from quillmesh import snapshots as module
 
     s = store(spark, tmp_path / "left")
     rows = spark.createDataFrame([("a.md", "some Alpha text")], FILES)
