@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import comparison_key, difflib_ratio, ratio_bound
+from quillmesh.functions.text import comparison_key
 from quillmesh.operators.evidence import edge_key, terms
 from quillmesh.plans.components import connected_components, durable
 
-#: How names, summaries and neighbours share in a merge score.
-NAME_SHARE, SUMMARY_SHARE, NEIGHBOUR_SHARE = 0.65, 0.2, 0.15
-#: Fixed value: signs of a summary that are compared.
-SUMMARY_SIGNS = 800
-
 
 def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=comparison_key) -> DataFrame:
     """``node_id, signature``: ``out:relation:target`` and ``in:relation:source`` by name."""
@@ -52,116 +47,6 @@ def exact_candidates(nodes: DataFrame, limit: int, key=comparison_key) -> DataFr
     return pairs.orderBy("a_name", "b_name", "a", "b").limit(limit).withColumn("score", F.lit(1.0))
 
 
-#: Bars that the search for merge pairs tries before ``least``; any values give the same result.
-BARS = (0.96, 0.92, 0.88)
-#: Names that one task joins on a gram.
-GRAM_BLOCK = 1000
-
-
-def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: int = 200, key=comparison_key) -> DataFrame:
-    """The ``limit`` best of all merge pairs by names, summaries and neighbours: ``a, b, score``.
-
-    No pair is lost.  Equal names score 1, and if they alone are ``limit`` pairs, nothing can
-    pass them.  Otherwise the bar is lowered step by step: a score of T needs a name similarity
-    of (T - 0.35) / 0.65, which ``similar_names`` searches completely, and once ``limit`` pairs
-    reach the bar, none below it is among the first.  ``least`` must exceed 0.35, as below it
-    names needn't have anything in common.
-    """
-    if not least > SUMMARY_SHARE + NEIGHBOUR_SHARE:
-        raise ValueError("the least score must exceed 0.35")
-    named = durable(nodes.select("node_id", key(F.col("keyword")).alias("name"), F.substring(key(F.col("summary")), 1, SUMMARY_SIGNS).alias("gist")))
-    order = [F.desc("score"), "a_name", "b_name", "a", "b"]
-    same = durable(equal_names(named, limit))
-    if same.count() == limit:
-        return same.orderBy(*order).select("a", "b", "score")
-    signatures = durable(neighbour_signatures(edges, nodes, key))
-    grams = {}
-    for bar in (*[x for x in BARS if x > least], least):
-        need = (bar - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE
-        width = gram_width(need)
-        if width not in grams:
-            grams[width] = name_grams(named, need)
-        found = same.unionByName(_scored(named, grams[width], signatures, need, bar, limit)).orderBy(*order).limit(limit)
-        if bar == least:
-            break
-        found = durable(found)
-        if found.count() == limit:
-            break
-    return found.orderBy(*order).select("a", "b", "score")
-
-
-def equal_names(named: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` pairs of nodes with the same name: ``a, b, a_name, b_name, score``.
-
-    The first pairs of a name are among its limit + 1 smallest nodes, and each name has one at least.
-    """
-    of_name = Window.partitionBy("name").orderBy("node_id")
-    first = named.select("node_id", "name").withColumn("nth", F.row_number().over(of_name)).filter(F.col("nth") <= limit + 1)
-    names = first.filter("nth = 2").select("name").orderBy("name").limit(limit)
-    some = durable(first.join(F.broadcast(names), "name"))
-    pairs = some.select("name", F.col("node_id").alias("a")).join(some.select("name", F.col("node_id").alias("b")), "name").filter("a < b")
-    return pairs.select("a", "b", F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(1.0).alias("score")).orderBy("a_name", "a", "b").limit(limit)
-
-
-def name_grams(named: DataFrame, need: float) -> DataFrame:
-    """``node_id, name, gram, nth, names``: grams of names, repeats numbered, with how many names hold them."""
-    width = gram_width(need)
-    padded = F.concat(F.lit("\u0002"), "name", F.lit("\u0003")) if width == 2 else F.col("name")
-    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - (width - 1)), lambda i: padded.substr(i, F.lit(width)))
-    filled = named.filter(F.length("name") > 0)
-    counted = filled.select("node_id", "name", F.explode(cut).alias("gram")).groupBy("node_id", "name", "gram").agg(F.count("*").alias("n"))
-    grams = durable(counted.select("node_id", "name", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")))
-    return durable(grams.join(grams.groupBy("gram", "nth").agg(F.count("*").alias("names")), ["gram", "nth"]))
-
-
-def gram_width(need: float) -> int:
-    return 2 if need > 2 / 3 else 1
-
-
-def similar_names(grams: DataFrame, need: float) -> DataFrame:
-    """``a, b``: pairs of different names that can have a similarity of ``need``, none left out.
-
-    What two similar names don't share has to be deleted from either; a name of n signs loses
-    (2 - 2 need) / (2 - need) * n of them at most, and each takes two of its pairs of
-    neighbouring signs with it, or one single sign where ``need`` is too low for pairs.  So of
-    the rarest such ``grams``, one more than can be lost, one is shared.  Grams of many names
-    are dealt to several tasks.
-    """
-    lost = F.floor(F.length("name") * ((2 - 2 * need) / (2 - need)) + 1e-9)
-    rarest = Window.partitionBy("node_id").orderBy("names", "gram", "nth")
-    ranked = grams.withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= gram_width(need) * lost + 1)
-    held = durable(ranked.select("gram", "nth", "node_id", "name", F.ceil(F.col("names") / GRAM_BLOCK).cast("int").alias("blocks")))
-    left = held.select("gram", "nth", F.col("node_id").alias("a"), F.col("name").alias("a_name"), F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"))
-    right = held.select("gram", "nth", F.col("node_id").alias("b"), F.col("name").alias("b_name"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    both = F.length("a_name") + F.length("b_name")
-    sized = 2.0 * F.least(F.length("a_name"), F.length("b_name")) >= (need - 1e-9) * both
-    met = left.join(right, ["gram", "nth", "block"]).filter((F.col("a") < F.col("b")) & (F.col("a_name") != F.col("b_name")) & sized)
-    return met.select("a", "b", "a_name", "b_name").distinct().filter(ratio_bound(F.col("a_name"), F.col("b_name")) >= need - 1e-9)
-
-
-def _scored(named: DataFrame, grams: DataFrame, signatures: DataFrame, need: float, bar: float, limit: int) -> DataFrame:
-    """Pairs of different names that reach the bar and can be among the first: ``a, b, a_name, b_name, score``.
-
-    Costly parts of a score run on pairs only whose best conceivable score isn't below the
-    ``limit``-th that is already certain.
-    """
-    def contenders(rows: DataFrame, sure, best) -> DataFrame:
-        certain = rows.select(sure.alias("s")).orderBy(F.desc("s")).limit(limit)
-        edge = certain.agg(F.min("s").alias("s"), F.count("*").alias("n")).first()
-        return rows.filter(best >= (max(bar, edge["s"]) if edge["n"] == limit else bar))
-
-    scored = durable(similar_names(grams, need).withColumn("lex", difflib_ratio("a_name", "b_name")).filter(F.col("lex") >= need - 1e-9))
-    lex = F.col("lex")
-    some = contenders(scored, lex, F.greatest(lex, NAME_SHARE * lex + SUMMARY_SHARE + NEIGHBOUR_SHARE))
-    gist = lambda x: named.select(F.col("node_id").alias(x), F.col("gist").alias(f"{x}_gist"))
-    told = durable(some.join(gist("a"), "a").join(gist("b"), "b").withColumn("alike", difflib_ratio("a_gist", "b_gist")))
-    mixed = NAME_SHARE * lex + SUMMARY_SHARE * F.col("alike")
-    left = durable(contenders(told, F.greatest(lex, mixed), F.greatest(lex, mixed + NEIGHBOUR_SHARE)))
-    near = neighbour_jaccard(left.select("a", "b"), signatures)
-    score = F.greatest("lex", mixed + NEIGHBOUR_SHARE * F.col("jaccard"))
-    return left.join(near, ["a", "b"]).select("a", "b", "a_name", "b_name", score.alias("score")).filter(F.col("score") >= bar)
-
-
 def keep_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node_id, keep_id``: of each merge group the most referenced, heaviest, shortest-named node."""
     ranked = members.join(nodes.select("node_id", "ref_count", "weight", "keyword"), "node_id")

@@ -7,53 +7,88 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from quillmesh.operators import merging as M
 from quillmesh.operators import organise as O
 
 
-@pytest.mark.parametrize("limit", [5, 40, 1000])
-def test_against_all_pairs(spark, limit):
-    rng = random.Random(limit)
-    rows = [(f"n{i:02}", "".join(rng.choice("abc ") for _ in range(rng.randrange(3, 9))).strip() or "x", rng.choice(["one thing", "one thin", "other"]), []) for i in range(45)]
-    links = [(f"e{i}", f"n{rng.randrange(45):02}", rng.choice("rs"), f"n{rng.randrange(45):02}") for i in range(60)]
-    nodes = spark.createDataFrame(rows, "node_id string, keyword string, summary string, aliases array<string>")
-    edges = spark.createDataFrame(links, "edge_id string, source_node_id string, relation string, target_node_id string")
+ROWS = "node_id string, keyword string, summary string, aliases array<string>"
+LINKS = "edge_id string, source_node_id string, relation string, target_node_id string"
+
+
+def brute(rows, links, least):
+    """All pairs: score, names, ids and whether a term is shared."""
     squeeze = lambda s: " ".join(s.lower().split())
-    name = {n: squeeze(k) for n, k, _, _ in rows}
-    signs = {n: set() for n in name}
+    keyword = {n: k for n, k, _, _ in rows}
+    held = {n: {t for t in map(squeeze, [k, *aliases]) if t} for n, k, _, aliases in rows}
+    signs = {n: set() for n in keyword}
     for _, a, r, b in links:
-        signs[a].add(("out", r, name[b]))
-        signs[b].add(("in", r, name[a]))
+        signs[a].add(("out", r, squeeze(keyword[b])))
+        signs[b].add(("in", r, squeeze(keyword[a])))
     ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
-    want = []
+    out = []
     for i, (a, _, ga, _) in enumerate(rows):
         for b, _, gb, _ in rows[i + 1 :]:
-            lex = ratio(name[a], name[b])
+            if held[a] & held[b]:
+                out.append((-1.0, keyword[a], keyword[b], a, b, "exact_term"))
+                continue
+            lex = max((ratio(x, y) for x in held[a] for y in held[b]), default=0.0)
             union = signs[a] | signs[b]
             jac = len(signs[a] & signs[b]) / len(union) if signs[a] and signs[b] else 0.0
-            score = max(lex, 0.65 * lex + 0.2 * ratio(ga, gb) + 0.15 * jac)
-            if score >= 0.7:
-                want.append((-round(score, 9), name[a], name[b], a, b))
-    want = [(a, b, -s) for s, _, _, a, b in sorted(want)[:limit]]
-    got = [(r.a, r.b, round(r.score, 9)) for r in O.fuzzy_candidates(nodes, edges, 0.7, limit).collect()]
-    assert got == want
+            score = max(lex, 0.65 * lex + 0.2 * ratio((ga or "").lower(), (gb or "").lower()) + 0.15 * jac)
+            if score >= least:
+                out.append((-round(score, 9), keyword[a], keyword[b], a, b, "semantic_similarity"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit,ways", [(5, 1200), (40, 1200), (1000, 1200), (60, 4)])
+def test_against_all_pairs(spark, limit, ways, monkeypatch):
+    monkeypatch.setattr(M, "WAYS", ways)  # with few ways, longer names are searched by grams
+    rng = random.Random(limit)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(3, 9))).strip() or "x"
+    rows = [(f"n{i:02}", word().upper() if i % 7 == 0 else word(), rng.choice(["one thing", "one thin", "other", None]), [word()] * (i % 3 == 0)) for i in range(45)]
+    links = [(f"e{i}", f"n{rng.randrange(45):02}", rng.choice("rs"), f"n{rng.randrange(45):02}") for i in range(60)]
+    nodes, edges = spark.createDataFrame(rows, ROWS), spark.createDataFrame(links, LINKS)
+    every = brute(rows, links, 0.7)
+    want = [(a, b, -s) for s, _, _, a, b, why in every if why == "semantic_similarity"][:limit]
+    assert [(r.a, r.b, round(r.score, 9)) for r in M.fuzzy_candidates(nodes, edges, 0.7, limit).collect()] == want
+    if limit == 40:
+        got = [(r.a, r.b, round(r.score, 9), r.reason) for r in M.merge_candidates(nodes, edges, 0.7, limit).collect()]
+        assert got == [(a, b, -s, why) for s, _, _, a, b, why in every][:limit]
 
 
-def test_similar_names_are_all_found(spark):
-    """Every pair that difflib calls similar enough passes the filter by grams."""
+@pytest.mark.parametrize("ways", [1200, 3, 0])
+def test_similar_names_are_all_found(spark, ways, monkeypatch):
+    """Every pair that difflib calls similar enough is found, and by losses no pair without such a subsequence."""
+    monkeypatch.setattr(M, "WAYS", ways)
     rng = random.Random(8)
-    base = ["analytics platform team", "analitycs platform teams", "Customer#000000012", "a", "ab", "ba", "", "aaaa aaaa"]
+    base = ["analytics platform team", "analitycs platform teams", "Customer#000000012", "a", "ab", "ba", "", "aaaa aaaa", "z" * 90, "z" * 88 + "y", "é中é中é", "é中é中"]
     made = base + ["".join(rng.choice("abc#0 ") for _ in range(rng.randrange(1, 14))) for _ in range(60)]
     made += [t[:i] + rng.choice("xyz") + t[i + 1 :] for t in made[:30] for i in [rng.randrange(len(t) + 1)]]
-    names = [" ".join(t.split()) for t in made]
-    named = spark.createDataFrame([(f"n{i:03}", t) for i, t in enumerate(names)], "node_id string, name string")
-    for need in (0.5, 0.75, 0.9):
-        got = {(r.a, r.b) for r in O.similar_names(O.name_grams(named, need), need).collect()}
-        want = {
-            (f"n{i:03}", f"n{j:03}")
-            for j in range(len(names)) for i in range(j)
-            if names[i] != names[j] and SequenceMatcher(None, names[i], names[j]).ratio() >= need
-        }
-        assert want <= got
+    names = sorted({" ".join(t.split()) for t in made})
+    frame = spark.createDataFrame([(t,) for t in names], "name string")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for need in (0.5, 0.75, 0.9, 0.97):
+        got = {(r.x, r.y) for r in M.similar_names(frame, need).collect()}
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if a]
+        assert {p for p in pairs if max(SequenceMatcher(None, *p).ratio(), SequenceMatcher(None, *p[::-1]).ratio()) >= need} <= got
+        if ways == 1200 and need > 0.7:
+            assert got == {p for p in pairs if 2 * common(*p) >= (need - 1e-9) * (len(p[0]) + len(p[1]))} or max(map(len, names)) > 40
+    assert M.similar_names(spark.createDataFrame([], "name string"), 0.9).isEmpty()
+
+
+def test_query_has_pairs_below_one(spark, sf_dir):
+    from quillmesh.queries import graphs
+
+    got = graphs.merge_candidates_fuzzy(spark, sf_dir).collect()
+    assert len(got) == 200 and all(0.86 <= r.score < 1 for r in got)
 
 
 def test_keys_are_composed_and_folded(spark):
