@@ -7,6 +7,9 @@ executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,77 +82,114 @@ def neighbours(edges: DataFrame, node_id: str) -> DataFrame:
     return near.filter(F.col("at") == node_id).orderBy("dir_rank", "edge_id")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``pos``, their places in the order, counted partition by partition."""
+    schema = rows.withColumns({"_part": F.lit(0), "_at": F.lit(0).cast("long")}).schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            yield pa.record_batch([*b.columns, pa.array(range(seen, seen + b.num_rows), pa.int64())], schema=arrow(b))
+            seen += b.num_rows
+
+    def arrow(b: pa.RecordBatch) -> pa.Schema:
+        return b.schema.append(pa.field("_at", pa.int64()))
+
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    held = durable(placed.mapInArrow(count, schema))
+    sizes = sorted(held.groupBy("_part").count().collect())  # a row a partition
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, n) in enumerate(sizes)]
+    starts = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    return held.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_before") + F.col("_at")).select(*rows.columns, "pos")
+
+
 def expand(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both", most_depth: int = 10) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from ``start(node_id, ord)``.
 
-    Returns ``node_id, depth, direction, ord, trace`` of the nodes reached (first discovery by
-    frontier order, direction, edge; ``trace`` lists the steps) and ``edge_id, hop, ord`` of all
-    edges touched, those between visited nodes included.  A node's place in its frontier is the
-    list of choices that lead to it, which compares as the frontier's order does, so frontiers
-    of any size are ordered without gathering them in one task.
+    Returns ``node_id, depth, direction, parent, edge_id, pos`` of the nodes reached (first discovery by
+    frontier order, direction, edge; a parent is one hop nearer, ``pos`` the place among the nodes of its
+    depth) and ``edge_id, hop, ord`` of all edges touched, those between visited nodes included.
+
+    A hop writes what it finds: a row an edge it touches and a row a node it reaches.  Places are
+    numbers given partition by partition, so frontiers of any size are ordered without gathering them in
+    one task, and what leads to a node is told by its parents alone (see ``paths``).
     """
     if not 0 <= depth <= most_depth:
         raise ValueError(f"depth must lie in 0..{most_depth}")
-    step = "array<struct<from:string,edge_id:string,direction:string,to:string>>"
-    near = adjacency(edges.select("edge_id", "source_node_id", "target_node_id"), direction)
-    place = lambda k, e: F.struct(k.cast("long").alias("k"), e.alias("e"))
-    visited = durable(
-        start.select(
-            "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("direction"), F.array(place(F.col("ord"), F.col("node_id"))).alias("ord"), F.expr(f"cast(array() AS {step})").alias("trace")
-        )
-    )
-    frontier, touched = visited, None
+    near = adjacency(durable(edges.select("edge_id", "source_node_id", "target_node_id")), direction)
+    none = F.lit(None).cast("string")
+    first = numbered(start.select("node_id", F.col("ord").alias("k")), "k", "node_id")
+    frontier = durable(first.select("node_id", F.lit(0).alias("depth"), none.alias("direction"), none.alias("parent"), none.alias("edge_id"), "pos"))
+    visited = frontier
+    touched = edges.sparkSession.createDataFrame([], "edge_id string, hop int, ord long")
     for hop in range(1, depth + 1):
-        found = durable(
-            near.join(frontier.select(F.col("node_id").alias("at"), F.col("ord").alias("from_ord"), "trace"), "at").select(
-                "at", "near", "direction", "edge_id", F.array_append("from_ord", place(F.col("dir_rank"), F.col("edge_id"))).alias("ord"), "trace"
-            )
-        )
-        seen = found.groupBy("edge_id").agg(F.min("ord").alias("ord")).select("edge_id", F.lit(hop).alias("hop"), "ord")
-        touched = seen if touched is None else touched.unionByName(seen)
-        first = found.join(visited.select(F.col("node_id").alias("near")), "near", "left_anti").groupBy("near").agg(
-            F.min_by(F.struct("at", "direction", "trace", "edge_id", "ord"), "ord").alias("f")
-        )
-        step_now = F.struct(F.col("f.at").alias("from"), F.col("f.edge_id").alias("edge_id"), F.col("f.direction").alias("direction"), F.col("near").alias("to"))
-        frontier = durable(
-            first.select(
-                F.col("near").alias("node_id"), F.lit(hop).alias("depth"), F.col("f.direction").alias("direction"), F.col("f.ord").alias("ord"), F.concat("f.trace", F.array(step_now)).alias("trace")
-            )
-        )
+        here = frontier.select(F.col("node_id").alias("at"), "pos")
+        found = durable(near.join(here, "at").select("at", "near", "edge_id", (2 * F.col("pos") + F.col("dir_rank")).alias("ord")))
+        touched = touched.unionByName(found.groupBy("edge_id").agg(F.min("ord").alias("ord")).withColumn("hop", F.lit(hop)))
+        new = found.join(visited.select(F.col("node_id").alias("near")), "near", "left_anti")
+        new = new.groupBy("near").agg(F.min(F.struct("ord", "edge_id", "at")).alias("f")).select(F.col("near").alias("node_id"), "f.ord", F.col("f.at").alias("parent"), "f.edge_id")
+        told = numbered(new, "ord", "edge_id")
+        way = F.when(F.col("ord") % 2 == 0, "forward").otherwise("backward")
+        frontier = durable(told.select("node_id", F.lit(hop).alias("depth"), way.alias("direction"), "parent", "edge_id", "pos"))
         if frontier.isEmpty():
             break
-        visited = durable(visited.unionByName(frontier))
-    if touched is None:
-        touched = edges.limit(0).select("edge_id", F.lit(1).alias("hop"), F.array(place(F.lit(1), F.col("edge_id"))).alias("ord"))
-    first_hop = touched.groupBy("edge_id").agg(F.min(F.struct("hop", "ord")).alias("m")).select("edge_id", "m.hop", F.col("m.ord").alias("ord"))
+        visited = visited.unionByName(frontier)
+    first_hop = touched.groupBy("edge_id").agg(F.min(F.struct("hop", "ord")).alias("m")).select("edge_id", "m.hop", "m.ord")
     return visited, first_hop
 
 
+def traces(visited: DataFrame, most: int) -> DataFrame:
+    """``node, depth, pos, trace`` of the first ``most`` nodes two hops away or more: steps from the start, followed back by parents."""
+    step = lambda: F.struct(F.col("parent").alias("from"), "edge_id", "direction", F.col("node_id").alias("to"))
+    ends = visited.filter("depth >= 2").orderBy("depth", "pos").limit(most)
+    some = durable(ends.select(F.col("node_id").alias("node"), "depth", F.col("pos").alias("ord"), (F.col("depth") - 1).alias("back"), F.col("parent").alias("at"), F.array(step()).alias("trace")))
+    deepest = some.agg(F.max("back")).first()[0] or 0
+    for level in range(deepest, 0, -1):
+        up = visited.filter(F.col("depth") == level).select(F.lit(level).alias("back"), F.col("node_id").alias("at"), F.col("parent").alias("next"), step().alias("s"))
+        # ``most`` rows at most
+        joined = up.join(F.broadcast(some.filter(F.col("back") == level)), ["back", "at"])
+        moved = joined.select("node", "depth", "ord", (F.col("back") - 1).alias("back"), F.col("next").alias("at"), F.concat(F.array("s"), "trace").alias("trace"))
+        some = durable(some.filter(F.col("back") < level).unionByName(moved))
+    return some.select("node", "depth", "ord", "trace")
+
+
 def paths(visited: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """``path, weight, edge_ids``: traces of two or more steps as text; all-backward ones read forward."""
-    many = visited.filter(F.size("trace") >= 2).withColumn("node", F.col("node_id"))
+    """``path, weight, edge_ids``: ways of two or more steps as text; all-backward ones read forward.
+
+    Ways are followed back for the first nodes only: for twice ``limit``, as a way can be told from both its ends,
+    and for more where nodes without a name leave too few.
+    """
+    most, every = 2 * limit, visited.filter("depth >= 2").count()
+    while True:
+        shown = durable(_told(traces(visited, most), edges, nodes))
+        if most >= every or shown.count() >= limit:
+            return shown.orderBy("depth", "ord").limit(limit).select("path", "weight", "edge_ids")
+        most *= 4
+
+
+def _told(ways: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     backward = F.forall("trace", lambda s: s["direction"] == "backward")
     turned = F.transform(
         F.reverse("trace"),
         lambda s: F.struct(s["to"].alias("from"), s["edge_id"].alias("edge_id"), F.lit("forward").alias("direction"), s["from"].alias("to")),
     )
-    read = many.select("node", "depth", "ord", F.when(backward, turned).otherwise(F.col("trace")).alias("trace"))
+    read = ways.select("node", "depth", "ord", F.when(backward, turned).otherwise(F.col("trace")).alias("trace"))
     steps = read.select("node", "depth", "ord", F.size("trace").alias("n"), F.posexplode("trace").alias("i", "s"))
     name = lambda c: nodes.select(F.col("node_id").alias(c), F.col("keyword").alias(f"{c}_name"))
     full = (
-        steps.select("node", "depth", "ord", "i", F.col("s.edge_id").alias("edge_id"), F.col("s.direction").alias("direction"), F.col("s.from").alias("a"), F.col("s.to").alias("b"))
+        steps.select("node", "depth", "ord", "n", "i", F.col("s.edge_id").alias("edge_id"), F.col("s.direction").alias("direction"), F.col("s.from").alias("a"), F.col("s.to").alias("b"))
         .join(edges.select("edge_id", "relation", "weight"), "edge_id")
         .join(name("a"), "a")
         .join(name("b"), "b")
     )
     text = F.when(F.col("direction") == "forward", F.concat(F.lit("->["), "relation", F.lit("]->"))).otherwise(F.concat(F.lit("<-["), "relation", F.lit("]<-")))
     part = F.struct("i", F.concat(F.when(F.col("i") == 0, F.col("a_name")).otherwise(""), text, "b_name").alias("t"), "edge_id")
-    told = full.groupBy("node", "depth", "ord").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min("weight").alias("weight"))
-    shown = told.select(
+    told = full.groupBy("node", "depth", "ord", "n").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min("weight").alias("weight"))
+    shown = told.filter(F.size("p") == F.col("n")).select(
         F.array_join(F.transform("p", lambda x: x["t"]), "").alias("path"), "weight", F.transform("p", lambda x: x["edge_id"]).alias("edge_ids"), "depth", "ord"
     )
     first = Window.partitionBy("edge_ids").orderBy("depth", "ord")
-    return shown.withColumn("_r", F.row_number().over(first)).filter("_r = 1").orderBy("depth", "ord").limit(limit).select("path", "weight", "edge_ids")
+    return shown.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
 
 
 def relation_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
