@@ -13,54 +13,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import comparison_key, difflib_ratio, norm_keys_full, ratio_bound
+from quillmesh.functions.text import comparison_key, norm_keys_full
+from quillmesh.operators import textindex
 from quillmesh.plans.components import durable
 
-#: Scores of the ways in which a term can match a node.
-EXACT, ALIAS, CONTAINED = 1.0, 0.9, 0.85
 DIRECTIONS = ("forward", "backward", "both")
 
 
-def _match_rows(entities: DataFrame, nodes: DataFrame, key, keys) -> DataFrame:
-    """Entities beside nodes, with keys; entities of a query are few and broadcast."""
-    e = entities.select(
-        "entity_idx",
-        "confidence",
-        key(F.col("normalized")).alias("primary"),
-        keys(F.concat(F.array("text"), F.col("aliases"))).alias("alternates"),
-    ).withColumn("alternates", F.filter("alternates", lambda t: t != ""))
-    n = nodes.select("node_id", "keyword", key(F.col("keyword")).alias("name"), keys(F.col("aliases")).alias("others"))
-    return n.crossJoin(F.broadcast(e))
-
-
 def match_nodes(entities: DataFrame, nodes: DataFrame, threshold: float, fuzzy: bool = True, key=comparison_key, keys=norm_keys_full) -> DataFrame:
-    """``node_id, keyword, score``: best of each node over all entities, score times confidence.
+    """``node_id, keyword, score``: best of each node over all entities, by an index of the nodes made for this search.
 
-    ``entities(entity_idx, text, normalized, aliases, confidence)`` belong to one query; ``key``
-    and ``keys`` give the comparison key of a text and of a list of texts.  The
-    similarity of spellings runs in Python on pairs only that could still reach the threshold.
+    Where searches are many, ``textindex.save`` keeps the index and ``match_indexed`` searches it.
     """
-    rows = _match_rows(entities, nodes, key, keys)
-    asked = F.array_union(F.array("primary"), F.col("alternates"))
-    held = F.array_union(F.array("name"), F.col("others"))
-    contained = F.exists(
-        asked, lambda a: F.exists(held, lambda h: (F.least(F.length(a), F.length(h)) >= 2) & (a.contains(h) | h.contains(a)))
-    )
-    alias = F.array_contains("others", F.col("primary")) | F.array_contains("alternates", F.col("name")) | F.arrays_overlap("others", "alternates")
-    exact = F.when(F.col("primary") == F.col("name"), EXACT).when(F.coalesce(alias, F.lit(False)), ALIAS).when(contained, CONTAINED)
-    scored = rows.select("node_id", "keyword", "confidence", exact.alias("lexical"), asked.alias("asked"), held.alias("held"))
-    sure = scored.filter("lexical IS NOT NULL").select("node_id", "keyword", (F.col("lexical") * F.col("confidence")).alias("score"))
-    if fuzzy:
-        pairs = (
-            scored.filter("lexical IS NULL")
-            .select("node_id", "keyword", "confidence", F.explode("asked").alias("a"), "held")
-            .select("node_id", "keyword", "confidence", "a", F.explode("held").alias("h"))
-            .filter((F.col("a") != "") & (F.col("h") != "") & (ratio_bound(F.col("a"), F.col("h")) * F.col("confidence") >= threshold - 1e-9))
-        )
-        likely = pairs.select("node_id", "keyword", (difflib_ratio("a", "h") * F.col("confidence")).alias("score"))
-        sure = sure.unionByName(likely)
-    best = sure.groupBy("node_id", "keyword").agg(F.max("score").alias("score"))
-    return best.filter(F.col("score") >= threshold)
+    terms = textindex.term_table(nodes, key, keys)
+    return textindex.match_indexed(entities, terms, textindex.gram_table(terms), threshold, fuzzy, key, keys)
 
 
 def adjacency(edges: DataFrame, direction: str = "both") -> DataFrame:
