@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import comparison_key
 from quillmesh.operators.evidence import edge_key, terms
+from quillmesh.operators.graph import numbered
 from quillmesh.plans.components import connected_components, durable
 
 
@@ -91,25 +92,60 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def qualified(members: DataFrame, edges: DataFrame) -> DataFrame:
+#: Nodes of a component from which its depth is measured before all are looked at.
+LOOKS = 3
+#: Bits of one of Spark's bitmaps.
+BITMAP = 32_768
+
+
+def qualified(members: DataFrame, edges: DataFrame, looks: int = LOOKS) -> DataFrame:
     """``component, node_count``: components of three nodes or more that are three hops deep or more.
 
-    A component is deeper than two hops where some pair isn't within two: where the pairs within
-    two hops, each node with itself, are fewer than the square of its size.  A component with a
-    node next to all others is never deep, and is dropped before pairs are made.
+    A node that has another three hops away settles that its component is deep, one next to all others that it
+    isn't.  So two hops are walked from one node of each component, one of least degree, and
+    from the farthest of least degree next, a few times.  What is left open then, components whose extremal nodes
+    all reach everything in two hops, is settled by the neighbourhoods of all their nodes, as bitmaps that
+    are united edge by edge, without pairs of nodes.
     """
     size = members.groupBy("component").agg(F.count("*").alias("node_count")).filter("node_count >= 3")
-    hop = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).filter("a != b")
-    hop = durable(hop.unionByName(hop.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    of = members.join(size, "component").select(F.col("node_id").alias("a"), "component", "node_count")
-    degree = hop.groupBy("a").agg(F.count("*").alias("degree"))
-    star = of.join(degree, "a").filter("degree >= node_count - 1").select("component").distinct()
-    open_ = of.join(star, "component", "left_anti")
-    near = hop.join(open_.select("a"), "a", "left_semi")
-    two = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-    within = near.unionByName(two).filter("a != b").distinct().groupBy("a").agg(F.count("*").alias("n"))
-    reach = open_.join(within, "a", "left").groupBy("component", "node_count").agg(F.sum(F.coalesce("n", F.lit(0)) + 1).alias("pairs"))
-    return reach.filter("pairs < node_count * node_count").select("component", "node_count")
+    both = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).filter("a != b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    inside = members.join(size, "component").select(F.col("node_id").alias("a"), "component", "node_count")
+    hop = durable(both.join(inside, "a").select("component", "a", "b"))
+    degree = durable(inside.join(hop.groupBy("a").agg(F.count("*").alias("degree")), "a"))
+    flat = degree.filter("degree >= node_count - 1").select("component").distinct()
+    open_ = durable(size.join(flat, "component", "left_anti"))
+    deep = size.limit(0)
+    seen = None  # nodes within one hop of a node looked from, and within two
+    for _ in range(looks):
+        rest = degree.join(open_.select("component"), "component", "left_semi")
+        rank = F.struct("degree", "a")
+        if seen is not None:
+            rest = rest.join(seen.groupBy("a").agg(F.sum("away").alias("away")), "a", "left")
+            rank = F.struct((-F.coalesce("away", F.lit(0))).alias("away"), "degree", "a")
+        looking = durable(rest.groupBy("component").agg(F.min_by("a", rank).alias("a")))
+        if looking.isEmpty():
+            break
+        one = hop.join(looking.select("a"), "a", "left_semi").select("component", F.col("b").alias("a"))
+        two = one.join(hop.select("a", "b"), "a").select("component", F.col("b").alias("a"))
+        start = looking.select("component", "a", F.lit(0).alias("away"))
+        reached = start.unionByName(one.withColumn("away", F.lit(1))).unionByName(two.withColumn("away", F.lit(2)))
+        reached = durable(reached.groupBy("component", "a").agg(F.min("away").alias("away")))
+        counted = reached.groupBy("component").agg(F.count("*").alias("n"))
+        settled = durable(open_.join(counted, "component").filter("n < node_count").select("component", "node_count"))
+        deep, open_ = deep.unionByName(settled), durable(open_.join(settled, "component", "left_anti"))
+        seen = reached if seen is None else seen.unionByName(reached)
+    if open_.isEmpty():
+        return deep
+    left = degree.join(open_.select("component"), "component", "left_semi").select("component", "a", "node_count")
+    place = durable(numbered(left, "component", "a"))
+    to = place.select(F.col("a").alias("b"), (F.col("pos") % BITMAP).alias("bit"), F.floor(F.col("pos") / BITMAP).alias("part"))
+    own = hop.select("a", "b").join(left.select("a"), "a", "left_semi").unionByName(left.select("a", F.col("a").alias("b")))
+    near = durable(own.join(to, "b").groupBy("a", "part").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    united = own.join(near.withColumnRenamed("a", "b"), "b").groupBy("a", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    within = united.groupBy("a").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    far = left.join(within, "a").filter("n < node_count").select("component", "node_count").distinct()
+    return deep.unionByName(far)
 
 
 def community_stats(members: DataFrame, edges: DataFrame) -> DataFrame:
