@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from quillmesh.functions.text import TOKEN, token_count, token_parts
 
 LEVELS = ("small", "medium", "large")
+#: Chunks handed back at a time.
+ROWS = 4096
 _token = re.compile(TOKEN)
 
 
@@ -30,19 +34,18 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
     _check(size, overlap)
     step = size - overlap
     parts = docs.select(F.col(key), token_parts(F.col(text)).alias("parts")).withColumn("n", F.size("parts"))
-    spread = parts.filter("n > 0").select(
-        key, "parts", "n", F.explode(F.sequence(F.lit(0), _windows(F.col("n"), size, step) - 1)).alias("chunk_index")
-    )
-    start = F.col("chunk_index") * step
-    end = F.least(start + size, F.col("n"))
-    content = F.regexp_replace(F.array_join(F.slice("parts", start + 1, end - start), ""), r"(?U)\s+$", "")
+    # a window takes its own tokens before windows become rows, so no row holds the whole text
+    every = F.sequence(F.lit(0), _windows(F.col("n"), size, step) - 1)
+    cut = F.transform(every, lambda i: F.struct(i.alias("i"), F.least(i * step + size, F.col("n")).alias("stop"), F.array_join(F.slice("parts", i * step + 1, F.lit(size)), "").alias("content")))
+    spread = parts.filter("n > 0").select(key, F.explode(cut).alias("w"))
+    start = F.col("w.i") * step
     return spread.select(
         key,
-        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("w.i").cast("long").alias("chunk_index"),
         start.cast("long").alias("token_start"),
-        end.cast("long").alias("token_end"),
-        (end - start).cast("long").alias("token_count"),
-        content.alias("content"),
+        F.col("w.stop").cast("long").alias("token_end"),
+        (F.col("w.stop") - start).cast("long").alias("token_count"),
+        F.regexp_replace("w.content", r"(?U)\s+$", "").alias("content"),
     )
 
 
@@ -248,3 +251,101 @@ def explode_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str =
             yield pd.DataFrame(rows, columns=[key, "part_index", "part"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, part_index long, part string")
+
+
+def boundary_spans(text: str, boundaries: Callable[[list[str]], list[tuple[int, int]]], starts: list[int], most: int) -> list[tuple[int, int]]:
+    """Token spans of the ranges of blocks that a model names, part by part; ValueError if these are no cover."""
+    out, at = [], 0
+    for part in pre_split(text, most):
+        blocks = semantic_blocks(part)
+        ranges = [tuple(r) for r in boundaries(blocks)] if len(blocks) > 1 else [(1, 1)] * len(blocks)
+        if blocks and not valid_ranges(ranges, len(blocks)):
+            raise ValueError("the ranges don't cover the blocks")
+        ends = list(accumulate(map(len, blocks), initial=at))
+        for first, last in ranges:
+            a, b = bisect_left(starts, ends[first - 1]), bisect_left(starts, ends[last])
+            if a < b:
+                out.append((a, b))
+        at += len(part)
+    return out
+
+
+def mechanical_spans(tokens: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Sliding windows over so many tokens."""
+    step = size - overlap
+    count = 0 if not tokens else 1 if tokens <= size else -(-(tokens - size) // step) + 1
+    return [(i * step, min(i * step + size, tokens)) for i in range(count)]
+
+
+def span_tree(levels: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, tuple[int, int] | None]]:
+    """``level, start, stop, parent`` of spans by level, coarse ones first; of equal spans the finest stays.
+
+    A parent is the finest of the coarser spans that hold the centre, then the shortest, then the first.
+    """
+    finest: dict[tuple[int, int], int] = {}
+    for level, spans in enumerate(levels):
+        for span in spans:
+            finest.setdefault(span, level)
+    of_level = [sorted(s for s, own in finest.items() if own == level) for level in range(len(levels))]
+    begins = [[s[0] for s in spans] for spans in of_level]
+    longest = [max((e - a for a, e in spans), default=0) for spans in of_level]
+
+    def parent(level: int, a: int, e: int) -> tuple[int, int] | None:
+        centre = (a + e - 1) / 2
+        for up in range(level + 1, len(levels)):
+            # spans of a level begin in order, so only those that begin close enough can hold the centre
+            near = of_level[up][bisect_left(begins[up], centre - longest[up]) : bisect_right(begins[up], centre)]
+            held = [(y - x, x) for x, y in near if x <= centre < y]
+            if held:
+                return up, min(held)[1]
+        return None
+
+    return [(level, a, e, parent(level, a, e)) for level in reversed(range(len(levels))) for a, e in of_level[level]]
+
+
+def semantic_hierarchy(
+    docs: DataFrame, boundaries: Callable[[list[str]], list[tuple[int, int]]] | None, sizes: tuple[int, int, int], overlap: int, key: str = "doc_id", text: str = "text", most: int = 12_000,
+) -> DataFrame:
+    """Chunks of three sizes along the meaning of a text: ``key, chunk_index, granularity, token_start, token_end,
+    parent_granularity, parent_start, content, semantic``.
+
+    A model names ranges of blocks (``boundaries``), which become leaves of the small size; neighbouring leaves
+    are joined to medium ones and these to large ones.  A text for which the model fails, or names no
+    cover, is cut into windows of the three sizes, whose overlap keeps its ratio to the medium one; so are
+    all without a model.  One pass, a text at a time; texts without tokens give nothing.
+    """
+    if not sizes[0] < sizes[1] < sizes[2]:
+        raise ValueError("sizes must grow from small to large")
+    _check(sizes[1], overlap)
+    kind = dict(docs.dtypes)[key]
+    columns = [key, "chunk_index", "granularity", "token_start", "token_end", "parent_granularity", "parent_start", "content", "semantic"]
+
+    def levels_of(t: str, starts: list[int]) -> tuple[list[list[tuple[int, int]]], bool]:
+        if boundaries is not None:
+            try:
+                spans = boundary_spans(t, boundaries, starts, most)
+            except Exception:  # a model's failure is not ours
+                spans = []
+            if spans:
+                leaves = semantic_leaves(spans, sizes[0])
+                medium = group_spans(leaves, sizes[1])
+                return [leaves, medium, group_spans(medium, sizes[2])], True
+        return [mechanical_spans(len(starts), size, min(size - 1, round(size * overlap / sizes[1]))) for size in sizes], False
+
+    def told(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"parent_start": "Int64"})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for frame in frames:
+            for k, t in zip(frame[key], frame[text], strict=True):
+                tokens = token_spans(t or "")
+                levels, semantic = levels_of(t or "", [a for a, _ in tokens])
+                for i, (level, a, e, up) in enumerate(span_tree(levels)):
+                    rows.append((k, i, LEVELS[level], a, e, LEVELS[up[0]] if up else None, up[1] if up else None, t[tokens[a][0] : tokens[e - 1][1]], semantic))
+                if len(rows) >= ROWS:
+                    yield told(rows)
+                    rows = []
+        yield told(rows)
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index long, granularity string, token_start long, token_end long, parent_granularity string, parent_start long, content string, semantic boolean")

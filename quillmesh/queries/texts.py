@@ -62,8 +62,11 @@ def lexical_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines at the edges of a source's documents that recur on enough of them, as headers on pages do."""
-    pages = table(spark, sf_dir, "documents").select(F.col("lang").alias("file_id"), F.col("doc_id").alias("page"), "text")
+    """Lines at the edges of a language's documents that recur on enough of them, as headers on pages do; a header
+    names the language, and on two thirds of the pages a footer the source."""
+    footer = F.when(F.col("doc_id") % 3 != 0, F.lit("\n  all rights with the source ")).otherwise("")
+    paged = F.concat(F.lit("collection "), "lang", F.lit("\n"), F.coalesce("text", F.lit("")), footer)
+    pages = table(spark, sf_dir, "documents").select(F.col("lang").alias("file_id"), F.col("doc_id").alias("page"), paged.alias("text"))
     return convert.repeated_edge_lines(pages)
 
 
@@ -76,6 +79,19 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.html_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+def by_two(blocks: list[str]) -> list[tuple[int, int]]:
+    """A stand-in for a model: two blocks a range; of texts with an exclamation mark it knows nothing."""
+    if any("!" in b for b in blocks):
+        raise ValueError("no ranges")
+    return [(i, min(i + 1, len(blocks))) for i in range(1, len(blocks) + 1, 2)]
+
+
+def semantic_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whose lines are blocks, in chunks of 64, 160 and 400 tokens along ranges of blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return chunking.semantic_hierarchy(docs, by_two, (64, 160, 400), 40)
+
+
 def log_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("Authorization: Bearer "), F.col("event_type"), F.col("event_id").cast("string"), F.lit(" api_key="), F.col("user_id").cast("string"), F.lit("; "), F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", T.redact_log(line).alias("line"))
@@ -113,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_count, fixed_chunks, hier_chunks, chunk_parents, chunk_families, content_hashes, lexical_floor, repeated_edge_lines,
-        markdown_table, html_to_markdown, log_redaction, rule_entities, entity_dedupe, pre_split_parts, rebuilt_texts,
+        markdown_table, html_to_markdown, log_redaction, rule_entities, entity_dedupe, pre_split_parts, rebuilt_texts, semantic_hierarchy,
     )
 }
 
@@ -169,8 +185,12 @@ ORACLE = {
         SELECT page_id, max(w::DOUBLE * CASE WHEN url = t THEN 1.0 WHEN contains(url, t) THEN 0.75 ELSE 0.0 END) AS floor FROM u, k GROUP BY page_id
     """,
     "repeated_edge_lines": """
-        WITH lines AS (
-            SELECT lang AS file_id, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents
+        WITH pages AS (
+            SELECT lang, doc_id, 'collection ' || lang || chr(10) || coalesce(text, '')
+                   || CASE WHEN doc_id % 3 <> 0 THEN chr(10) || '  all rights with the source ' ELSE '' END AS text
+            FROM documents
+        ), lines AS (
+            SELECT lang AS file_id, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages
         ), edge AS (
             SELECT DISTINCT file_id, doc_id, unnest(list_distinct(list_concat(l[:2], l[-2:]))) AS line FROM lines
         ), need AS (SELECT lang AS file_id, greatest(3, ceil(count(*) / 2.0)) AS least_ FROM documents GROUP BY 1)

@@ -65,12 +65,12 @@ def without(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class KnowledgeStore(Snapshots):
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None, boundaries: Callable[[list[str]], list[tuple[int, int]]] | None = None):
         super().__init__(spark, root, SCHEMAS, KEYS)
         self.settings = settings
         self.embedder = embedder or models.HashEmbedder()
         self.model = getattr(self.embedder, "name", "custom")
-        self.extractor, self.planner, self.cache = extractor, planner, cache
+        self.extractor, self.planner, self.cache, self.boundaries = extractor, planner, cache, boundaries
 
     # ---- ingest
 
@@ -167,14 +167,11 @@ class KnowledgeStore(Snapshots):
         if s.chunking_mode == "fixed":
             cut = chunking.fixed_chunks(rag, s.medium_tokens, s.overlap_tokens, "source_id")
             return cut.select(F.concat_ws(":", "source_id", "token_start").alias("chunk_id"), "source_id", "content", "chunk_index", F.lit("medium").alias("granularity"), F.lit(None).cast("string").alias("parent_chunk_id"))
-        tree = chunking.hierarchical_chunks(rag, (s.small_tokens, s.medium_tokens, s.large_tokens), s.overlap_tokens, "source_id")
+        model = self.boundaries if s.chunking_mode == "semantic_hierarchical" else None
+        tree = chunking.semantic_hierarchy(rag, model, (s.small_tokens, s.medium_tokens, s.large_tokens), s.overlap_tokens, "source_id", most=s.section_chars)
         own = chunking.chunk_id(F.col("source_id"), F.col("granularity"), F.col("token_start"))
         up = F.when(F.col("parent_start").isNotNull(), chunking.chunk_id(F.col("source_id"), F.col("parent_granularity"), F.col("parent_start")))
-        from quillmesh.functions.text import token_parts
-
-        parts = rag.select("source_id", token_parts(F.col("text")).alias("parts"))
-        content = F.rtrim(F.array_join(F.slice("parts", (F.col("token_start") + 1).cast("int"), (F.col("token_end") - F.col("token_start")).cast("int")), ""))
-        return tree.join(parts, "source_id").select(own.alias("chunk_id"), "source_id", content.alias("content"), "chunk_index", "granularity", up.alias("parent_chunk_id"))
+        return tree.select(own.alias("chunk_id"), "source_id", "content", "chunk_index", "granularity", up.alias("parent_chunk_id"))
 
     def _terms(self, mentions: DataFrame) -> DataFrame:
         """``source_id, mention_id, term`` of the entities among the mentions."""
@@ -324,7 +321,7 @@ class KnowledgeStore(Snapshots):
 
     def rebuild(self, files: DataFrame) -> int:
         """Everything anew: built beside the old tables, validated, then committed as one version."""
-        shadow = KnowledgeStore(self.spark, f"{self.root}/shadow-{uuid.uuid4().hex}", self.settings, self.embedder, self.extractor, self.planner)
+        shadow = KnowledgeStore(self.spark, f"{self.root}/shadow-{uuid.uuid4().hex}", self.settings, self.embedder, self.extractor, self.planner, boundaries=self.boundaries)
         shadow.ingest(files)
         bad = shadow.violations()
         if not bad.isEmpty():

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmesh.functions import text as T
+from quillmesh.functions.text import TOKEN
 from quillmesh.operators import chunking as C
 
 
@@ -84,3 +85,69 @@ def test_tokens_match_python(spark):
     text = "Größe 知识-graph  x_1,\t¡hola!"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(T.token_count(df.t)).first()[0] == len(re.findall(T.TOKEN, text))
+
+
+def naive_hierarchy(text, boundaries, sizes, overlap, most):
+    """Levels of token spans and their tree, span by span."""
+    tokens = [m.span() for m in re.finditer(TOKEN, text)]
+    try:
+        spans, at = [], 0
+        for part in C.pre_split(text, most):
+            blocks = C.semantic_blocks(part)
+            ranges = boundaries(blocks) if len(blocks) > 1 else [(1, 1)] * len(blocks)
+            assert not blocks or [b for r in ranges for b in range(r[0], r[1] + 1)] == list(range(1, len(blocks) + 1))
+            for a, b in ranges:
+                low, high = at + len("".join(blocks[: a - 1])), at + len("".join(blocks[:b]))
+                own = [i for i, (s, _) in enumerate(tokens) if low <= s < high]
+                if own:
+                    spans.append((own[0], own[-1] + 1))
+            at += len(part)
+        assert spans
+        leaves = C.semantic_leaves(spans, sizes[0])
+        levels = [leaves, C.group_spans(leaves, sizes[1])]
+        levels.append(C.group_spans(levels[1], sizes[2]))
+        semantic = True
+    except Exception:
+        semantic, levels = False, []
+        for size in sizes:
+            step = size - min(size - 1, round(size * overlap / sizes[1]))
+            spans, s = [], 0
+            while s < len(tokens):
+                spans.append((s, min(s + size, len(tokens))))
+                if s + size >= len(tokens):
+                    break
+                s += step
+            levels.append(spans)
+    rows = sorted({(span, min(lv for lv in range(3) if span in levels[lv])) for spans in levels for span in spans}, key=lambda r: (-r[1], r[0]))
+    out = []
+    for i, ((a, e), lv) in enumerate(rows):
+        centre = (a + e - 1) / 2
+        held = sorted((up, y - x, x) for (x, y), up in rows if up > lv and x <= centre < y)
+        out.append((i, C.LEVELS[lv], a, e, C.LEVELS[held[0][0]] if held else None, held[0][2] if held else None, text[tokens[a][0] : tokens[e - 1][1]], semantic))
+    return out
+
+
+def test_semantic_hierarchy_of_all_documents(spark, sf_dir):
+    from quillmesh.queries import texts
+
+    docs = {r.doc_id: (r.text or "").replace("\n", "\n\n") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {}
+    for r in texts.semantic_hierarchy(spark, sf_dir).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    kinds = set()
+    for doc_id, text in docs.items():
+        if len(text) < 40_000:  # the naive version is slow
+            want = naive_hierarchy(text, texts.by_two, (64, 160, 400), 40, 12_000)
+            assert sorted(got.get(doc_id, [])) == want
+            kinds |= {r[-1] for r in want}
+    assert kinds == {True, False}
+
+
+def test_semantic_hierarchy_falls_back(spark):
+    texts = ["", "   ", "one two\n\nthree four five\n\nsix", "word " * 100, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for model in (None, lambda blocks: [(1, 1)], lambda blocks: 1 / 0):
+        rows = C.semantic_hierarchy(docs, model, (4, 16, 64), 4).collect()
+        assert {r.doc_id for r in rows} == {2, 3} and not any(r.semantic for r in rows if r.doc_id == 2)
+    with pytest.raises(ValueError):
+        C.semantic_hierarchy(docs, None, (4, 4, 64), 1)
