@@ -154,9 +154,9 @@ class Snapshots:
         erased = self._write(f"{name}-deletes", gone, seq, keys) if parts else None
         return {"parts": parts + [p for p in (part,) if p], "deletes": deletes * bool(parts) + [d for d in (erased,) if d]}
 
-    def commit(self, tables: dict[str, DataFrame | None], base: int | None = None, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> int:
-        """A version after ``base`` (default: the newest): whole ``tables`` anew, None for an empty one, and
-        ``changes`` as (rows that come, keys whose rows go)."""
+    def commit(self, tables: dict[str, DataFrame | None], base: int | None = None, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, notes: dict | None = None) -> int:
+        """A version after ``base`` (default: the newest): whole ``tables`` anew, None for an empty one,
+        ``changes`` as (rows that come, keys whose rows go), and ``notes`` that the manifest carries."""
         base = self.version() if base is None else base
         names, number = self.manifest(base), base + 1
 
@@ -169,6 +169,8 @@ class Snapshots:
             done = {name: pool.submit(anew, name, rows) for name, rows in tables.items()}
             done |= {name: pool.submit(self._grown, name, names.get(name), *change, number) for name, change in (changes or {}).items()}
             names |= {name: f.result() for name, f in done.items()}
+        if notes is not None:
+            names["notes"] = {"parts": [], "deletes": [], **notes}
         return self._publish(names, number)
 
     def _publish(self, names: dict, number: int) -> int:

@@ -1,7 +1,9 @@
-"""Synchronisation as a stream: micro-batches folded into a state of Parquet snapshots.
+"""Synchronisation as a stream: micro-batches folded into a state whose keys are changed in place.
 
-A snapshot is written whole, then a pointer file names it; readers never see half of one.  The
-pointer remembers the last batch, so a batch that is played again after a crash changes nothing.
+The state is a table of parts and deletes (see ``snapshots``): a batch reads the files that can hold its keys
+and writes the rows that it changes, so its work grows with the batch and not with the state.  A version
+remembers the batch it was made by, so a batch that is played again after a crash changes nothing, and
+readers never see half of one.
 """
 
 from __future__ import annotations
@@ -11,35 +13,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.operators.changes import STATE, synchronise
+from quillmesh.plans.components import durable
+from quillmesh.snapshots import Snapshots
 
+#: Versions that readers may still be at.
+KEPT = 3
 
-class SnapshotState:
-    """Rows of one table under ``root``, replaced as a whole."""
+
+class SnapshotState(Snapshots):
+    """Rows by ``source_uri`` under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str = STATE):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        super().__init__(spark, root, {"state": schema}, {"state": ("source_uri",)})
 
     def last_batch(self) -> int:
-        """The number of the newest snapshot, -1 before the first; a snapshot counts once its marker is there."""
-        pattern = self._path(f"{self.root}/*/_SUCCESS")
-        found = self._fs.globStatus(pattern) or []
-        return max([int(x.getPath().getParent().getName()) for x in found], default=-1)
-
-    def read(self) -> DataFrame:
-        last = self.last_batch()
-        if last < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{last}")
+        """The number of the batch that the newest version holds, -1 before the first."""
+        return self.manifest().get("notes", {}).get("batch", -1)
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{batch}")
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            if name.isdigit() and int(name) < batch - 1:
-                self._fs.delete(status.getPath(), True)
+    def read(self, name: str = "state", version: int | None = None) -> DataFrame:
+        return super().read(name, version)
 
 
 def fold_batch(state: SnapshotState, batch: DataFrame, number: int) -> None:
@@ -47,9 +39,12 @@ def fold_batch(state: SnapshotState, batch: DataFrame, number: int) -> None:
     if number <= state.last_batch():
         return
     newest = Window.partitionBy("source_uri").orderBy(F.desc("updated_at"), F.desc("revision"))
-    one = batch.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
-    after, _ = synchronise(state.read(), one)
-    state.write(after, number)
+    one = durable(batch.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r"))
+    held = durable(state.read_keys("state", one.select("source_uri")))
+    after, _ = synchronise(held, one)
+    changed = durable(after.select(*held.columns).subtract(held))
+    state.commit({}, None, {"state": (changed, changed)}, {"batch": number})
+    state.vacuum(KEPT)
 
 
 def stream_sync(changes: DataFrame, state_root: str, checkpoint: str) -> StreamingQuery:

@@ -59,6 +59,22 @@ def test_stream_and_replay(spark, tmp_path):
     assert {(r.source_uri, r.revision) for r in state.read().collect()} == want
 
 
+def test_a_batch_writes_its_keys(spark, tmp_path):
+    state = SnapshotState(spark, str(tmp_path / "state"))
+    record = "concat('u', lpad(id, 6, '0')) source_uri, '1' revision, timestamp'2024-01-01' updated_at, concat('t', id) content, '{}' metadata, false deleted"
+    fold_batch(state, spark.sql(f"SELECT {record} FROM range(20000)"), 0)
+    whole = state.bytes_held()
+    want = {r.source_uri: (r.revision, r.exists_status) for r in state.read().collect()}
+    for number in (1, 2, 3):
+        rows = [(f"u{i:06}", str(number + 1), at(number + 1), f"new {number}", "{}", i % 2 == 0) for i in range(number * 7, number * 7 + 5)] + [(f"new{number}", "1", at(1), "x", "{}", False)]
+        fold_batch(state, spark.createDataFrame(rows, BATCH), number)
+        assert state.bytes_written(state.version()) < 0.05 * whole
+        want |= {u: (r, "deleted" if gone else "active") for u, r, _, _, _, gone in rows}
+    assert {r.source_uri: (r.revision, r.exists_status) for r in state.read().collect()} == want
+    fold_batch(state, spark.createDataFrame([], BATCH), 4)
+    assert state.last_batch() == 4 and state.read().count() == len(want)
+
+
 def test_prune_and_pages(spark):
     rows = [(f"k{i}", 10, None, None, dt.datetime(2024, 1, 1 + i // 3, i)) for i in range(10)]
     entries = spark.createDataFrame(rows, "cache_key string, result_size long, last_hit_at timestamp, updated_at timestamp, created_at timestamp")
