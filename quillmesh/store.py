@@ -65,12 +65,13 @@ def without(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class KnowledgeStore(Snapshots):
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None, boundaries: Callable[[list[str]], list[tuple[int, int]]] | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embedder: models.Embedder | None = None, extractor: drafts.Extractor = drafts.rule_extractor, planner: planning.Planner | None = None, cache: SearchCache | None = None, boundaries: Callable[[list[str]], list[tuple[int, int]]] | None = None, reranker: retrieval.Reranker = retrieval.overlap_rerank):
         super().__init__(spark, root, SCHEMAS, KEYS)
         self.settings = settings
         self.embedder = embedder or models.HashEmbedder()
         self.model = getattr(self.embedder, "name", "custom")
         self.extractor, self.planner, self.cache, self.boundaries = extractor, planner, cache, boundaries
+        self.reranker = reranker
 
     # ---- ingest
 
@@ -442,7 +443,7 @@ class KnowledgeStore(Snapshots):
         found = retrieval.with_context(found, chunks)
         limit = max(top, s.rerank_top_n, pool if len(rows) > 1 else 0)
         asked = [(v.text, v.weight) for _, v, _ in rows]
-        got = retrieval.rag_query(durable(found), plan.variants[0].text, top, pool, limit, threshold, asked, s.rescue_count, s.similarity_threshold)
+        got = retrieval.rag_query(durable(found), plan.variants[0].text, top, pool, limit, threshold, asked, s.rescue_count, s.similarity_threshold, self.reranker)
         return got.join(self.read("sources").select("source_id", "relative_path"), "source_id")
 
     def hybrid(self, query: str, top_k: int | None = None, depth: int = 3) -> dict[str, DataFrame]:
