@@ -74,16 +74,19 @@ class SearchCache:
             before = state()
             key = key_for(mode, query, before, config or {}, params or {})
             with self._lock:
-                flight = self._flights.setdefault(key, threading.RLock())
+                flight = self._flights.setdefault(key, [threading.RLock(), 0])
+                flight[1] += 1
             try:
-                with flight:
+                with flight[0]:
                     if (entry := self.get(key)) is not None:
                         return json.loads(entry.body), True
                     result = run()
                     if state() == before:
                         self.put(key, Entry(mode, cache_text(query), before, json.dumps(result, default=str)))
                         return result, False
-            finally:  # who waits holds the flight and finds the entry
+            finally:  # a flight ends when nobody waits for it any more, so that who comes meanwhile joins it
                 with self._lock:
-                    self._flights.pop(key, None)
+                    flight[1] -= 1
+                    if not flight[1]:
+                        self._flights.pop(key, None)
         return result, False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import key_of, norm_key_full, redact_log
+from quillmesh.functions.text import key_of, mapped, norm_key_full, redact_log
 from quillmesh.sources.convert import CONVERTERS, convert_files, decode
 
 MOST_BYTES = 50 << 20
@@ -23,8 +23,8 @@ def scan_directory(spark: SparkSession, root: str, most: int = 1000) -> DataFram
     )
     root_literal = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     relative = F.expr(f"substring_index(path, {root_literal!r}, -1)")
-    text = F.udf(lambda b: decode(bytes(b)), "string")
-    found = files.select(relative.alias("relative_path"), F.sha2("content", 256).alias("content_hash"), text("content").alias("text"))
+    text = mapped(lambda b: decode(bytes(b)))
+    found = files.select(relative.alias("relative_path"), F.sha2("content", 256).alias("content_hash"), text(F.col("content")).alias("text"))
     found = found.withColumn("path_hash", F.sha2(norm_key_full(F.col("relative_path")), 256))
     names = files.select(relative.alias("relative_path"))
     count = names.count()

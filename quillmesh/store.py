@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.cache import SearchCache
 from quillmesh.config import DEFAULTS, Settings
-from quillmesh.functions.text import norm_key_full, norm_keys_full
+from quillmesh.functions.text import mapped, norm_key_full, norm_keys_full
 from quillmesh.operators import changes, chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
 from quillmesh.plans.classes import updated_classes
 from quillmesh.plans.components import durable
@@ -367,10 +367,10 @@ class KnowledgeStore(Snapshots):
         size = organise.community_stats(inside, edges).join(told, "component", "left")
         summary = F.coalesce("names", F.lit(""))
         if write is not None:
-            said = F.udf(write, "string")
-            summary = said(summary)
+            summary = mapped(write)(summary)
         groups = durable(size.select(F.col("component").alias("group_id"), summary.alias("summary"), "node_count", "edge_count"))
         self.commit({"groups": groups, "group_nodes": inside.select(F.col("component").alias("group_id"), "node_id")}, base)
+        self._forget()
         return groups.count()
 
     def sync_entity_vectors(self) -> int:

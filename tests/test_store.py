@@ -59,7 +59,8 @@ def test_communities_rebuild_and_conflicts(spark, tmp_path):
     files = spark.createDataFrame([("x.md", "A B C D E " + "w " * 60)], FILES)
     s.ingest(files)
     assert {r.granularity for r in s.read("chunks").collect()} == {"small", "medium", "large"}
-    assert s.summarise() == 1
+    assert s.summarise() == 1 and s.summarise(lambda names: f"about {names}") == 1
+    assert s.read("groups").first().summary.startswith("about A")
     assert s.key_entities("A").count() == 5
     version = s.version()
     assert s.rebuild(files) == version + 1 and s.violations().count() == 0
@@ -134,6 +135,41 @@ def test_cache():
     assert all(e["query"] != "z" for e in c.listed("")) and not c._flights
 
 
+def test_who_waits_for_a_failure_stays_one_flight():
+    import threading
+    import time
+
+    c, running, most, failed = SearchCache(), [], [], []
+    guard = threading.Lock()
+
+    def run():
+        with guard:
+            running.append(1)
+            most.append(len(running))
+            first = not failed
+            failed.append(1)
+        time.sleep(0.2)
+        with guard:
+            running.pop()
+        if first:
+            raise OSError("once")
+        return {"n": 1}
+
+    def ask(delay):
+        time.sleep(delay)
+        try:
+            c.run("rag", "q", lambda: "s", run)
+        except OSError:
+            pass
+
+    threads = [threading.Thread(target=ask, args=(d,)) for d in (0.0, 0.05, 0.25)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert max(most) == 1 and len(failed) == 2 and not c._flights
+
+
 def test_settings_are_lenient():
     assert settings_of({"top_k": 3, "rrf_k": "x", "anchor_factor": 2, "no": 1, "max_entities": True}) == Settings(top_k=3, anchor_factor=2.0)
 
