@@ -3,23 +3,25 @@ r"""Secret scans with a randomness test battery (operator 6), in DataFrame funct
 Base kinds are patterns: ``assign`` (a credential's name, a sign, 12 or more signs), ``access``
 (key ids) and ``hex`` runs.  The method adds kind ``random``: runs of 20 or more signs of
 the base64 family that hold letters and digits, cut where no encoding holds them.  Each run's encoding is the smallest that
-holds it (hex, base32, lower-case alphanumeric, alphanumeric, base64), and gives each sign
-its ordinal.  Three statistics compare the ordinals with uniform randomness:
-
-* chi-squared over 8 bins of the alphabet (7 degrees of freedom),
-* the runs test above and below the middle of the alphabet, squared (1),
-* the lag-1 serial correlation, squared (1).
-
-A random string has a sum X near 9 at any length, and X decides what uniform randomness would
-yield.  The hypothesis *ordinary* is scored by letters: the log-likelihood ratio of each sign
-after the one before it, in ordinary text against a random string of the encoding, with case
-changes.  Its mean per pair is compared with that of ordinary runs in normal approximation,
-whose spread falls with length.  Hexadecimal runs hold no words; for them X is scored as a
-noncentral chi-squared with noncentrality ``ORDINARY["hex"] * n``.
-Benjamini-Hochberg over all runs of the corpus picks the
+holds it (hex, base32, lower-case alphanumeric, alphanumeric, base64).  Three tests compare it
+with uniform randomness in that encoding:
+
+* chi-squared of the alphabet's uniformity, over groups of signs that ordinary text uses unevenly
+  (frequent, middling and rare letters, capitals, digits, separators; of hexadecimal pairs of values),
+* the runs test over kinds of signs (small letters, capitals, digits, separators): the squared
+  distance of the number of changes from what uniform randomness yields,
+* the lag-1 serial correlation of vowels (of hexadecimal: of the upper half), squared, times n.
+
+Their sum X, in which the runs test counts twice, doesn't grow with the length n of a random string; of ordinary ones it does.  So
+sqrt(X / n) is compared with that of *ordinary* runs in normal approximation, whose mean and spread by
+encoding and length are fitted to names and paths (``ORDINARY``): z, and the longer a run, the
+further a random one lies below.  Benjamini-Hochberg over all runs of the corpus picks the
 p value up to which the share of false discoveries stays below ``rate``; it needs a
-histogram of fixed size only.  Runs that uniform randomness would yield once in a thousand
-or less often are never called random.
+histogram of fixed size only.  Runs whose X uniform randomness would exceed once in a thousand
+or less often (``UNLIKELY``, simulated for each encoding) are never called random.
+
+Base spans inside a run are known already: what is left of the run without them is tested, and
+where it is random the whole run is a span.  Of what is left 12 signs or more are needed.
 
 Positions: between the matches of a pattern lie the parts that ``split`` returns, so
 running sums of their lengths give every span in code points.
@@ -32,7 +34,6 @@ letters only, or of digits only, are words and numbers and never candidates.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,30 +68,25 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-#: Divergence of ordinary runs from uniform, per sign.
-ORDINARY = {"hex": 0.6}
-BINS, FREEDOM = 8, 9
-#: Signs by what they are in words: letters without case, a digit, a separator.
-CLASSES = _LOWER + "0-"
-#: How probable a class is after a class in identifiers, paths and prose (code of Python's
-#: library, four languages): a row for each class, 80 + 8 ln(p) as a sign.
-FOLLOWS = (
-    "$686&*2#4#+?8>#3#@<B1,&+1#(/", "@)4)>&$%:5#D)#;-#44*>###7#23", ">#.%?$#=7#97(%D(#4,?3###(#)4", "?*+5E.%&A##1%(8(#.555#%#(#.@",
-    "6(8;10/%-##53=*1/BA9&-*7)#(<", ";(+);;%#D##:$$@(#=16<###,#16", "7&((F)0;:##4-76)#<939%##&#&?", "B+(%E$$/<##/,.>(#42<0#)#,#%=",
-    "31:4515#%#(78E?1#2;=(0#)#2#(", "D##)E#)#1%-###>(##@#=+####-9", "3(.)G(-%A##5*1,-#)8-6*3#(#%B", ">*+2D)%#B##<($<+#$388(##9##9",
-    "B2%&F###;##-2.;?#$1)6###(##:", ";(:=<1?)7#(,(09-#(=A1/%#%##;", "./58%0,#-#*79F07#B45904%###3", "A&()C*#,4##=##=6#?/:4###9#&6",
-    "###(######+6#$($#-)&N$#####5", "?(/1D*1%>#0+43>)#:8:1+)#1##8", "1#5$A*$5<#0-*(66&%<F6$(#-##;", ";$.(D*#;A##,*&8)#:420#)#6&&A",
-    "8640=/+#5##<;A-:#<9?###.##3%", "G#,#I%##?###)#0##%(&######,3", "B#(*8%%>D#&,$8;%#=4&$#$$##&=", "6(>&>*#(<##.2#-A#+,C#$#&/#7@",
-    "0//.6*.(2##436-E#5:>%,/#%&)D", "<&(*L#%#7#$(%#9+#$+)8###)),4", "..-1/0#########(##%%###%##N<", "84;9781/9&+68748%6<9013$#%5:",
-)
-#: Neighbouring letters differ in case this often.
-TURNS = 0.0566
-#: Per pair of signs the mean of ordinary runs' log-likelihood ratio, and its variance
-#: among runs of k pairs: SPREAD[0] + SPREAD[1] / k.
-ORDINARY_RATIO = {"base32": 0.5, "lower36": 0.5, "alnum62": 0.5, "base64": 1.05, "base64url": 1.05}
-SPREAD = (0.15, 1.0)
-#: X that a random string exceeds once in a thousand.
-UNLIKELY = 27.9
+#: A run's signs beside base spans, at least.
+REST_LEAST = 12
+#: Base spans that a run can hold.
+KNOWN = f"{ACCESS}|{HEX}"
+_SIGNS = _UPPER + _LOWER + _DIGITS + "+/-_"
+_HEXADECIMAL = "0123456789abcdef"
+#: Groups of signs for the chi-squared test, kinds of signs for the runs test, marks for the serial test.
+GROUPS = "".join("f" if c in "aeioulnrst" else "m" if c in "bcdfghmp" else "r" if c in _LOWER else "u" if c in _UPPER else "d" if c in _DIGITS else "s" for c in _SIGNS)
+TYPES = "".join("l" if c in "fmr" else c for c in GROUPS)
+VOWELS = "".join(str(int(c.lower() in "aeiou")) for c in _SIGNS)
+HEX_GROUPS, HEX_TYPES, HEX_UPPER_HALF = "0011223344556677", "ddddddddddllllll", "0000000011111111"
+#: Of ordinary runs: sqrt(X / n) has mean m0 - m1 / n and variance s / n; ``tests/llm/battery.py`` fits
+#: m0, m1 and s to the names of Python's library, s so that one run in a thousand lies 3.09 roots below.
+ORDINARY = {
+    "hex": (1.325, -2.59, 0.561), "base32": (1.251, 3.99, 0.393), "lower36": (1.499, 6.89, 0.319),
+    "alnum62": (1.951, 7.33, 1.623), "base64": (1.964, 5.22, 0.677), "base64url": (1.898, 5.85, 0.467),
+}
+#: X that a random string exceeds once in a thousand, simulated at 20 to 200 signs.
+UNLIKELY = {"hex": 38.9, "base32": 35.4, "lower36": 33.4, "alnum62": 32.6, "base64": 33.0, "base64url": 33.0}
 #: The histogram's bins of z: width and range.
 STEP, LOW, HIGH = 0.02, -40.0, 8.0
 BLOCK = 256
@@ -140,132 +136,116 @@ def _encoding(run: Column) -> Column:
     return F.when(run.rlike("[0-9]") & run.rlike("[A-Za-z]"), out)
 
 
-def _of(encoding: Column, values: dict, kind: str) -> Column:
-    out = F.lit(None).cast(kind)
-    for name, value in values.items():
-        v = F.array(*[F.lit(float(x)) for x in value]) if isinstance(value, list) else F.lit(value)
-        out = F.when(encoding == name, v).otherwise(out)
-    return out
+def _uniform(name: str, alphabet: str) -> tuple[list[tuple[str, float]], float, float]:
+    """What uniform randomness over an alphabet yields: its groups with their shares, how probable a
+    change of kind is, and the covariance of two changes in a row."""
+    signs, groups, types = (_HEXADECIMAL, HEX_GROUPS, HEX_TYPES) if name == "hex" else (_SIGNS, GROUPS, TYPES)
+    held = [signs.index(c) for c in (alphabet.lower() if name in ("hex", "base32") else alphabet)]
+
+    def share(of: str) -> dict[str, float]:
+        return {x: sum(of[i] == x for i in held) / len(held) for x in sorted({of[i] for i in held})}
+
+    change = 1 - sum(p * p for p in share(types).values())
+    twice = sum(p * (1 - p) ** 2 for p in share(types).values())
+    return list(share(groups).items()), change, twice - change * change
+
+
+def _number(text: Column, pattern: str) -> Column:
+    """How many matches of one sign each."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
 
 
 def scored(runs: Column) -> Column:
-    """``x`` (small for random strings) and ``z`` (its place among ordinary strings) of each run.
+    """``x`` (X as a share of what is unlikely for random strings) and ``z`` (its place among ordinary strings) of each run.
 
-    Null for runs without an encoding.  Each step is a list of its own, so that what a later
-    step uses often is a field and not a copy of the expression.
+    Null for runs without an encoding.  A sign's group, kind and mark are found by translation,
+    so each statistic is a pass of string functions over the run.  Each step is a list of its own, so that
+    what a later step uses often is a field and not a copy of the expression.
     """
-    share = {
-        name: [sum(o * BINS // len(a) == b for o in range(len(a))) / len(a) for b in range(BINS)]
-        for name, _, a in ENCODINGS
-    }
-    #: ln of the probability of a letter without case, a digit and a separator, and of whether case counts
-    uniform = {}
-    for name, _, a in ENCODINGS:
-        both = float(a[0].isupper() and "a" in a)
-        uniform[name] = [math.log((1 + both) / len(a)), math.log(sum(c.isdigit() for c in a) / len(a)), math.log(2 / len(a)), both]
-    named = F.transform(runs, lambda r: F.struct(r.alias("run"), _encoding(r).alias("encoding")))
-    known = F.transform(
+    uniform = {name: _uniform(name, alphabet) for name, _, alphabet in ENCODINGS}
+
+    def told(encoding: Column, value: Callable[[str], Column]) -> Column:
+        out = F.lit(None)
+        for name in uniform:
+            out = F.when(encoding == name, value(name)).otherwise(out)
+        return out
+
+    def groups(name: str) -> Column:
+        return F.array(*[F.struct(F.lit(g).alias("sign"), F.lit(p).alias("share")) for g, p in uniform[name][0]])
+
+    def translated(r: Column, hexadecimal: str, other: str) -> Column:
+        return F.when(r["encoding"] == "hex", F.translate(r["body"], _HEXADECIMAL, hexadecimal)).otherwise(F.translate(r["body"], _SIGNS, other))
+
+    left = F.transform(runs, lambda r: F.when(r.rlike(KNOWN), F.regexp_replace(r, KNOWN, "")).otherwise(r))
+    named = F.transform(left, lambda r: F.struct(r.alias("run"), F.when(F.length(r) >= REST_LEAST, _encoding(r)).alias("encoding")))
+    bodies = F.transform(
         named,
         lambda r: F.struct(
-            F.regexp_replace(F.when(r["encoding"] == "hex", F.lower(r["run"])).otherwise(r["run"]), "=+$", "").alias("body"),
-            _of(r["encoding"], {name: a for name, _, a in ENCODINGS}, "string").alias("letters"),
-            _of(r["encoding"], share, "array<double>").alias("share"),
-            _of(r["encoding"], ORDINARY, "double").alias("ordinary"),
-            _of(r["encoding"], uniform, "array<double>").alias("uniform"),
-            _of(r["encoding"], ORDINARY_RATIO, "double").alias("usual"),
+            r["encoding"].alias("encoding"),
+            # null without an encoding, as is all that follows from it
+            F.regexp_replace(F.when(r["encoding"].isin("hex", "base32"), F.lower(r["run"])).when(r["encoding"].isNotNull(), r["run"]), "=+$", "").alias("body"),
         ),
     )
     placed = F.transform(
-        known,
+        bodies,
         lambda r: F.struct(
-            F.transform(F.filter(F.split(r["body"], ""), lambda c: c != ""), lambda c: (F.instr(r["letters"], c) - 1).cast("double")).alias("seq"),
-            F.length(r["letters"]).alias("size"),
+            r["encoding"].alias("encoding"),
             F.length(r["body"]).cast("double").alias("n"),
-            F.transform(
-                F.filter(F.split(r["body"], ""), lambda c: c != ""),
-                lambda c: F.struct((F.instr(F.lit(CLASSES), F.translate(F.lower(c), "123456789+/_", "000000000---"))).alias("k"), (F.lower(c) != c).alias("up")),
-            ).alias("signs"),
-            r["uniform"].alias("uniform"),
-            r["usual"].alias("usual"),
-            r["share"].alias("share"),
-            r["ordinary"].alias("ordinary"),
+            translated(r, HEX_GROUPS, GROUPS).alias("groups"),
+            translated(r, HEX_TYPES, TYPES).alias("types"),
+            translated(r, HEX_UPPER_HALF, VOWELS).alias("marks"),
         ),
     )
-    table = F.array(*[F.lit(row) for row in FOLLOWS])
-    letters, same, turned = len(_LOWER), math.log(2 * (1 - TURNS)), math.log(2 * TURNS)
-
-    def next_to(a: Column) -> Column:
-        rest = F.size(a) - 1
-        return F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(2), rest), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
-    def told(p: Column, uniform: Column) -> Column:
-        """ln of how much likelier the second sign is in ordinary text than in a random string."""
-        before, sign = p["x"], p["y"]
-        follows = (F.ascii(F.substring(F.element_at(table, before["k"]), sign["k"], F.lit(1))) - 80) / 8
-        alone = F.when(sign["k"] <= letters, F.get(uniform, F.lit(0))).when(sign["k"] == letters + 1, F.get(uniform, F.lit(1))).otherwise(F.get(uniform, F.lit(2)))
-        case = F.when((sign["k"] <= letters) & (before["k"] <= letters), F.when(sign["up"] == before["up"], same).otherwise(turned)).otherwise(0.0)
-        return follows - alone + F.get(uniform, F.lit(3)) * case
     counted = F.transform(
         placed,
         lambda r: F.struct(
-            r["seq"].alias("seq"),
+            r["encoding"].alias("encoding"),
             r["n"].alias("n"),
-            r["ordinary"].alias("ordinary"),
-            F.aggregate(next_to(r["signs"]), F.lit(0.0), lambda acc, p: acc + told(p, r["uniform"])).alias("ratio"),
-            r["usual"].alias("usual"),
-            F.transform(r["seq"], lambda o: o * 2 >= r["size"]).alias("above"),
-            F.size(F.filter(r["seq"], lambda o: o * 2 >= r["size"])).cast("double").alias("n1"),
-            (F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + o) / r["n"]).alias("mean"),
-            F.aggregate(
-                F.zip_with(
-                    F.transform(
-                        F.sequence(F.lit(0), F.lit(BINS - 1)),
-                        lambda b: F.size(F.filter(r["seq"], lambda o: F.floor(o * BINS / r["size"]) == b)).cast("double"),
-                    ),
-                    r["share"],
-                    lambda c, e: (c - r["n"] * e) * (c - r["n"] * e) / (r["n"] * e),
-                ),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            ).alias("chi"),
+            F.transform(
+                told(r["encoding"], groups),
+                lambda g: F.struct((r["n"] - F.length(F.replace(r["groups"], g["sign"], F.lit("")))).alias("count"), (r["n"] * g["share"]).alias("expected")),
+            ).alias("groups"),
+            (F.length(F.regexp_replace(r["types"], "l++|u++|d++|s++", "x")) - 1).alias("changes"),
+            told(r["encoding"], lambda name: F.lit(uniform[name][1])).alias("change"),
+            told(r["encoding"], lambda name: F.lit(uniform[name][2])).alias("joint"),
+            _number(r["marks"], "1").alias("ones"),
+            _number(r["marks"], "1(?=1)").alias("pairs"),
+            (F.startswith(r["marks"], F.lit("1")).cast("double") + F.endswith(r["marks"], F.lit("1")).cast("double")).alias("ends"),
         ),
     )
-
     tested = F.transform(
         counted,
         lambda r: F.struct(
+            r["encoding"].alias("encoding"),
             r["n"].alias("n"),
-            r["ordinary"].alias("ordinary"),
-            r["chi"].alias("chi"),
-            r["ratio"].alias("ratio"),
-            r["usual"].alias("usual"),
-            (2 * r["n1"] * (r["n"] - r["n1"])).alias("mixed"),
-            (F.size(F.filter(next_to(r["above"]), lambda p: p["x"] != p["y"])) + 1).alias("runs"),
-            F.aggregate(r["seq"], F.lit(0.0), lambda acc, o: acc + (o - r["mean"]) * (o - r["mean"])).alias("spread"),
-            F.aggregate(next_to(r["seq"]), F.lit(0.0), lambda acc, p: acc + (p["x"] - r["mean"]) * (p["y"] - r["mean"])).alias("along"),
+            F.aggregate(r["groups"], F.lit(0.0), lambda acc, g: acc + (g["count"] - g["expected"]) * (g["count"] - g["expected"]) / g["expected"]).alias("chi"),
+            (
+                F.pow(r["changes"] - (r["n"] - 1) * r["change"], F.lit(2.0))
+                / ((r["n"] - 1) * r["change"] * (1 - r["change"]) + 2 * (r["n"] - 2) * r["joint"])
+            ).alias("runs"),
+            # sums over neighbours of (mark - mean) * (next mark - mean), and over all of (mark - mean) squared
+            (r["pairs"] - (2 * r["ones"] - r["ends"]) * r["ones"] / r["n"] + (r["n"] - 1) * F.pow(r["ones"] / r["n"], F.lit(2.0))).alias("along"),
+            (r["ones"] - r["ones"] * r["ones"] / r["n"]).alias("spread"),
         ),
     )
     summed = F.transform(
         tested,
         lambda r: F.struct(
-            (r["n"] * r["ordinary"]).alias("far"),
-            ((r["ratio"] / (r["n"] - 1) - r["usual"]) / F.sqrt(SPREAD[0] + SPREAD[1] / (r["n"] - 1))).alias("unlike"),
-            (
-                r["chi"]
-                + F.when(
-                    r["mixed"] > r["n"],
-                    (r["runs"] - 1 - r["mixed"] / r["n"]) * (r["runs"] - 1 - r["mixed"] / r["n"])
-                    / (r["mixed"] * (r["mixed"] - r["n"]) / (r["n"] * r["n"] * (r["n"] - 1))),
-                ).otherwise(r["n"])
-                + F.when(r["spread"] > 0, r["along"] * r["along"] / (r["spread"] * r["spread"]) * r["n"]).otherwise(r["n"])
-            ).alias("x"),
+            r["encoding"].alias("encoding"),
+            r["n"].alias("n"),
+            (r["chi"] + 2 * r["runs"] + F.when(r["spread"] > 0, r["n"] * F.pow(r["along"] / r["spread"], F.lit(2.0))).otherwise(0.0)).alias("x"),
         ),
-    )
+    )
+
+    def among_ordinary(r: Column, name: str) -> Column:
+        m0, m1, s = ORDINARY[name]
+        return (F.sqrt(r["x"] / r["n"]) - (m0 - m1 / r["n"])) / F.sqrt(s / r["n"])
+
     return F.transform(
         summed,
         lambda r: F.struct(
-            r["x"].alias("x"),
-            F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.coalesce(r["unlike"], (r["x"] - (FREEDOM + r["far"])) / F.sqrt(2 * (FREEDOM + 2 * r["far"]))))).alias("z"),
+            (r["x"] / told(r["encoding"], lambda name: F.lit(UNLIKELY[name]))).alias("x"),
+            F.least(F.lit(HIGH), F.greatest(F.lit(LOW), told(r["encoding"], lambda name: among_ordinary(r, name)))).alias("z"),
         ),
     )
 
@@ -327,7 +307,7 @@ def discovery_threshold(z: DataFrame, rate: float) -> float | None:
 
 
 def is_secret(x: Column, z: Column, threshold: float | None) -> Column:
-    return F.lit(False) if threshold is None else F.coalesce((z < threshold) & (x <= UNLIKELY), F.lit(False))
+    return F.lit(False) if threshold is None else F.coalesce((z < threshold) & (x <= 1), F.lit(False))
 
 
 def scan_secrets(found: DataFrame, rate: float = 0.05) -> DataFrame:

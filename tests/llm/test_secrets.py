@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 from quillmesh.llm import secrets as S
+from tests.llm import battery as B
 from tests.llm.plain import base_spans
 
 DOCS = "doc_id long, text string"
@@ -161,3 +163,73 @@ def test_empty(spark):
 def test_plan_is_native(spark):
     plan = S.found_spans(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def _sample(n: int = 250) -> list[tuple[str, str]]:
+    rng = random.Random(8)
+    out = [(name, run) for name, runs in B.ordinary_runs().items() for run in rng.sample(runs, n)]
+    return out + [(name, B.random_run(rng, name, k)) for name, _, _ in S.ENCODINGS for k in (20, 27, 40, 300) for _ in range(30)]
+
+
+def test_battery_as_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    runs = [(name, run) for name, run in _sample() if not re.search(S.KNOWN, run)]
+    rows = spark.createDataFrame([(i, [run]) for i, (_, run) in enumerate(runs)], "i int, runs array<string>")
+    got = {r.i: r.s[0] for r in rows.select("i", S.scored(F.col("runs")).alias("s")).collect()}
+    for i, (name, run) in enumerate(runs):
+        n, *tests = B.battery(run, name)
+        m0, m1, s = S.ORDINARY[name]
+        assert abs(got[i].x - sum(tests) / S.UNLIKELY[name]) < 1e-6, run
+        z = (math.sqrt(sum(tests) / n) - (m0 - m1 / n)) / math.sqrt(s / n)
+        assert abs(got[i].z - min(S.HIGH, max(S.LOW, z))) < 1e-6, run
+
+
+def test_ordinary_runs_are_as_stated():
+    """The constants are what the fit gives; one in a thousand or so of ordinary runs is beyond 3.09, and of random ones too unlikely."""
+    rng = random.Random(2)
+    for name, (m0, m1, s) in S.ORDINARY.items():
+        again = B.fit(name)
+        for n in (20, 30, 60):
+            assert abs((again[0] - again[1] / n) - (m0 - m1 / n)) < 0.03 and abs(again[2] / s - 1) < 0.25, (name, again)
+        beyond = [sum(B.battery(B.random_run(rng, name, n), name)[1:]) > S.UNLIKELY[name] for n in (20, 40, 100) for _ in range(500)]
+        assert sum(beyond) <= 7, name
+
+
+def test_each_test_of_the_battery_counts():
+    """At the bar that one in 500 of ordinary runs passes, fewer random runs are found where a test is left out."""
+    rng = random.Random(4)
+
+    def found(name: str, made: list, used: list[int]) -> float:
+        root = lambda b: math.sqrt(sum(b[k] for k in used) / b[0])
+        usual = sorted(root(b) for b in ordinary)
+        return sum(root(b) < usual[len(usual) // 500] for b in made) / len(made)
+
+    for name, without in (("base64url", [2, 3]), ("hex", [2, 3]), ("lower36", [1, 3]), ("base32", [1, 3])):
+        made = [B.battery(B.random_run(rng, name, 24), name) for _ in range(300)]
+        ordinary = [B.battery(r, name) for r in B.ordinary_runs()[name] if len(r) < 40]
+        whole = found(name, made, [1, 2, 3])
+        assert whole > 0.85 and found(name, made, without) < whole - 0.1, name
+
+
+def test_identifiers_are_no_secrets(spark):
+    rng = random.Random(3)
+    names = [r for name, runs in B.ordinary_runs().items() if name != "hex" for r in rng.sample(runs, 340)]
+    keys = [B.random_run(rng, "alnum62", 32) for _ in range(300)]
+    found = S.found_spans(frame(spark, names + keys)).cache()
+    texts = names + keys
+    hits = [texts[r.doc_id][x.start : x.end] for r in S.scan_secrets(found).collect() for x in r.spans if x["rank"] == 3]
+    print(len(names), len(set(hits) & set(names)), len(set(hits) & set(keys)))
+    assert len(set(hits) & set(keys)) >= 285 and len(set(hits) - set(keys)) <= 0.05 * len(hits)
+    found.unpersist()
+
+
+def test_what_surrounds_a_base_span_is_tested_without_it(spark):
+    rng = random.Random(7)
+    sign = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    keys = [f"{sign(16)}xAKIA{'ABCDEFGH01234567'}x{HEX[:20]}x{sign(16)}" for _ in range(40)]
+    paths = [f"/srv/archive/projects/reports/{HEX[:32]}/summary/page{i}" for i in range(40)]
+    texts = [f"a {t} b" for t in keys + paths]
+    shown = {r.doc_id: r.text for r in S.redact_secrets(frame(spark, texts)).collect()}
+    assert sum(shown[i] == f"a {S.MARK} b" for i in range(40)) >= 36
+    assert all(shown[40 + i] == f"a /srv/archive/projects/reports/{S.MARK}/summary/page{i} b" for i in range(40))
