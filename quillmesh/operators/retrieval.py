@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as V
 from quillmesh.functions.text import lexical_score
+from quillmesh.operators.vectorindex import top_of_many
 from quillmesh.plans.components import durable
 
 #: Query rows up to which they are broadcast; their vectors then take a few megabytes.
@@ -20,49 +19,21 @@ BROADCAST_QUERIES = 1000
 def top_inner_product(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, id, score, rank``: the k rows of largest inner product for each query, ties to smaller ids.
 
-    Few queries are broadcast to the rows.  More of them, counted first, are dealt into blocks that
-    meet blocks of rows as matrices; a block leaves only its best k for each of its queries.
+    Few queries are broadcast to the rows.  For more of them, counted first, the rows are cut into blocks
+    whose bounds tell which queries must look at them (``vectorindex``); rows of another length than
+    the longest query then take no part.
     """
     n = queries.count()
     if n <= BROADCAST_QUERIES:
         side = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
         scored = base.crossJoin(side).select("query_id", F.col(id_col).alias("id"), V.dot(F.col(vector), F.col("_q")).alias("score"))
     else:
-        scored = _blocked(base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), queries.select("query_id", "vector"), k, n)
+        size = queries.agg(F.max(F.size("vector"))).first()[0]
+        return top_of_many(base.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")), queries, k, size)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def _blocked(base: DataFrame, queries: DataFrame, k: int, n: int) -> DataFrame:
-    parts = max(1, base.sparkSession.sparkContext.defaultParallelism)
-    groups = -(-n // BROADCAST_QUERIES)
-    kinds = dict(base.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    left = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(key: tuple, rows: Iterator[pd.DataFrame], asks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = pd.concat([*asks])
-        if not len(q):
-            return
-        matrix = np.array(q["vector"].tolist(), "f8")
-        for part in rows:  # a batch at a time
-            score = matrix @ np.array(part["v"].tolist(), "f8").T
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]),
-                    "id": part["id"].to_numpy()[best.ravel()],
-                    "score": np.take_along_axis(score, best, 1).ravel(),
-                }
-            )
-
-    def whole(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        found = [*meet(key, iter([rows.sort_values("id")] if len(rows) else []), iter([asks] if len(asks) else []))]
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(whole, f"query_id {kinds[1]}, id {kinds[0]}, score double")
-
-
 def fuse(hits: DataFrame, weights: Column, lists: int, rrf_k: int = 60) -> DataFrame:
     """``id, score``: one list keeps weighted scores; several add reciprocal ranks to the best weighted score."""
     best = F.max(weights * F.col("score"))

@@ -6,10 +6,14 @@ The first vectors are the queries: an original of weight 1 and two rewrites.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import modes, retrieval
+from quillmesh.operators.vectorindex import VectorIndex
+from quillmesh.plans.components import durable, shared_folder
 from quillmesh.sources.tables import table
 
 VARIANTS = ((0, 1.0), (1, 0.85), (2, 0.65))
@@ -174,6 +178,35 @@ def federated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("store", "vec_id", F.round("federated_score", 6).alias("federated_score"))
 
 
+def _index(spark: SparkSession) -> VectorIndex:
+    return VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", DIMENSIONS)
+
+
+def _found(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """The results as they are now; the index's folder is not needed any more."""
+    found = durable(index.search(queries, TOP))
+    index.drop()
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all of them, through the index of bounded blocks."""
+    v, index = _vectors(spark, sf_dir), _index(spark)
+    index.build(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return _found(index, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
+def vector_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after changes: a seventh of the vectors deleted, a seventh turned round, a seventh added later."""
+    v, index = _vectors(spark, sf_dir), _index(spark)
+    rows = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index.build(rows.filter("id % 7 != 1"))
+    index.delete(rows.filter("id % 7 = 3").select("id"))
+    index.replace(rows.filter("id % 7 = 5").select("id", F.reverse("vector").alias("vector")))
+    index.add(rows.filter("id % 7 = 1"))
+    return _found(index, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.operators.graph import relation_text
     from quillmesh.operators.evidence import edge_aggregate
@@ -192,6 +225,7 @@ QUERIES = {
     for f in (
         topk_inner_product, fused_multi_query, drift_filter, entity_search, community_search, vector_validation, index_id_consistency,
         stale_vectors, fresh_anti_join, family_collapse, rag_query, rescue_query, hybrid_query, global_key_entities, federated_topk, answer_context,
+        vector_index_search, vector_index_changes,
     )
 }
 
@@ -260,6 +294,20 @@ ORACLE = {
                row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
         FROM embeddings e, embeddings q WHERE q.vec_id < 5 QUALIFY rank <= {TOP}
     """,
+    "vector_index_search": f"""
+        SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
+        FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= {TOP}
+    """,
+    "vector_index_changes": f"""
+        WITH changed AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 5 THEN list_reverse(embedding) ELSE embedding END AS embedding
+            FROM embeddings WHERE vec_id % 7 <> 3
+        )
+        SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
+        FROM changed e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= {TOP}
+    """,
     "fused_multi_query": f"WITH {_hits(POOL)} SELECT id AS vec_id, round(score, 6) AS score FROM fused",
     "drift_filter": """
         SELECT e.vec_id AS idx FROM embeddings e, embeddings q WHERE q.vec_id = 0

@@ -211,6 +211,10 @@ class Snapshots:
         self._fs.delete(self._path(other.root), True)
         return number
 
+    def drop(self) -> None:
+        """Delete the folder with all versions; what was read lazily from it is lost."""
+        self._fs.delete(self._path(self.root), True)
+
     def vacuum(self, keep: int = 10, older: float = CLAIM_SECONDS) -> int:
         """Delete folders of tables that none of the ``keep`` newest versions names, unless written just now; returns how many."""
         kept = sorted(self._versions())[-keep:]
