@@ -215,6 +215,16 @@ class Snapshots:
         """Delete the folder with all versions; what was read lazily from it is lost."""
         self._fs.delete(self._path(self.root), True)
 
+    def erase_before(self, version: int) -> None:
+        """Delete what only versions before this one name, and those versions; what is being written isn't named yet and stays."""
+        older = [v for v in self._versions() if v < version]
+        paths = lambda v: {x["path"] for t in self.manifest(v).values() for x in (*t["parts"], *t["deletes"])}
+        kept = set().union(*(paths(v) for v in self._versions() if v >= version))
+        for path in set().union(*map(paths, older)) - kept:
+            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+        for v in older:
+            self._fs.delete(self._path(f"{self.root}/manifests/{v}.json"), False)
+
     def vacuum(self, keep: int = 10, older: float = CLAIM_SECONDS) -> int:
         """Delete folders of tables that none of the ``keep`` newest versions names, unless written just now; returns how many."""
         kept = sorted(self._versions())[-keep:]

@@ -11,8 +11,10 @@ they are.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -460,6 +462,30 @@ class KnowledgeStore(Snapshots):
         context = modes.answer_context(nodes, found["relations"], found["paths"], groups, found["passages"], found["entities"], groups)
         return modes.answer(context, query, chat)
 
+    def ask(self, mode: str, query: str, **params) -> tuple[list[dict] | str, bool]:
+        """What ``rag``, ``key_entities`` or ``answer`` gives, as plain values in order, and whether the cache held it.
+
+        A result holds for the store's version, its settings and models by name, and ``params``; with a
+        parameter that is a function it is computed each time.
+        """
+        if mode not in ("rag", "key_entities", "answer"):
+            raise ValueError("mode is rag, key_entities or answer")
+
+        def plain() -> list[dict] | str:
+            found = getattr(self, mode)(query, **params)
+            if isinstance(found, str):
+                return found
+            rows = [r.asDict(recursive=True) for r in found.collect()]  # as many as were asked for at most
+            if "rerank_rank" in found.columns:
+                rows.sort(key=lambda r: r["rerank_rank"])
+            return json.loads(json.dumps(rows, default=str))
+
+        if self.cache is None or any(callable(p) or isinstance(p, DataFrame) for p in params.values()):
+            return plain(), False
+        named = lambda f: f and getattr(f, "name", getattr(f, "__qualname__", type(f).__qualname__))
+        config = {**asdict(self.settings), "model": self.model, "planner": named(self.planner), "reranker": named(self.reranker)}
+        return self.cache.run(mode, query, lambda: str(self.version()), plain, config, params)
+
     def relation(self, edge_id: str) -> DataFrame:
         """A relation's detail with the evidence of each source."""
         edges = self.read("edges").filter(F.col("edge_id") == edge_id)
