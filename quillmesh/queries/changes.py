@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,12 +183,30 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "step int, name string, rows long")
 
 
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as kept results: all stored, clicks and then views stored anew for later states, what has expired pruned."""
+    from quillmesh.operators.results import ResultTable
+    from quillmesh.plans.components import durable, shared_folder
+
+    now = [dt.datetime(2024, 1, 1)]
+    kept = ResultTable(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}", most=2**62, most_bytes=2**62, clock=lambda: now[0])
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.lit("rag").alias("mode"), F.col("event_type").alias("query"), F.col("props").alias("body"))
+    for day, rows in ((1, e), (2, e.filter("query = 'click'")), (3, e.filter("query = 'view'"))):
+        now[0] = dt.datetime(2024, 1, day)
+        kept.put_many(rows.withColumn("state", F.lit(f"s{day}")))
+    now[0] = dt.datetime(2024, 1, 8, 12)
+    kept.prune()
+    found = durable(kept.entries("s3").select("key", "query", "state", "is_stale", "result_size", F.dayofmonth("created_at").alias("created"), F.dayofmonth("updated_at").alias("updated")))
+    kept.table.drop()
+    return found
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         documents_page, viz_nodes_page, graph_revision, cache_prune_lru, jobs_keep_newest, status_counts, cache_keys, scan_diff, cdc_classify, cdc_merged_state,
         cdc_latest_state, cdc_arrival, delete_document_cascade, delete_node_isolated_sources, integrity_violations, managed_paths, file_map, stream_cdc_foreachbatch,
-        store_ingest,
+        store_ingest, result_table,
     )
 }
 
@@ -214,6 +233,12 @@ _BATCH = """ends AS (
 )"""
 _TAKEN = "outcome IN ('created', 'updated', 'metadata_updated', 'deleted')"
 ORACLE = {
+    "result_table": """
+        SELECT event_id::VARCHAR AS "key", event_type AS query, CASE event_type WHEN 'click' THEN 's2' ELSE 's3' END AS state,
+               event_type = 'click' AS is_stale, octet_length(props::BLOB)::BIGINT AS result_size, 1 AS created,
+               CASE event_type WHEN 'click' THEN 2 ELSE 3 END AS updated
+        FROM events WHERE event_type IN ('click', 'view')
+    """,
     "documents_page": """
         SELECT doc_id, source, n_chars, (SELECT count(*) FROM documents) AS total, (SELECT ceil(count(*) / 20.0)::BIGINT FROM documents) AS pages
         FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40
