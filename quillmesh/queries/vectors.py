@@ -11,13 +11,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators import modes, retrieval
+from quillmesh.operators import evidence, graph, modes, planning, retrieval
 from quillmesh.operators.vectorindex import VectorIndex
 from quillmesh.plans.components import durable, shared_folder
-from quillmesh.sources.tables import table
+from quillmesh.sources.tables import SQL_EVIDENCE, SQL_NODES, edge_evidence, node_names, table
 
 VARIANTS = ((0, 1.0), (1, 0.85), (2, 0.65))
 TOP, POOL, RRF_K = 10, 40, 60
+#: What the graph is asked: a node's name and another's alias.
+GRAPH_QUERY = 'what ties "NATION_3" to "vendor 7"'
 DIMENSIONS = 64
 
 
@@ -145,11 +147,16 @@ def rescue_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused vector hits; chunks linked with the parts that the graph search found count more; then the pipeline."""
-    candidates = _candidates(spark, sf_dir)
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("node_id"))
-    nodes = table(spark, sf_dir, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("node_id"))
-    boosted = modes.anchored(candidates, links, nodes, 1.2)
+    """Nodes that bear the question's terms as names or aliases are walked from; chunks linked with what is reached count more; then the pipeline."""
+    terms = spark.range(1).select(planning.rule_terms(F.lit(GRAPH_QUERY))).first()[0]
+    asked = planning.entity_frame(spark, [planning.Entity(t, t) for t in terms])
+    hit = durable(graph.match_nodes(asked, node_names(spark, sf_dir), 0.9, fuzzy=False))
+    edges = evidence.edge_aggregate(edge_evidence(spark, sf_dir))
+    reached, _ = graph.expand(edges, hit.select("node_id", F.round(F.col("score") * -1e6).cast("long").alias("ord")), 1)
+    lines = table(spark, sf_dir, "lineitem")
+    link = lambda kind, key: lines.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("node_id"))
+    links = link("supplier", "l_suppkey").unionByName(link("part", "l_partkey"))
+    boosted = modes.anchored(_candidates(spark, sf_dir), links, reached, 1.2)
     found = retrieval.rag_query(boosted, QUERY, TOP, POOL, POOL, 0.6)
     return found.select("chunk_id", "family_id", F.round("score", 6).alias("score"), F.round("effective", 6).alias("effective"))
 
@@ -345,8 +352,14 @@ ORACLE = {
         SELECT chunk_id, round(score, 6) AS score, true AS low_confidence FROM collapsed WHERE score > 0 ORDER BY collapsed.score DESC, chunk_id LIMIT 2
     """,
     "hybrid_query": f"""
-        WITH {_CANDIDATES}, anchors AS (
-            SELECT DISTINCT l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3
+        WITH {_CANDIDATES}, {SQL_NODES}, {SQL_EVIDENCE}, hit AS (
+            SELECT node_id FROM nodes WHERE lower(keyword) IN ('nation_3', 'vendor 7') OR len(list_filter(aliases, lambda a: lower(a) IN ('nation_3', 'vendor 7'))) > 0
+        ), reached AS (
+            SELECT node_id FROM hit
+            UNION SELECT source_node_id FROM evidence WHERE target_node_id IN (FROM hit)
+            UNION SELECT target_node_id FROM evidence WHERE source_node_id IN (FROM hit)
+        ), anchors AS (
+            SELECT DISTINCT l_orderkey FROM lineitem WHERE 'supplier:' || l_suppkey IN (FROM reached) OR 'part:' || l_partkey IN (FROM reached)
         ), boosted AS (
             SELECT * REPLACE (CASE WHEN l_orderkey IS NULL THEN score ELSE score * 1.2 END AS score) FROM candidates LEFT JOIN anchors ON chunk_id = l_orderkey
         ), {_collapsed('boosted')}, {_reranked(QUERY.split())}, {_RAG}
