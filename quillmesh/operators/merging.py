@@ -22,6 +22,11 @@ BARS = (0.97, 0.94, 0.91, 0.88)
 WAYS = 1200
 #: Names that one task joins on a gram.
 GRAM_BLOCK = 1000
+#: Pairs of names that the first look scores, per pair asked for, nodes it takes of a name, and signs of the
+#: names it takes; any values give the same result.
+LOOK_PAIRS, LOOK_NODES, LOOK_SIGNS = 50, 3, 64
+#: Nodes whose edges are picked out by a broadcast instead of a shuffle of all edges.
+FEW_NODES = 100_000
 
 
 def _lost(length: Column, need: float) -> Column:
@@ -58,20 +63,40 @@ def similar_names(names: DataFrame, need: float) -> DataFrame:
     return found
 
 
+def _cut(s: Column) -> Column:
+    """A text with one of its signs lost, in all ways."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+
+def _met(made: DataFrame) -> DataFrame:
+    """``x, y, kept, n_x, n_y``: names of ``made(name, n, h, kept)`` that meet.
+
+    Rows aren't written before they are dealt by hash, and both sides read the same shuffle.
+    """
+    side = lambda x: made.select("h", "kept", F.col("name").alias(x), F.col("n").alias(f"n_{x}"))
+    return side("x").join(side("y"), ["h", "kept"]).filter("x < y")
+
+
+def _nearest_names(names: DataFrame, most: int) -> DataFrame:
+    """``x, y``: the ``most`` likeliest pairs among names that turn into each other by losing one sign or each losing one; not all."""
+    sized = names.filter((F.col("name") != "") & (F.length("name") <= LOOK_SIGNS)).select("name", F.length("name").alias("n"))
+    left = F.array_distinct(F.concat(F.array("name"), _cut(F.col("name"))))
+    made = sized.select("name", "n", F.explode(left).alias("v")).select("name", "n", F.xxhash64("v").alias("h"), F.length("v").alias("kept"))
+    near = _met(made.filter("kept > 0")).groupBy("x", "y").agg(F.max(F.col("kept") / (F.col("n_x") + F.col("n_y"))).alias("near"))
+    return near.orderBy(F.desc("near"), "x", "y").limit(most).select("x", "y")
+
+
 def _by_losses(sized: DataFrame, need: float) -> DataFrame:
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
     most = sized.agg(F.max(_lost(F.col("n"), need))).first()[0] or 0
     level, levels = F.array("name"), []
     rows = sized
     for j in range(most + 1):
         rows = rows.withColumn(f"_{j}", F.when(_lost(F.col("n"), need) >= j, level))
         levels.append(F.transform(f"_{j}", lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("kept"))))
-        level = F.array_distinct(F.flatten(F.transform(f"_{j}", cut)))
+        level = F.array_distinct(F.flatten(F.transform(f"_{j}", _cut)))
     some = F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.expr("cast(array() AS array<struct<h:bigint,kept:int>>)")) for x in levels])))
-    made = durable(rows.select("name", "n", F.explode(some).alias("v")).select("name", "n", "v.h", "v.kept").filter("kept > 0"))
-    side = lambda x: made.select("h", "kept", F.col("name").alias(x), F.col("n").alias(f"n_{x}"))
-    met = side("x").join(side("y"), ["h", "kept"]).filter((F.col("x") < F.col("y")) & (2.0 * F.col("kept") >= (need - 1e-9) * (F.col("n_x") + F.col("n_y"))))
-    return met.select("x", "y").distinct()
+    made = rows.select("name", "n", F.explode(some).alias("v")).select("name", "n", "v.h", "v.kept").filter("kept > 0")
+    return _met(made).filter(2.0 * F.col("kept") >= (need - 1e-9) * (F.col("n_x") + F.col("n_y"))).select("x", "y").distinct()
 
 
 def gram_width(need: float) -> int:
@@ -111,9 +136,10 @@ def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: in
 
     A pair's lexical similarity is the best of its terms, names and aliases; its score is that, or, where
     more, the terms, summaries and neighbours by their shares.  No pair is lost: a score of T
-    needs a lexical similarity of (T - 0.35) / 0.65, for which ``similar_names`` searches all terms.  The
-    bar T is lowered until ``limit`` pairs are found, and then set to the score of the last of them.
-    ``least`` must exceed 0.35, as below it terms needn't have anything in common.  Order:
+    needs a lexical similarity of (T - 0.35) / 0.65, for which ``similar_names`` searches all terms.  A first
+    look at some near names finds ``limit`` pairs where it can; the last of their scores is a bar that as many pairs
+    reach.  Else, and where a higher one may do, the bar T is lowered until ``limit`` pairs are found, and then set to
+    the score of the last of them.  ``edges`` may be raw evidence: what counts is which relations there are.  ``least`` must exceed 0.35, as below it terms needn't have anything in common.  Order:
     score, names, ids.
     """
     if not least > SUMMARY_SHARE + NEIGHBOUR_SHARE:
@@ -129,7 +155,8 @@ def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: in
         need = (bar - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE - 1e-9
         return durable(_scored(of, named, durable(similar_names(names, need)), signatures, need, least, limit).orderBy(*order).limit(limit))
 
-    for bar in (*[x for x in BARS if x > least], least):
+    floor = _look(of, named, names, signatures, least, limit)
+    for bar in (*[x for x in BARS if x > floor + 0.01], floor):
         found = search(bar)
         last = found.agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
         if last["n"] == limit:
@@ -139,9 +166,25 @@ def fuzzy_candidates(nodes: DataFrame, edges: DataFrame, least: float, limit: in
     return found.orderBy(*order).select("a", "b", "score")
 
 
+def _look(of: DataFrame, named: DataFrame, names: DataFrame, signatures: Callable[[DataFrame], DataFrame], least: float, limit: int) -> float:
+    """A score that ``limit`` pairs of nodes reach, told by some of the nearest names and some of their nodes; else ``least``."""
+    pairs = durable(_nearest_names(names, LOOK_PAIRS * limit))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("term")).distinct()
+    order = Window.partitionBy("term").orderBy("node_id")
+    some = of.join(asked, "term", "left_semi").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LOOK_NODES).drop("_r")
+    # all terms of these nodes, so that pairs which share one are told
+    few = durable(of.join(some.select("node_id").distinct(), "node_id", "left_semi"))
+    need = (least - SUMMARY_SHARE - NEIGHBOUR_SHARE) / NAME_SHARE - 1e-9
+    found = _scored(few, named, pairs, signatures, need, least, limit).select("score").orderBy(F.desc("score")).limit(limit)
+    last = found.agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+    return max(least, last["score"]) if last["n"] == limit else least
+
+
 def _touching(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges of the pairs' nodes."""
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct())
+    if ends.count() <= FEW_NODES:
+        ends = F.broadcast(ends)
     out, back = (edges.join(ends.withColumnRenamed("node_id", c), c, "left_semi") for c in ("source_node_id", "target_node_id"))
     return out.unionByName(back).select("source_node_id", "relation", "target_node_id").distinct()
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import norm_key
 from quillmesh.operators import evidence, graph, merging, organise, planning
-from quillmesh.plans.components import durable
 from quillmesh.sources.tables import SQL_EDGES, SQL_EVIDENCE, SQL_NODES, edge_evidence, node_names, table
 
 START = "nation:3"
@@ -221,7 +220,7 @@ def merge_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_candidates_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of all pairs of all nodes that share no term."""
-    return merging.fuzzy_candidates(node_names(spark, sf_dir), durable(_edges(spark, sf_dir)), 0.86)
+    return merging.fuzzy_candidates(node_names(spark, sf_dir), edge_evidence(spark, sf_dir), 0.86)
 
 
 def keep_node(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,19 @@ def test_similar_names_are_all_found(spark, ways, monkeypatch):
     assert M.similar_names(spark.createDataFrame([], "name string"), 0.9).isEmpty()
 
 
+def test_names_are_searched_no_wider_than_the_list_needs(spark, monkeypatch):
+    """A first look tells the bar, so terms aren't spread into all they turn into below it, and the spread is never written."""
+    needs, written, search, keep = [], [], M.similar_names, M.durable
+    monkeypatch.setattr(M, "similar_names", lambda names, need: needs.append(need) or search(names, need))
+    monkeypatch.setattr(M, "durable", lambda df: written.append(df.columns) or keep(df))
+    rows = [(f"n{i:02}", f"serial {i * 37:07}", "same", []) for i in range(60)]
+    links = spark.createDataFrame([("e1", "n00", "r", "n01")], LINKS)
+    got = M.fuzzy_candidates(spark.createDataFrame(rows, ROWS), links, 0.7, 5).collect()
+    assert [(r.a, r.b, round(r.score, 9)) for r in got] == [(a, b, -s) for s, _, _, a, b, _ in brute(rows, [("e1", "n00", "r", "n01")], 0.7)[:5]]
+    assert min(needs) >= (got[-1].score - 0.35) / 0.65 - 1e-6
+    assert not any("h" in columns for columns in written)
+
+
 def test_query_has_pairs_below_one(spark, sf_dir):
     from quillmesh.queries import graphs
 
