@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that one task sorts or groups where their number is known.
+TASK_ROWS = 250_000
+#: Rows up to which a table of nodes is broadcast; their number is always counted before.
+FEW_NODES = 500_000
+EDGE = ("source_node_id", "relation", "target_node_id")
+
+
+def dealt(frame: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """``frame`` dealt by ``keys`` to tasks of about ``TASK_ROWS``, so that a task's memory doesn't follow the input; as Spark deals it where ``rows`` isn't known."""
+    if rows is None:
+        return frame.repartition(*keys)
+    return frame.repartition(max(math.ceil(rows / TASK_ROWS), frame.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """``frame`` marked for a broadcast if it has few rows."""
+    return F.broadcast(frame) if frame.count() <= FEW_NODES else frame
+
+
 def edge_key() -> Column:
     """Edge identity is (source, relation, target)."""
     return F.concat_ws("|", "source_node_id", "relation", "target_node_id")
@@ -18,13 +39,19 @@ def edge_bindings(raw: DataFrame) -> DataFrame:
     )
 
 
-def edge_aggregate(raw: DataFrame) -> DataFrame:
-    """``edge_id, …, weight, support_count``: edges without evidence don't appear."""
-    return (
-        edge_bindings(raw)
-        .groupBy("edge_id", "source_node_id", "relation", "target_node_id")
-        .agg(F.max("evidence_weight").alias("weight"), F.count("*").alias("support_count"))
-    )
+def edge_aggregate(raw: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edge_id, …, weight, support_count``: edges without evidence don't appear.
+
+    Evidence is shuffled once, by edge, without the edge's id; ``rows`` is its number where known.
+    """
+    bound = dealt(raw.select(*EDGE, "source_id", "evidence_weight"), rows, *EDGE).groupBy(*EDGE, "source_id").agg(F.max("evidence_weight").alias("w"))
+    found = bound.groupBy(*EDGE).agg(F.max("w").alias("weight"), F.count("*").alias("support_count"))
+    return found.select(edge_key().alias("edge_id"), *EDGE, "weight", "support_count")
+
+
+def edge_names(raw: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edge_id, …`` of the edges that evidence tells, where weights and counts don't matter."""
+    return dealt(raw.select(*EDGE), rows, *EDGE).distinct().select(edge_key().alias("edge_id"), *EDGE)
 
 
 def node_bindings(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import comparison_key
-from quillmesh.operators.evidence import edge_key, terms
+from quillmesh.operators.evidence import FEW_NODES, dealt, edge_key, small, terms
 from quillmesh.operators.graph import numbered
 from quillmesh.plans.components import connected_components, durable
 
@@ -62,10 +62,13 @@ def redirects(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep_nodes(groups, nodes)
 
 
-def rewire(evidence: DataFrame, moves: DataFrame) -> DataFrame:
-    """Raw evidence with both ends redirected, without self-loops; duplicates keep the larger weight."""
-    to = lambda c: moves.select(F.col("node_id").alias(c), F.col("keep_id").alias(f"{c}_kept"))
-    moved = evidence.join(to("source_node_id"), "source_node_id", "left").join(to("target_node_id"), "target_node_id", "left")
+def redirected(evidence: DataFrame, moves: DataFrame, rows: int | None = None) -> DataFrame:
+    """Raw evidence with both ends redirected, without self-loops; few moves are broadcast, else ``rows`` pieces of evidence are dealt by their ends."""
+    few = moves.count() <= FEW_NODES
+    moved = evidence
+    for c in ("source_node_id", "target_node_id"):
+        to = moves.select(F.col("node_id").alias(c), F.col("keep_id").alias(f"{c}_kept"))
+        moved = moved.join(F.broadcast(to), c, "left") if few else dealt(moved, rows, c).join(to, c, "left")
     ends = moved.select(
         F.coalesce("source_node_id_kept", "source_node_id").alias("source_node_id"), "relation",
         F.coalesce("target_node_id_kept", "target_node_id").alias("target_node_id"), "source_id", "evidence_weight",

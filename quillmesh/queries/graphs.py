@@ -13,7 +13,8 @@ START = "nation:3"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.edge_aggregate(edge_evidence(spark, sf_dir))
+    raw = edge_evidence(spark, sf_dir)
+    return evidence.edge_aggregate(raw, raw.count())
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +238,9 @@ def node_merge_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node_id"),
         F.concat(F.lit("supplier:"), (F.col("s_suppkey") - F.col("s_suppkey") % 2).cast("string")).alias("keep_id"),
     )
-    merged = evidence.edge_aggregate(organise.rewire(edge_evidence(spark, sf_dir), moves))
+    raw = edge_evidence(spark, sf_dir)
+    rows = raw.count()
+    merged = evidence.edge_aggregate(organise.redirected(raw, moves, rows), rows)
     return merged.select("edge_id", F.round("weight", 6).alias("weight"), "support_count")
 
 

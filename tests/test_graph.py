@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.operators import evidence as E
 from quillmesh.operators import graph as G
@@ -141,3 +142,24 @@ def test_ratio_never_exceeds_its_bound(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     for r in df.select("a", "b", ratio_bound(df.a, df.b).alias("most"), difflib_ratio("a", "b").alias("ratio")).collect():
         assert r.ratio == SequenceMatcher(None, r.a, r.b).ratio() <= r.most + 1e-9
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_tasks_of_redirected_edges_follow_the_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(O, "FEW_NODES", few)
+    monkeypatch.setattr(E, "TASK_ROWS", 10)
+    raw = [(f"s{i % 7}", "r", f"t{i % 3}", i % 5, i / 100) for i in range(100)] + [("s1", "r", "s0", 9, 0.5), ("s2", None, "t1", 9, 0.5)]
+    frame = spark.createDataFrame(raw, "source_node_id string, relation string, target_node_id string, source_id long, evidence_weight double")
+    moves = spark.createDataFrame([("s1", "s0"), ("s3", "s2"), ("t2", "t0")], "node_id string, keep_id string")
+    to, want = {"s1": "s0", "s3": "s2", "t2": "t0"}, {}
+    for s, r, t, source, w in raw:
+        s, t = to.get(s, s), to.get(t, t)
+        if s != t:
+            want.setdefault((s, r, t), []).append((source, w))
+    found = E.edge_aggregate(O.redirected(frame, moves, len(raw)), len(raw))
+    assert {(r.source_node_id, r.relation, r.target_node_id): (r.weight, r.support_count) for r in found.collect()} == {
+        k: (max(w for _, w in v), len({s for s, _ in v})) for k, v in want.items()
+    }
+    assert found.rdd.getNumPartitions() == 11
+    names = E.edge_names(frame, len(raw))
+    assert {r.edge_id for r in names.collect()} == {r.edge_id for r in E.edge_aggregate(frame).collect()} and names.count() == E.edge_aggregate(frame).count()
