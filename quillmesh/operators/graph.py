@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import comparison_key, norm_keys_full
 from quillmesh.operators import textindex
+from quillmesh.operators.evidence import small
 from quillmesh.plans.components import durable
 
 DIRECTIONS = ("forward", "backward", "both")
@@ -89,7 +90,7 @@ def expand(edges: DataFrame, start: DataFrame, depth: int, direction: str = "bot
     visited = frontier
     touched = edges.sparkSession.createDataFrame([], "edge_id string, hop int, ord long")
     for hop in range(1, depth + 1):
-        here = frontier.select(F.col("node_id").alias("at"), "pos")
+        here = small(frontier.select(F.col("node_id").alias("at"), "pos"))
         found = durable(near.join(here, "at").select("at", "near", "edge_id", (2 * F.col("pos") + F.col("dir_rank")).alias("ord")))
         touched = touched.unionByName(found.groupBy("edge_id").agg(F.min("ord").alias("ord")).withColumn("hop", F.lit(hop)))
         new = found.join(visited.select(F.col("node_id").alias("near")), "near", "left_anti")
@@ -104,6 +105,27 @@ def expand(edges: DataFrame, start: DataFrame, depth: int, direction: str = "bot
     return visited, first_hop
 
 
+def distances(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both", most_depth: int = 10) -> DataFrame:
+    """``node_id, depth`` of the nodes within ``depth`` hops of ``start(node_id)``: ``expand`` where ways don't matter.
+
+    ``edges`` may be raw evidence, which is read anew each hop and never written; frontiers of few nodes are
+    broadcast, larger ones shuffle the two ends of what is told.
+    """
+    if not 0 <= depth <= most_depth:
+        raise ValueError(f"depth must lie in 0..{most_depth}")
+    near = adjacency(edges.select("source_node_id", "target_node_id"), direction).select("at", "near")
+    frontier = durable(start.select("node_id", F.lit(0).alias("depth")).distinct())
+    visited = frontier
+    for hop in range(1, depth + 1):
+        here = small(frontier.select(F.col("node_id").alias("at")))
+        new = near.join(here, "at", "left_semi").select(F.col("near").alias("node_id")).distinct()
+        frontier = durable(new.join(visited, "node_id", "left_anti").select("node_id", F.lit(hop).alias("depth")))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited
+
+
 def traces(visited: DataFrame, most: int) -> DataFrame:
     """``node, depth, pos, trace`` of the first ``most`` nodes two hops away or more: steps from the start, followed back by parents."""
     step = lambda: F.struct(F.col("parent").alias("from"), "edge_id", "direction", F.col("node_id").alias("to"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import clip
+from quillmesh.operators.evidence import small
 from quillmesh.operators.retrieval import read_text
 from quillmesh.plans.components import durable
 
@@ -18,7 +19,7 @@ def anchored(scores: DataFrame, chunk_links: DataFrame, nodes: DataFrame, factor
     """Scores of chunks that are linked with a found node, times ``factor`` (1 or more)."""
     if not factor >= 1:
         raise ValueError("the factor must be 1 or more")
-    near = chunk_links.join(nodes.select("node_id"), "node_id", "left_semi").select("chunk_id").distinct().withColumn("_near", F.lit(True))
+    near = chunk_links.join(small(nodes.select("node_id")), "node_id", "left_semi").select("chunk_id").distinct().withColumn("_near", F.lit(True))
     boosted = scores.join(near, "chunk_id", "left")
     return boosted.withColumn("score", F.when(F.col("_near"), F.col("score") * factor).otherwise(F.col("score"))).drop("_near")
 

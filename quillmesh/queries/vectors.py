@@ -151,8 +151,7 @@ def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.range(1).select(planning.rule_terms(F.lit(GRAPH_QUERY))).first()[0]
     asked = planning.entity_frame(spark, [planning.Entity(t, t) for t in terms])
     hit = durable(graph.match_nodes(asked, node_names(spark, sf_dir), 0.9, fuzzy=False))
-    edges = evidence.edge_aggregate(edge_evidence(spark, sf_dir))
-    reached, _ = graph.expand(edges, hit.select("node_id", F.round(F.col("score") * -1e6).cast("long").alias("ord")), 1)
+    reached = graph.distances(edge_evidence(spark, sf_dir), hit, 1)
     lines = table(spark, sf_dir, "lineitem")
     link = lambda kind, key: lines.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("node_id"))
     links = link("supplier", "l_suppkey").unionByName(link("part", "l_partkey"))

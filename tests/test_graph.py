@@ -144,6 +144,19 @@ def test_ratio_never_exceeds_its_bound(spark):
         assert r.ratio == SequenceMatcher(None, r.a, r.b).ratio() <= r.most + 1e-9
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_distances_are_those_of_expansion_and_write_no_edges(spark, edges, few, monkeypatch):
+    monkeypatch.setattr(E, "FEW_NODES", few)
+    start = spark.createDataFrame([("node-kg", 1)], "node_id string, ord long")
+    twice = edges.unionByName(edges)
+    for direction in G.DIRECTIONS:
+        want = {(r.node_id, r.depth) for r in G.expand(edges, start, 3, direction)[0].collect()}
+        got = G.distances(twice, start, 3, direction).collect()
+        assert {(r.node_id, r.depth) for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        G.distances(edges, start, 11)
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_tasks_of_redirected_edges_follow_the_rows(spark, few, monkeypatch):
     monkeypatch.setattr(O, "FEW_NODES", few)
