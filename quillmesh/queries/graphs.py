@@ -93,7 +93,7 @@ def _start(spark: SparkSession) -> DataFrame:
 
 
 def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visited, _ = graph.expand(_edges(spark, sf_dir), _start(spark), 3)
+    visited = graph.distances(edge_evidence(spark, sf_dir), _start(spark), 3)
     return visited.select("node_id", F.col("depth").cast("long").alias("depth"))
 
 

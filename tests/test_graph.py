@@ -157,6 +157,16 @@ def test_distances_are_those_of_expansion_and_write_no_edges(spark, edges, few,
         G.distances(edges, start, 11)
 
 
+@pytest.mark.parametrize("name", ["bfs_distance", "hybrid_query"])
+def test_queries_of_distances_write_no_edges(spark, sf_dir, name, monkeypatch):
+    from quillmesh import catalog
+
+    written, keep = [], G.durable
+    monkeypatch.setattr(G, "durable", lambda df: written.append(df.columns) or keep(df))
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+    assert written and not any("edge_id" in columns for columns in written)
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_tasks_of_redirected_edges_follow_the_rows(spark, few, monkeypatch):
     monkeypatch.setattr(O, "FEW_NODES", few)
