@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import comparison_key, difflib_ratio
-from quillmesh.operators.evidence import terms
+from quillmesh.operators.evidence import small, terms
 from quillmesh.operators.organise import exact_candidates, neighbour_jaccard, neighbour_signatures
 from quillmesh.plans.components import durable
 
@@ -25,8 +25,6 @@ GRAM_BLOCK = 1000
 #: Pairs of names that the first look scores, per pair asked for, nodes it takes of a name, and signs of the
 #: names it takes; any values give the same result.
 LOOK_PAIRS, LOOK_NODES, LOOK_SIGNS = 50, 3, 64
-#: Nodes whose edges are picked out by a broadcast instead of a shuffle of all edges.
-FEW_NODES = 100_000
 
 
 def _lost(length: Column, need: float) -> Column:
@@ -182,9 +180,7 @@ def _look(of: DataFrame, named: DataFrame, names: DataFrame, signatures: Callabl
 
 def _touching(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges of the pairs' nodes."""
-    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct())
-    if ends.count() <= FEW_NODES:
-        ends = F.broadcast(ends)
+    ends = small(durable(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()))
     out, back = (edges.join(ends.withColumnRenamed("node_id", c), c, "left_semi") for c in ("source_node_id", "target_node_id"))
     return out.unionByName(back).select("source_node_id", "relation", "target_node_id").distinct()
 

@@ -11,23 +11,32 @@ from quillmesh.operators.graph import numbered
 from quillmesh.plans.components import connected_components, durable
 
 
-def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=comparison_key) -> DataFrame:
-    """``node_id, signature``: ``out:relation:target`` and ``in:relation:source`` by name."""
+def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=comparison_key, of: DataFrame | None = None) -> DataFrame:
+    """``node_id, signature``: ``out:relation:target`` and ``in:relation:source`` by name, of all nodes or of those in ``of(node_id)``.
+
+    ``edges`` may be raw evidence: what is told twice counts once.  A relation's key is made once, not an edge.
+    """
+    said = small(durable(edges.select("relation").distinct().select("relation", key(F.col("relation")).alias("said"))))
+    edges = edges.join(said, "relation", "left")
+    ends = None if of is None else small(durable(of.select("node_id").distinct()))
+    own = lambda c: edges if ends is None else edges.join(ends.withColumnRenamed("node_id", c), c, "left_semi")
     name = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node_id"), key(F.col("keyword")).alias(c))
-    out = edges.join(name("target"), "target_node_id").select(F.col("source_node_id").alias("node_id"), F.concat_ws(":", F.lit("out"), key(F.col("relation")), "target").alias("signature"))
-    back = edges.join(name("source"), "source_node_id").select(F.col("target_node_id").alias("node_id"), F.concat_ws(":", F.lit("in"), key(F.col("relation")), "source").alias("signature"))
+    out = own("source_node_id").join(name("target"), "target_node_id").select(F.col("source_node_id").alias("node_id"), F.concat_ws(":", F.lit("out"), "said", "target").alias("signature"))
+    back = own("target_node_id").join(name("source"), "source_node_id").select(F.col("target_node_id").alias("node_id"), F.concat_ws(":", F.lit("in"), "said", "source").alias("signature"))
     return out.unionByName(back).distinct()
 
 
 def neighbour_jaccard(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """``a, b, jaccard`` of the pairs' signature sets, 0 where one is empty."""
-    size = signatures.groupBy("node_id").agg(F.count("*").alias("n"))
-    side = lambda x: signatures.select(F.col("node_id").alias(x), "signature")
-    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "signature"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    of = lambda x: size.select(F.col("node_id").alias(x), F.col("n").alias(f"n_{x}"))
-    joined = pairs.join(shared, ["a", "b"], "left").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    both = F.coalesce(F.col("shared"), F.lit(0))
-    return joined.select("a", "b", F.when(F.col("n_a").isNull() | F.col("n_b").isNull(), 0.0).otherwise(both / (F.col("n_a") + F.col("n_b") - both)).alias("jaccard"))
+    side = lambda x: F.struct(F.col(x).alias("node_id"), F.lit(1 if x == "a" else 2).alias("side"))
+    ends = pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("e")).select("e.node_id", "a", "b", "e.side")
+    # signatures are read once: which sides of a pair have one
+    held = signatures.join(small(ends), "node_id").groupBy("a", "b", "signature").agg(F.sum("side").alias("sides"))
+    is_ = lambda *sides: F.count(F.when(F.col("sides").isin(*sides), 1))
+    counted = held.groupBy("a", "b").agg(is_(1, 3).alias("n_a"), is_(2, 3).alias("n_b"), is_(3).alias("shared"))
+    joined = pairs.join(counted, ["a", "b"], "left")
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    return joined.select("a", "b", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("shared") / union).otherwise(0.0).alias("jaccard"))
 
 
 def exact_merges(nodes: DataFrame, key=comparison_key) -> DataFrame:
@@ -73,7 +82,12 @@ def redirected(evidence: DataFrame, moves: DataFrame, rows: int | None = None) -
         F.coalesce("source_node_id_kept", "source_node_id").alias("source_node_id"), "relation",
         F.coalesce("target_node_id_kept", "target_node_id").alias("target_node_id"), "source_id", "evidence_weight",
     )
-    return ends.filter("source_node_id != target_node_id").groupBy("source_node_id", "relation", "target_node_id", "source_id").agg(F.max("evidence_weight").alias("evidence_weight"))
+    return ends.filter("source_node_id != target_node_id")
+
+
+def rewire(evidence: DataFrame, moves: DataFrame) -> DataFrame:
+    """``redirected`` evidence whose duplicates keep the larger weight."""
+    return redirected(evidence, moves).groupBy("source_node_id", "relation", "target_node_id", "source_id").agg(F.max("evidence_weight").alias("evidence_weight"))
 
 
 def merge_names(nodes: DataFrame, moves: DataFrame) -> DataFrame:

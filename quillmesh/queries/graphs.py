@@ -211,7 +211,8 @@ def neighbor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") + 1).cast("string")).alias("b")
     )
-    found = organise.neighbour_jaccard(pairs, organise.neighbour_signatures(_edges(spark, sf_dir), node_names(spark, sf_dir)))
+    of = pairs.select(F.explode(F.array("a", "b")).alias("node_id"))
+    found = organise.neighbour_jaccard(pairs, organise.neighbour_signatures(edge_evidence(spark, sf_dir), node_names(spark, sf_dir), of=of))
     return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

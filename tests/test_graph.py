@@ -186,3 +186,22 @@ def test_tasks_of_redirected_edges_follow_the_rows(spark, few, monkeypatch):
     assert found.rdd.getNumPartitions() == 11
     names = E.edge_names(frame, len(raw))
     assert {r.edge_id for r in names.collect()} == {r.edge_id for r in E.edge_aggregate(frame).collect()} and names.count() == E.edge_aggregate(frame).count()
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_neighbours_of_pairs_told_twice(spark, few, monkeypatch):
+    """Evidence told twice counts once, pairs asked twice count alike, keys of relations aren't made edge by edge."""
+    monkeypatch.setattr(E, "FEW_NODES", few)
+    nodes = spark.createDataFrame([(x, x.upper()) for x in "abcde"], "node_id string, keyword string")
+    rows = [("a", "R", "c"), ("a", "R", "c"), ("b", "r", "c"), ("b", "r", "d"), ("e", None, "a"), ("e", None, "b")]
+    edges = spark.createDataFrame(rows, "source_node_id string, relation string, target_node_id string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("a", "z")], "a string, b string")
+    every = O.neighbour_signatures(edges, nodes)
+    assert {(r.node_id, r.signature) for r in every.collect()} == {
+        ("a", "out:r:c"), ("b", "out:r:c"), ("b", "out:r:d"), ("c", "in:r:a"), ("c", "in:r:b"), ("d", "in:r:b"), ("a", "in:e"), ("b", "in:e"), ("e", "out:a"), ("e", "out:b"),
+    }
+    assert every.count() == 10
+    some = O.neighbour_signatures(edges, nodes, of=pairs.select(F.col("a").alias("node_id")).unionByName(pairs.select(F.col("b").alias("node_id"))))
+    assert {r.node_id for r in some.collect()} == {"a", "b"}
+    got = sorted((r.a, r.b, round(r.jaccard, 6)) for r in O.neighbour_jaccard(pairs, some).collect())
+    assert got == [("a", "a", 1.0), ("a", "b", 0.666667), ("a", "b", 0.666667), ("a", "z", 0.0)]
