@@ -203,7 +203,7 @@ def draft_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbor_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return organise.neighbour_signatures(_edges(spark, sf_dir), node_names(spark, sf_dir))
+    return organise.neighbour_signatures(edge_evidence(spark, sf_dir), node_names(spark, sf_dir))
 
 
 def neighbor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
