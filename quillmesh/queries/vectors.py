@@ -215,10 +215,10 @@ def vector_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.operators.graph import relation_text
-    from quillmesh.operators.evidence import edge_aggregate
     from quillmesh.sources.tables import edge_evidence, node_names
 
-    nodes, edges = node_names(spark, sf_dir).filter("node_id LIKE 'nation%'"), edge_aggregate(edge_evidence(spark, sf_dir))
+    raw = edge_evidence(spark, sf_dir)
+    nodes, edges = node_names(spark, sf_dir).filter("node_id LIKE 'nation%'"), evidence.edge_names(raw, raw.count())
     texts = relation_text(edges, node_names(spark, sf_dir))
     groups = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("summary"))
     return modes.answer_context(
