@@ -7,15 +7,15 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import TOKEN, token_count, token_parts
 
 LEVELS = ("small", "medium", "large")
-#: Chunks handed back at a time.
-ROWS = 4096
+#: Chunks, and signs of them, handed back at a time; texts taken from a batch at a time.
+ROWS, SIGNS, TEXTS = 4096, 4_000_000, 16
 _token = re.compile(TOKEN)
 
 
@@ -241,16 +241,43 @@ def boundary_chunks(text: str, boundaries: Callable[[list[str]], list[tuple[int,
     return out
 
 
+def _spread(docs: DataFrame, key: str, text: str, schema: str, rows_of: Callable[[object, str], Iterator[tuple]], at: int) -> DataFrame:
+    """Rows that a function makes of a key and a text; the column numbered ``at`` holds their signs.
+
+    Texts become Python's a few at a time and rows go back before they are many or long, so a task holds
+    one batch of Arrow's bytes and little else, however many texts or parts there are.
+    """
+    fields = docs.sparkSession.createDataFrame([], schema).schema
+    names = fields.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(fields)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names)
+        for batch in batches:
+            held, signs = [], 0
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    for row in rows_of(k, t) if t else ():
+                        held.append(row)
+                        signs += len(row[at])
+                        if len(held) >= ROWS or signs >= SIGNS:
+                            yield made(held)
+                            held, signs = [], 0
+            if held:
+                yield made(held)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
 def explode_parts(docs: DataFrame, split: Callable[[str], list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, part_index, part`` by a function from text to parts, Arrow batch by batch."""
     kind = dict(docs.dtypes)[key]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, p) for k, t in zip(frame[key], frame[text], strict=True) if t for i, p in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=[key, "part_index", "part"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, part_index long, part string")
+    rows_of = lambda k, t: ((k, i, p) for i, p in enumerate(split(t)))
+    return _spread(docs, key, text, f"{key} {kind}, part_index long, part string", rows_of, 2)
 
 
 def boundary_spans(text: str, boundaries: Callable[[list[str]], list[tuple[int, int]]], starts: list[int], most: int) -> list[tuple[int, int]]:
@@ -318,7 +345,6 @@ def semantic_hierarchy(
         raise ValueError("sizes must grow from small to large")
     _check(sizes[1], overlap)
     kind = dict(docs.dtypes)[key]
-    columns = [key, "chunk_index", "granularity", "token_start", "token_end", "parent_granularity", "parent_start", "content", "semantic"]
 
     def levels_of(t: str, starts: list[int]) -> tuple[list[list[tuple[int, int]]], bool]:
         if boundaries is not None:
@@ -332,20 +358,11 @@ def semantic_hierarchy(
                 return [leaves, medium, group_spans(medium, sizes[2])], True
         return [mechanical_spans(len(starts), size, min(size - 1, round(size * overlap / sizes[1]))) for size in sizes], False
 
-    def told(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"parent_start": "Int64"})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for frame in frames:
-            for k, t in zip(frame[key], frame[text], strict=True):
-                tokens = token_spans(t or "")
-                levels, semantic = levels_of(t or "", [a for a, _ in tokens])
-                for i, (level, a, e, up) in enumerate(span_tree(levels)):
-                    rows.append((k, i, LEVELS[level], a, e, LEVELS[up[0]] if up else None, up[1] if up else None, t[tokens[a][0] : tokens[e - 1][1]], semantic))
-                if len(rows) >= ROWS:
-                    yield told(rows)
-                    rows = []
-        yield told(rows)
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index long, granularity string, token_start long, token_end long, parent_granularity string, parent_start long, content string, semantic boolean")
+    def rows_of(k: object, t: str) -> Iterator[tuple]:
+        tokens = token_spans(t)
+        levels, semantic = levels_of(t, [a for a, _ in tokens])
+        for i, (level, a, e, up) in enumerate(span_tree(levels)):
+            yield k, i, LEVELS[level], a, e, LEVELS[up[0]] if up else None, up[1] if up else None, t[tokens[a][0] : tokens[e - 1][1]], semantic
+
+    schema = f"{key} {kind}, chunk_index long, granularity string, token_start long, token_end long, parent_granularity string, parent_start long, content string, semantic boolean"
+    return _spread(docs, key, text, schema, rows_of, 7)

@@ -151,3 +151,35 @@ def test_semantic_hierarchy_falls_back(spark):
         assert {r.doc_id for r in rows} == {2, 3} and not any(r.semantic for r in rows if r.doc_id == 2)
     with pytest.raises(ValueError):
         C.semantic_hierarchy(docs, None, (4, 4, 64), 1)
+
+
+def test_parts_go_back_before_they_are_many_or_long(spark, monkeypatch):
+    """Texts of a batch become Python's a few at a time, and their parts leave it before the batch is done."""
+    import pyarrow as pa
+
+    texts = ["# a\n" + "x" * 700 + "\n", None, ""] + [f"# h{i}\nline {i}\n" * 30 for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sizes, ran = [], []
+
+    class Docs:
+        """Runs what is given to ``mapInArrow`` here, over one batch."""
+
+        sparkSession, dtypes = spark, docs.dtypes
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            ran.append(schema)
+            for b in run(iter([pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])])):
+                sizes.append((b.num_rows, sum(map(len, b.column("part" if "part" in b.schema.names else "content").to_pylist()))))
+
+    for made in (lambda d: C.explode_parts(d, lambda t: C.heading_sections(t, 100)), lambda d: C.semantic_hierarchy(d, None, (8, 16, 32), 4)):
+        want = sorted(map(tuple, made(docs).collect()), key=repr)
+        monkeypatch.setattr(C, "ROWS", 50)
+        monkeypatch.setattr(C, "SIGNS", 3000)
+        sizes.clear()
+        made(Docs())
+        assert sum(n for n, _ in sizes) == len(want) and len(sizes) > 5
+        assert all(n <= 50 and signs <= 3000 + 900 for n, signs in sizes)
+        monkeypatch.undo()
