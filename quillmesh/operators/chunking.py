@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from quillmesh.functions.text import TOKEN, token_count, token_parts
 LEVELS = ("small", "medium", "large")
 #: Chunks, and signs of them, handed back at a time; texts taken from a batch at a time.
 ROWS, SIGNS, TEXTS = 4096, 4_000_000, 16
+#: Tokens that fixed windows take at a time, at most.
+RUN = 64
 _token = re.compile(TOKEN)
 
 
@@ -33,11 +36,20 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
     """``key, chunk_index, token_start, token_end, token_count, content`` of sliding windows, without a shuffle."""
     _check(size, overlap)
     step = size - overlap
-    parts = docs.select(F.col(key), token_parts(F.col(text)).alias("parts")).withColumn("n", F.size("parts"))
+    # windows begin and end between runs of so many tokens, so a text becomes few parts
+    run = max(d for d in range(1, RUN + 1) if gcd(size, step) % d == 0)
+    parts = docs.select(F.col(key), token_parts(F.col(text), run).alias("parts"))
+    parts = parts.withColumn("n", F.greatest(F.size("parts") - 1, F.lit(0)) * run + token_count(F.try_element_at("parts", F.lit(-1))).cast("int"))
     # a window takes its own tokens before windows become rows, so no row holds the whole text
     every = F.sequence(F.lit(0), _windows(F.col("n"), size, step) - 1)
-    cut = F.transform(every, lambda i: F.struct(i.alias("i"), F.least(i * step + size, F.col("n")).alias("stop"), F.array_join(F.slice("parts", i * step + 1, F.lit(size)), "").alias("content")))
-    spread = parts.filter("n > 0").select(key, F.explode(cut).alias("w"))
+
+    def window(i: Column) -> Column:
+        first, last = i * (step // run) + 1, F.least(i * (step // run) + size // run, F.size("parts"))
+        return F.struct(i.alias("i"), F.least(i * step + size, F.col("n")).alias("stop"), F.array_join(F.slice("parts", first, last - first), "").alias("head"), F.get("parts", last - 1).alias("tail"))
+
+    cut = F.transform(every, window)
+    # no filter on n: Spark would push it below and split each text again for it
+    spread = parts.select(key, F.explode(F.when(F.col("n") > 0, cut)).alias("w"))
     start = F.col("w.i") * step
     return spread.select(
         key,
@@ -45,7 +57,7 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
         start.cast("long").alias("token_start"),
         F.col("w.stop").cast("long").alias("token_end"),
         (F.col("w.stop") - start).cast("long").alias("token_count"),
-        F.regexp_replace("w.content", r"(?U)\s+$", "").alias("content"),
+        F.concat("w.head", F.regexp_replace("w.tail", r"(?U)\s+$", "")).alias("content"),
     )
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,11 @@ from quillmesh.functions.text import key_of
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+#: Places of words a process has met, by number of dimensions; emptied when full, and longer words aren't kept.
+HELD_WORDS, HELD_SIGNS = 1 << 18, 32
+_held: dict[int, dict[str, int]] = {}
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
     """Words hashed into a fixed number of signed buckets, length 1: like texts get near vectors."""
@@ -33,14 +38,26 @@ class HashEmbedder:
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = np.zeros(self.dimensions)
-            for word in re.findall(r"\w", text) if not re.search(r"\w\w", text) else re.findall(r"\w+", key_of(text)):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+            words = re.findall(r"\w", text) if not re.search(r"\w\w", text) else re.findall(r"\w+", key_of(text))
+            n = np.bincount(np.array(self._places(words), dtype=np.int64), minlength=2 * self.dimensions)
+            v = (n[: self.dimensions] - n[self.dimensions :]).astype(np.float64)
             size = float(np.linalg.norm(v))
             out.append((v / size if size else v).tolist())
         return out
 
+    def _places(self, words: list[str]) -> list[int]:
+        """A word's bucket, or that and the number of buckets if its sign is minus."""
+        held = _held.setdefault(self.dimensions, {})
+        found = list(map(held.get, words))
+        for i in [i for i, at in enumerate(found) if at is None]:
+            h = int.from_bytes(hashlib.blake2b(words[i].encode(), digest_size=8).digest(), "little")
+            found[i] = h % self.dimensions + (0 if h >> 63 else self.dimensions)
+            if len(words[i]) <= HELD_SIGNS:
+                if len(held) >= HELD_WORDS:
+                    held.clear()
+                held[words[i]] = found[i]
+        return found
+
 
 def checked(texts: list[str], vectors: list[list[float]], dimensions: int | None) -> list[list[float]]:
     """A model's answer: one finite vector a text, all of one length."""
@@ -54,20 +71,21 @@ def checked(texts: list[str], vectors: list[list[float]], dimensions: int | None
     return vectors
 
 
-def embed(rows: DataFrame, text: str, model: Embedder, dimensions: int | None = None, batch: int = 8) -> DataFrame:
-    """The rows with ``vector``; the model sees ``batch`` texts at a time."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+def embed(rows: DataFrame, text: str, model: Embedder, dimensions: int | None = None, batch: int = 8, keep_text: bool = True) -> DataFrame:
+    """The rows with ``vector``, if asked without the text; the model sees ``batch`` texts at a time."""
+    kept = [c for c in rows.columns if keep_text or c != text]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in kept)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = f[text].fillna("").tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(text).to_pylist()]
             found: list[list[float]] = []
             for at in range(0, len(texts), batch):
                 part = texts[at : at + batch]
                 found += checked(part, model(part), dimensions)
-            yield f.assign(vector=found)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.list_(pa.float32()))], [*kept, "vector"])
 
-    return rows.mapInPandas(run, f"{kinds}, vector array<float>")
+    return rows.mapInArrow(run, f"{kinds}, vector array<float>")
 
 
 def rerank_rows(candidates: DataFrame, query: str, model: Callable[[str, list[str]], list[tuple[int, float]]], limit: int) -> DataFrame:

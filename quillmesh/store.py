@@ -12,6 +12,7 @@ they are.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict
@@ -56,14 +57,18 @@ KEYS = {
     "edge_sources": ("source_node_id", "relation", "target_node_id", "source_id"), "edges": ("edge_id",), "chunk_nodes": ("chunk_id", "node_id"),
     "groups": ("group_id",), "group_nodes": ("group_id", "node_id"), "entity_vectors": ("node_id",),
 }
+#: Signs of texts that a task extracts from, cuts and embeds.
+TASK_SIGNS = 8_000_000
 #: A term as a node beside mentions, whose ids begin with hexadecimal signs and so come before it.
 TERM = "~"
 
 
 def without(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of a that b hasn't, and the other way round; nulls equal nulls."""
-    b = b.select(*a.columns)
-    return durable(a.subtract(b)), durable(b.subtract(a))
+    columns = a.columns
+    both = a.withColumn("_of", F.lit(1)).unionByName(b.select(*columns).withColumn("_of", F.lit(2)))
+    single = durable(both.groupBy(*columns).agg(F.bit_or("_of").alias("_of")).filter("_of < 3"))
+    return single.filter("_of = 1").select(*columns), single.filter("_of = 2").select(*columns)
 
 
 class KnowledgeStore(Snapshots):
@@ -92,30 +97,34 @@ class KnowledgeStore(Snapshots):
                 F.sha2(norm_key_full(F.col("relative_path")), 256).alias("source_id"), "relative_path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.coalesce("text", F.lit("")).alias("text")
             )
         )
+        told = found.select("source_id", "relative_path", "content_hash", F.length("text").alias("signs"))
         if not found.groupBy("source_id").count().filter("count > 1").isEmpty():
             raise ValueError("two files have the same path identity")
         old = self.read("sources", base)
         was = old.select("source_id", "graph_hash", "rag_hash", "exists_status", F.col("relative_path").alias("_path"), F.col("content_hash").alias("_hash"))
-        both = found.join(was, "source_id", "full_outer")
+        both = told.join(was, "source_id", "full_outer")
         live = F.col("content_hash").isNotNull()
         plan = durable(
             both.select(
-                "source_id", F.coalesce("relative_path", "_path").alias("relative_path"), F.coalesce("content_hash", "_hash").alias("content_hash"), "text", "graph_hash", "rag_hash", live.alias("live"), (~live & (F.col("exists_status") == "active")).alias("leaves"),
+                "source_id", F.coalesce("relative_path", "_path").alias("relative_path"), F.coalesce("content_hash", "_hash").alias("content_hash"), "signs", "graph_hash", "rag_hash", live.alias("live"), (~live & (F.col("exists_status") == "active")).alias("leaves"),
                 (live & ~F.col("graph_hash").eqNullSafe(F.col("content_hash")) & F.lit(mode != "rag")).alias("do_graph"),
                 (live & ~F.col("rag_hash").eqNullSafe(F.col("content_hash")) & F.lit(mode != "graph")).alias("do_rag"),
             )
         )
         gone = plan.filter("leaves").select("source_id")
+        counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if("leaves").alias("deleted")).first()
 
-        mentions = durable(drafts.extract_mentions(plan.filter("do_graph"), self.extractor, self.settings.section_chars))
+        texts = self._texts(found, plan)
+        mentions = durable(drafts.extract_mentions(texts.filter("do_graph"), self.extractor, self.settings.section_chars))
         failed = mentions.filter("error IS NOT NULL").select("source_id", "error")
         done = plan.filter("do_graph").select("source_id").join(failed, "source_id", "left_anti")
         replaced = durable(done.unionByName(gone).distinct())
-        rag = plan.filter("do_rag").select("source_id", "text")
+        rag = texts.filter("do_rag").select("source_id", "text")
         renewed = durable(rag.select("source_id").unionByName(gone).distinct())
         chunks = durable(self._chunks(rag))
-        vectors = models.embed(chunks.select(F.concat(F.lit("v:"), "chunk_id").alias("vec_id"), "chunk_id", "source_id", "content"), "content", self.embedder)
-        vectors = vectors.select("vec_id", "chunk_id", "source_id", F.col("vector").alias("embedding"), F.lit(self.model).alias("model_name"))
+        vectors = models.embed(chunks.select("chunk_id", "source_id", "content"), "content", self.embedder, keep_text=False)
+        # a commit looks at its rows twice, for the ranges of files and to write them; the model sees them once
+        vectors = durable(vectors.select(F.concat(F.lit("v:"), "chunk_id").alias("vec_id"), "chunk_id", "source_id", F.col("vector").alias("embedding"), F.lit(self.model).alias("model_name")))
         state = plan.join(failed, "source_id", "left").select(
             "source_id", "relative_path", "content_hash",
             F.when(F.col("do_graph") & F.col("error").isNull(), F.col("content_hash")).when(F.col("live"), F.col("graph_hash")).alias("graph_hash"),
@@ -125,11 +134,22 @@ class KnowledgeStore(Snapshots):
         ready = lambda c: F.when(F.col(c) == F.col("content_hash"), "ready").otherwise("pending")
         sources = durable(state.withColumn("graph_status", F.when(F.col("error").isNotNull(), "failed").otherwise(ready("graph_hash"))).withColumn("rag_status", ready("rag_hash")))
         self._apply(base, sources, replaced, mentions.filter("error IS NULL"), renewed, chunks, vectors)
-        counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if("leaves").alias("deleted")).first()
         if counts["deleted"]:
             self._forget()
         return {**counts.asDict(), "failed": failed.count()}
 
+    def _texts(self, found: DataFrame, plan: DataFrame) -> DataFrame:
+        """Texts of the sources that are extracted or cut anew, dealt to tasks of about ``TASK_SIGNS``; others aren't moved."""
+        changed = plan.filter("do_graph OR do_rag")
+        n = changed.agg(F.count("*").alias("sources"), F.sum("signs").alias("signs")).first()
+        tasks = max(math.ceil((n["signs"] or 0) / TASK_SIGNS), self.spark.sparkContext.defaultParallelism)
+        changed = changed.select("source_id", "do_graph", "do_rag")
+        if n["sources"] <= evidence.FEW_NODES:
+            some = found.join(F.broadcast(changed), "source_id").repartition(tasks, "source_id")
+        else:
+            some = found.repartition(tasks, "source_id").join(changed, "source_id")
+        return durable(some.select("source_id", "content_hash", "text", "do_graph", "do_rag"))
+
     def _apply(self, base: int, sources: DataFrame, replaced: DataFrame, mentions: DataFrame, renewed: DataFrame, chunks: DataFrame, vectors: DataFrame) -> int:
         """Commit the state of all ``sources``, the mentions of ``replaced`` ones and the chunks of ``renewed`` ones."""
         sources = sources.select(*self.columns("sources"))

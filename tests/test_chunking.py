@@ -183,3 +183,24 @@ def test_parts_go_back_before_they_are_many_or_long(spark, monkeypatch):
         assert sum(n for n, _ in sizes) == len(want) and len(sizes) > 5
         assert all(n <= 50 and signs <= 3000 + 900 for n, signs in sizes)
         monkeypatch.undo()
+
+
+def test_fixed_chunks_split_a_text_once(spark):
+    df = spark.createDataFrame([(1, "a b\x01c d  "), (2, ""), (3, None)], "doc_id long, text string").repartition(1)
+    found = C.fixed_chunks(df, 4, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\(text#", plan)) == 1
+    rows = found.orderBy("chunk_index").select("doc_id", "token_start", "token_end", "content").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 4, "a b\x01c"), (1, 2, 5, "\x01c d")]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(512, 64), (64, 8), (7, 2), (1, 0), (96, 0), (130, 0)])
+def test_fixed_chunks_by_runs(spark, size, overlap):
+    texts = [" \n" + "wörd, 你好\t" * 200 + " ", "x " * 64, "x " * 65, "中" * 700, "a　"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        spans = C.token_spans(t)
+        for n, (a, e) in enumerate(C.mechanical_spans(len(spans), size, overlap)):
+            want.append((i, n, a, e, e - a, t[spans[a][0] : spans[e - 1][1]]))
+    assert sorted(tuple(r) for r in C.fixed_chunks(df, size, overlap).collect()) == want

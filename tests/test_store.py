@@ -198,3 +198,43 @@ def test_a_claim_that_was_left_runs_out(spark, tmp_path, monkeypatch):
         s.commit({"groups": s.read("groups")})
     monkeypatch.setattr(module, "CLAIM_SECONDS", 0)
     assert s.commit({"groups": s.read("groups")}) == s.version()
+
+
+def test_an_ingest_embeds_each_chunk_once(spark, tmp_path):
+    log = tmp_path / "seen"
+
+    def embedder(texts):
+        with open(log, "a") as f:
+            f.writelines(f"{t!r}\n" for t in texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    s = KnowledgeStore(spark, str(tmp_path / "s"), Settings(medium_tokens=4, overlap_tokens=0), embedder=embedder, extractor=extractor)
+    files = [(f"{i}.md", " ".join(f"w{i}x{j}" for j in range(10))) for i in range(6)]
+    s.ingest(spark.createDataFrame(files, "relative_path string, text string"))
+    chunks = [r["content"] for r in s.read("chunks").collect()]
+    assert len(chunks) == 18 and sorted(log.read_text().splitlines()) == sorted(map(repr, chunks))
+    files[0] = ("0.md", "new words")
+    s.ingest(spark.createDataFrame(files, "relative_path string, text string"))
+    assert len(log.read_text().splitlines()) == 19
+    assert {r["embedding"][0] for r in s.read("vectors").filter("chunk_id LIKE '%:0'").collect()} == {float(len(t)) for t in ("new words", "w1x0 w1x1 w1x2 w1x3")}
+
+
+def test_held_words_change_no_vector(monkeypatch):
+    from quillmesh.sources import models
+
+    texts = ["one two three two", "three four " + "w" * 40, "", "a b", "two two one"]
+    want = models.HashEmbedder(16)(texts)
+    assert want[2] == [0.0] * 16 and all(isinstance(x, float) for v in want for x in v)
+    monkeypatch.setattr(models, "HELD_WORDS", 2)
+    models._held.clear()
+    assert models.HashEmbedder(16)(texts) == want and len(models._held[16]) <= 2
+
+
+def test_without_is_one_comparison(spark):
+    from quillmesh.store import without
+
+    kind = "a string, b array<string>"
+    a = spark.createDataFrame([("x", ["1"]), ("x", ["1"]), (None, None), ("y", [])], kind)
+    b = spark.createDataFrame([(None, None), ("y", ["2"]), ("x", ["1"])], kind)
+    fresh, gone = without(a, b)
+    assert [tuple(r) for r in fresh.collect()] == [("y", [])] and [tuple(r) for r in gone.collect()] == [("y", ["2"])]
