@@ -22,9 +22,14 @@ def dealt(frame: DataFrame, rows: int | None, *keys: str) -> DataFrame:
     return frame.repartition(max(math.ceil(rows / TASK_ROWS), frame.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def large(frame: DataFrame) -> DataFrame:
+    """``frame`` marked so that no join broadcasts it: Spark guesses its size from compressed files and doesn't count rows that lists become."""
+    return frame.hint("merge")
+
+
 def small(frame: DataFrame) -> DataFrame:
-    """``frame`` marked for a broadcast if it has few rows."""
-    return F.broadcast(frame) if frame.count() <= FEW_NODES else frame
+    """``frame`` marked for a broadcast if it has few rows, and else never broadcast."""
+    return F.broadcast(frame) if frame.count() <= FEW_NODES else large(frame)
 
 
 def edge_key() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import comparison_key
-from quillmesh.operators.evidence import FEW_NODES, dealt, edge_key, small, terms
+from quillmesh.operators.evidence import FEW_NODES, dealt, edge_key, large, small, terms
 from quillmesh.operators.graph import numbered
 from quillmesh.plans.components import connected_components, durable
 
@@ -20,7 +20,8 @@ def neighbour_signatures(edges: DataFrame, nodes: DataFrame, key=comparison_key,
     edges = edges.join(said, "relation", "left")
     ends = None if of is None else small(durable(of.select("node_id").distinct()))
     own = lambda c: edges if ends is None else edges.join(ends.withColumnRenamed("node_id", c), c, "left_semi")
-    name = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node_id"), key(F.col("keyword")).alias(c))
+    send = F.broadcast if nodes.select("node_id").count() <= FEW_NODES else large
+    name = lambda c: send(nodes.select(F.col("node_id").alias(f"{c}_node_id"), key(F.col("keyword")).alias(c)))
     out = own("source_node_id").join(name("target"), "target_node_id").select(F.col("source_node_id").alias("node_id"), F.concat_ws(":", F.lit("out"), "said", "target").alias("signature"))
     back = own("target_node_id").join(name("source"), "source_node_id").select(F.col("target_node_id").alias("node_id"), F.concat_ws(":", F.lit("in"), "said", "source").alias("signature"))
     return out.unionByName(back).distinct()

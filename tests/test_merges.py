@@ -97,6 +97,33 @@ def test_names_are_searched_no_wider_than_the_list_needs(spark, monkeypatch):
     assert not any("h" in columns for columns in written)
 
 
+def test_names_of_many_nodes_make_few_pairs(spark, monkeypatch):
+    """Of two names that many nodes bear not all pairs are made; pairs that share a term stay out, common neighbours count."""
+    keep, rows_of_pairs = M.durable, []
+
+    def count(df):
+        out = keep(df)
+        if {"a", "b"} <= set(df.columns):
+            rows_of_pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "durable", count)
+    rows = [(f"n{i:03}", "large ring 12" if i % 2 else "Large Ring 123", f"kind {i}", [f"own {i * 7919}"]) for i in range(120)]
+    rows[0], rows[1] = (*rows[0][:3], ["shared"]), (*rows[1][:3], ["Shared"])
+    rows[90], rows[71] = (*rows[90][:2], "same kind", []), (*rows[71][:2], "same kind", [])
+    links = [("e1", "n090", "of", "n005"), ("e2", "n071", "of", "n005"), ("e3", "n040", "of", "n005")]
+    got = M.fuzzy_candidates(spark.createDataFrame(rows, ROWS), spark.createDataFrame(links, LINKS), 0.86, 8).collect()
+    want = [(a, b, -s) for s, _, _, a, b, why in brute(rows, links, 0.86) if why == "semantic_similarity"][:8]
+    assert [(r.a, r.b, round(r.score, 9)) for r in got] == want and want[0][:2] == ("n071", "n090")
+    assert max(rows_of_pairs) < 500
+
+
+def test_names_that_lose_signs_are_not_broadcast(spark):
+    """A name becomes many rows, which Spark's guess of sizes doesn't know of."""
+    plan = M.similar_names(spark.createDataFrame([(f"serial {i}",) for i in range(200)], "name string"), 0.9)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_query_has_pairs_below_one(spark, sf_dir):
     from quillmesh.queries import graphs
 
