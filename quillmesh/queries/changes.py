@@ -180,6 +180,7 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.ingest(rows)
         out += [(step, name, store.read(name).count()) for name in ("chunks", "vectors", "nodes", "edges", "node_sources")]
         out.append((step, "active", store.read("sources").filter("exists_status = 'active'").count()))
+    store.drop()
     return spark.createDataFrame(out, "step int, name string, rows long")
 
 

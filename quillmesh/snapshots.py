@@ -14,6 +14,7 @@ import time
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ FEW_KEYS = 1000
 WRITERS = 4
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows that are files already and become a part as they are, if a commit takes them."""
+
+    path: str
+    rows: DataFrame
+
+
 class Conflict(RuntimeError):
     """Somebody else has committed meanwhile."""
 
@@ -117,10 +126,27 @@ class Snapshots:
 
     # ---- writing
 
-    def _write(self, name: str, rows: DataFrame, seq: int, key: Sequence[str]) -> dict | None:
+    def stage(self, name: str, rows: DataFrame) -> Staged:
+        """Write rows of a table that come in ranges of its key, once, without moving them; a commit renames the files.
+
+        They lie beside the tables, where ``vacuum`` doesn't look, until ``unstage``.
+        """
+        path = f"staged/{uuid.uuid4().hex}"
+        rows.select(*self.columns(name)).write.parquet(f"{self.root}/{path}")
+        return Staged(path, self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{path}"))
+
+    def unstage(self, staged: Staged) -> None:
+        self._fs.delete(self._path(f"{self.root}/{staged.path}"), True)
+
+    def _write(self, name: str, rows: DataFrame | Staged, seq: int, key: Sequence[str]) -> dict | None:
         """A part, sorted by key; None where there are no rows."""
         path = f"tables/{name}/{uuid.uuid4().hex}"
-        rows.repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(f"{self.root}/{path}")
+        if isinstance(rows, Staged):
+            self._fs.mkdirs(self._path(f"{self.root}/tables/{name}"))
+            self._fs.rename(self._path(f"{self.root}/{rows.path}"), self._path(f"{self.root}/{path}"))
+            rows = rows.rows
+        else:
+            rows.repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(f"{self.root}/{path}")
         first = F.col(key[0]).cast("string")
         file = F.element_at(F.split(F.input_file_name(), "/"), -1)
         seen = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}").groupBy(file.alias("f")).agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).collect()  # a row a file
@@ -130,11 +156,12 @@ class Snapshots:
         size = self._fs.getContentSummary(self._path(f"{self.root}/{path}")).getLength()
         return {"path": path, "seq": seq, "rows": sum(r["n"] for r in seen), "bytes": size, "files": sorted([r["f"], r["low"], r["high"]] for r in seen)}
 
-    def _grown(self, name: str, held: dict | None, fresh: DataFrame, gone: DataFrame, seq: int) -> dict:
+    def _grown(self, name: str, held: dict | None, fresh: DataFrame | Staged, gone: DataFrame, seq: int) -> dict:
         """The table without the rows of ``gone`` keys, and with ``fresh`` rows."""
         parts, deletes = (list(held["parts"]), list(held["deletes"])) if held else ([], [])
         keys = list(self.keys[name])
-        fresh, gone = durable(fresh.select(*self.columns(name))), durable(gone.select(*keys).distinct())
+        staged = fresh if isinstance(fresh, Staged) else None
+        fresh, gone = staged.rows if staged else durable(fresh.select(*self.columns(name))), durable(gone.select(*keys).distinct())
         added, removed = fresh.count(), gone.count()
         if not added and not removed:
             return {"parts": parts, "deletes": deletes}
@@ -149,19 +176,21 @@ class Snapshots:
             deletes = [d for d in deletes if d["seq"] < run[0]["seq"]]
             for d in later:
                 gone = gone.unionByName(self.spark.read.parquet(f"{self.root}/{d['path']}"))
-            gone = gone.distinct()
-        part = self._write(name, fresh, seq, keys)
+            gone, staged = gone.distinct(), None
+        part = self._write(name, staged or fresh, seq, keys)
         erased = self._write(f"{name}-deletes", gone, seq, keys) if parts else None
         return {"parts": parts + [p for p in (part,) if p], "deletes": deletes * bool(parts) + [d for d in (erased,) if d]}
 
-    def commit(self, tables: dict[str, DataFrame | None], base: int | None = None, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, notes: dict | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame | Staged | None], base: int | None = None, changes: dict[str, tuple[DataFrame | Staged, DataFrame]] | None = None, notes: dict | None = None) -> int:
         """A version after ``base`` (default: the newest): whole ``tables`` anew, None for an empty one,
         ``changes`` as (rows that come, keys whose rows go), and ``notes`` that the manifest carries."""
         base = self.version() if base is None else base
         names, number = self.manifest(base), base + 1
 
-        def anew(name: str, rows: DataFrame | None) -> dict:
-            part = None if rows is None else self._write(name, rows.select(*self.columns(name)), number, self.keys[name])
+        def anew(name: str, rows: DataFrame | Staged | None) -> dict:
+            if isinstance(rows, DataFrame):
+                rows = rows.select(*self.columns(name))
+            part = None if rows is None else self._write(name, rows, number, self.keys[name])
             return {"parts": [part] if part else [], "deletes": []}
 
         # tables are written side by side, as a small change leaves most of a cluster idle

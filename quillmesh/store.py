@@ -26,7 +26,7 @@ from quillmesh.functions.text import mapped, norm_key_full, norm_keys_full
 from quillmesh.operators import changes, chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
 from quillmesh.plans.classes import updated_classes
 from quillmesh.plans.components import durable
-from quillmesh.snapshots import Conflict, Snapshots
+from quillmesh.snapshots import Conflict, Snapshots, Staged
 from quillmesh.sources import models
 
 __all__ = ["Conflict", "KnowledgeStore"]
@@ -59,6 +59,8 @@ KEYS = {
 }
 #: Signs of texts that a task extracts from, cuts and embeds.
 TASK_SIGNS = 8_000_000
+#: Signs of all texts up to which Spark alone says how many tasks they are for.
+FEW_SIGNS = 1_000_000
 #: A term as a node beside mentions, whose ids begin with hexadecimal signs and so come before it.
 TERM = "~"
 
@@ -87,18 +89,15 @@ class KnowledgeStore(Snapshots):
         and embedded, and only rows that change are written.
 
         ``mode`` is graph, rag or both.  A failed extraction leaves the source's old graph and
-        marks it failed; the next run tries it again.
+        marks it failed; the next run tries it again.  Texts are read from ``files`` when they are needed, a few times, and never
+        written as a whole: each time ``files`` has to give the same rows, and where it can be told that it doesn't, this raises.
         """
         if mode not in ("graph", "rag", "both"):
             raise ValueError("mode is graph, rag or both")
         base = self.version()
-        found = durable(
-            files.select(
-                F.sha2(norm_key_full(F.col("relative_path")), 256).alias("source_id"), "relative_path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.coalesce("text", F.lit("")).alias("text")
-            )
-        )
-        told = found.select("source_id", "relative_path", "content_hash", F.length("text").alias("signs"))
-        if not found.groupBy("source_id").count().filter("count > 1").isEmpty():
+        text = F.coalesce("text", F.lit(""))
+        told = durable(files.select(F.sha2(norm_key_full(F.col("relative_path")), 256).alias("source_id"), "relative_path", F.sha2(text, 256).alias("content_hash"), F.length(text).alias("signs")))
+        if not told.groupBy("source_id").count().filter("count > 1").isEmpty():
             raise ValueError("two files have the same path identity")
         old = self.read("sources", base)
         was = old.select("source_id", "graph_hash", "rag_hash", "exists_status", F.col("relative_path").alias("_path"), F.col("content_hash").alias("_hash"))
@@ -114,15 +113,24 @@ class KnowledgeStore(Snapshots):
         gone = plan.filter("leaves").select("source_id")
         counts = plan.agg(F.count_if("do_graph").alias("graph"), F.count_if("do_rag").alias("rag"), F.count_if("leaves").alias("deleted")).first()
 
-        texts = self._texts(found, plan)
-        mentions = durable(drafts.extract_mentions(texts.filter("do_graph"), self.extractor, self.settings.section_chars))
+        mentions = durable(drafts.extract_mentions(self._texts(files, plan, "do_graph"), self.extractor, self.settings.section_chars))
         failed = mentions.filter("error IS NOT NULL").select("source_id", "error")
         done = plan.filter("do_graph").select("source_id").join(failed, "source_id", "left_anti")
         replaced = durable(done.unionByName(gone).distinct())
-        rag = texts.filter("do_rag").select("source_id", "text")
-        renewed = durable(rag.select("source_id").unionByName(gone).distinct())
-        chunks = durable(self._chunks(rag))
-        vectors = models.embed(chunks.select("chunk_id", "source_id", "content"), "content", self.embedder, keep_text=False)
+        renewed = durable(plan.filter("do_rag").select("source_id").unionByName(gone).distinct())
+        # texts come in ranges of sources, so chunks are written where they stay
+        chunks = self.stage("chunks", self._chunks(self._texts(files, plan, "do_rag", ranged=True).select("source_id", "text")))
+        try:
+            self._ingested(base, plan, failed, replaced, mentions, renewed, chunks)
+        finally:
+            self.unstage(chunks)
+        if counts["deleted"]:
+            self._forget()
+        return {**counts.asDict(), "failed": failed.count()}
+
+    def _ingested(self, base: int, plan: DataFrame, failed: DataFrame, replaced: DataFrame, mentions: DataFrame, renewed: DataFrame, chunks: Staged) -> None:
+        """Embed the chunks, and commit what an ingest has found."""
+        vectors = models.embed(chunks.rows.select("chunk_id", "source_id", "content"), "content", self.embedder, keep_text=False)
         # a commit looks at its rows twice, for the ranges of files and to write them; the model sees them once
         vectors = durable(vectors.select(F.concat(F.lit("v:"), "chunk_id").alias("vec_id"), "chunk_id", "source_id", F.col("vector").alias("embedding"), F.lit(self.model).alias("model_name")))
         state = plan.join(failed, "source_id", "left").select(
@@ -134,29 +142,39 @@ class KnowledgeStore(Snapshots):
         ready = lambda c: F.when(F.col(c) == F.col("content_hash"), "ready").otherwise("pending")
         sources = durable(state.withColumn("graph_status", F.when(F.col("error").isNotNull(), "failed").otherwise(ready("graph_hash"))).withColumn("rag_status", ready("rag_hash")))
         self._apply(base, sources, replaced, mentions.filter("error IS NULL"), renewed, chunks, vectors)
-        if counts["deleted"]:
-            self._forget()
-        return {**counts.asDict(), "failed": failed.count()}
 
-    def _texts(self, found: DataFrame, plan: DataFrame) -> DataFrame:
-        """Texts of the sources that are extracted or cut anew, dealt to tasks of about ``TASK_SIGNS``; others aren't moved."""
-        changed = plan.filter("do_graph OR do_rag")
-        n = changed.agg(F.count("*").alias("sources"), F.sum("signs").alias("signs")).first()
-        tasks = max(math.ceil((n["signs"] or 0) / TASK_SIGNS), self.spark.sparkContext.defaultParallelism)
-        changed = changed.select("source_id", "do_graph", "do_rag")
-        if n["sources"] <= evidence.FEW_NODES:
-            some = found.join(F.broadcast(changed), "source_id").repartition(tasks, "source_id")
+    def _texts(self, files: DataFrame, plan: DataFrame, what: str, ranged: bool = False) -> DataFrame:
+        """``source_id, content_hash, text`` of the sources that are extracted or cut anew, by the plan's column ``what``, dealt
+        to tasks of about ``TASK_SIGNS``: in ranges of sources, or, where ``files`` come in enough partitions, as they come.
+        """
+        n = plan.agg(F.count_if("live").alias("live"), F.count_if(what).alias("sources"), F.sum(F.when(F.col(what), F.col("signs"))).alias("signs")).first()
+        text = F.coalesce("text", F.lit("")).alias("text")
+        if not n["sources"]:
+            return self.spark.createDataFrame([], "source_id string, content_hash string, text string")
+        if n["sources"] == n["live"]:
+            some = files.filter("relative_path IS NOT NULL").select(F.sha2(norm_key_full(F.col("relative_path")), 256).alias("source_id"), text)
+            some = some.select("source_id", F.sha2("text", 256).alias("content_hash"), "text")
         else:
-            some = found.repartition(tasks, "source_id").join(changed, "source_id")
-        return durable(some.select("source_id", "content_hash", "text", "do_graph", "do_rag"))
-
-    def _apply(self, base: int, sources: DataFrame, replaced: DataFrame, mentions: DataFrame, renewed: DataFrame, chunks: DataFrame, vectors: DataFrame) -> int:
+            changed = evidence.small(plan.filter(what).select("source_id", "relative_path", "content_hash"))
+            some = files.select("relative_path", text).join(changed, "relative_path")
+            same = F.when(F.sha2("text", 256) == F.col("content_hash"), F.col("text")).otherwise(F.raise_error(F.lit("a file isn't what it was when this began")))
+            some = some.select("source_id", "content_hash", same.alias("text"))
+        parallel = self.spark.sparkContext.defaultParallelism
+        tasks = [max(math.ceil(n["signs"] / TASK_SIGNS), parallel)] if n["signs"] > FEW_SIGNS else []
+        if ranged:
+            return some.repartitionByRange(*tasks, "source_id").sortWithinPartitions("source_id")
+        if tasks and files.rdd.getNumPartitions() < parallel:
+            return some.repartition(*tasks, "source_id")
+        return some
+
+    def _apply(self, base: int, sources: DataFrame, replaced: DataFrame, mentions: DataFrame, renewed: DataFrame, chunks: DataFrame | Staged, vectors: DataFrame) -> int:
         """Commit the state of all ``sources``, the mentions of ``replaced`` ones and the chunks of ``renewed`` ones."""
         sources = sources.select(*self.columns("sources"))
         if not self.manifest(base).get("mentions"):
             terms = self._terms(mentions)
             tables = self._graph(mentions, terms)
-            links = evidence.chunk_links(chunks, tables["node_sources"], sources)
+            # a commit moves the chunks, and whatever is to be told of them is told before
+            links = durable(evidence.chunk_links(chunks.rows if isinstance(chunks, Staged) else chunks, tables["node_sources"], sources))
             return self.commit({"sources": sources, "chunks": chunks, "vectors": vectors, "mentions": mentions, "terms": terms, "chunk_nodes": links, "groups": None, "group_nodes": None, **tables}, base)
         fresh, was = without(sources, self.read("sources", base))
         key = lambda rows: rows.select("source_id")
@@ -176,12 +194,13 @@ class KnowledgeStore(Snapshots):
         changes["chunk_nodes"] = (fresh, was.unionByName(fresh))
         return self.commit({"groups": None, "group_nodes": None}, base, changes)
 
-    def _now(self, name: str, base: int, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    def _now(self, name: str, base: int, changes: dict[str, tuple[DataFrame | Staged, DataFrame]]) -> DataFrame:
         """A table as it will be after the changes."""
         held = self.read(name, base)
         if name not in changes:
             return held
         fresh, gone = changes[name]
+        fresh = fresh.rows if isinstance(fresh, Staged) else fresh
         keys = list(KEYS[name])
         return held.join(gone.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*self.columns(name)))
 

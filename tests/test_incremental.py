@@ -126,3 +126,35 @@ def test_rebuild_leaves_no_shadow(spark, tmp_path):
     assert not list((tmp_path / "r").glob("shadow-*"))
     with pytest.raises(KeyError):
         s.delete_node("no")
+
+
+def test_texts_and_chunks_are_not_copied(spark, tmp_path, monkeypatch):
+    """Texts are read from the files when they are needed, chunks written once, and nothing stays beside the tables."""
+    from quillmesh import snapshots
+    from quillmesh import store as module
+
+    written = []
+    for m in (snapshots, module):
+        monkeypatch.setattr(m, "durable", lambda df, keep=m.durable: written.append(df.columns) or keep(df))
+    s = store(spark, tmp_path / "s")
+    files = {f"f{i}.md": f"alpha w{i} beta w{i + 1}" for i in range(12)}
+    frame = lambda: spark.createDataFrame(sorted(files.items()), FILES)
+    s.ingest(frame())
+    assert not any({"text", "content"} & set(columns) for columns in written)
+    files["f3.md"] = "gamma w3 delta"
+    del files["f4.md"]
+    assert s.ingest(frame()) == {"graph": 1, "rag": 1, "deleted": 1, "failed": 0}
+    assert not any("text" in columns for columns in written)
+    assert list((tmp_path / "s" / "staged").iterdir()) == []
+    assert s.violations().isEmpty() and s.read("chunks").count() == 11
+    assert s.vacuum(keep=1, older=0) > 0 and s.read("chunks").filter("content LIKE '%gamma%'").count() == 1
+    # files that aren't the same when they are read again
+    import os
+
+    from pyspark.sql import functions as F
+
+    anew = F.udf(lambda path, text: os.urandom(8).hex() if path == "f5.md" else text).asNondeterministic()
+    other = frame().withColumn("text", anew("relative_path", "text"))
+    with pytest.raises(Exception, match="isn't what it was"):
+        s.ingest(other)
+    assert s.read("chunks").count() == 11
