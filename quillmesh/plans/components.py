@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -33,6 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files, and checkpoints where it is set to, that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which long jobs with a large heap would wait for while disks fill.
+    """
+    for _ in range(2):  # what Python lets go of is garbage to the driver only then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component``: each node of ``edges(a, b)`` with the smallest node reachable.
 

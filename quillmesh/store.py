@@ -25,7 +25,7 @@ from quillmesh.config import DEFAULTS, Settings
 from quillmesh.functions.text import mapped, norm_key_full, norm_keys_full
 from quillmesh.operators import changes, chunking, drafts, evidence, graph, listing, modes, organise, planning, retrieval
 from quillmesh.plans.classes import updated_classes
-from quillmesh.plans.components import durable
+from quillmesh.plans.components import durable, tidy
 from quillmesh.snapshots import Conflict, Snapshots, Staged
 from quillmesh.sources import models
 
@@ -94,6 +94,12 @@ class KnowledgeStore(Snapshots):
         """
         if mode not in ("graph", "rag", "both"):
             raise ValueError("mode is graph, rag or both")
+        try:
+            return self._ingest(files, mode)
+        finally:
+            tidy(self.spark)
+
+    def _ingest(self, files: DataFrame, mode: str) -> dict[str, int]:
         base = self.version()
         text = F.coalesce("text", F.lit(""))
         told = durable(files.select(F.sha2(norm_key_full(F.col("relative_path")), 256).alias("source_id"), "relative_path", F.sha2(text, 256).alias("content_hash"), F.length(text).alias("signs")))
@@ -120,6 +126,7 @@ class KnowledgeStore(Snapshots):
         renewed = durable(plan.filter("do_rag").select("source_id").unionByName(gone).distinct())
         # texts come in ranges of sources, so chunks are written where they stay
         chunks = self.stage("chunks", self._chunks(self._texts(files, plan, "do_rag", ranged=True).select("source_id", "text")))
+        tidy(self.spark)  # the texts' shuffle
         try:
             self._ingested(base, plan, failed, replaced, mentions, renewed, chunks)
         finally:
